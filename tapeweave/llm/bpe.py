@@ -14,6 +14,7 @@ Empty texts have no ids. Any Unicode text, and the special tokens' strings withi
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,8 +31,12 @@ BETWEEN = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 #: Characters that may follow a word's letters within a piece and then are a word of their own; no apostrophe, which
 #: may begin a contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Below it, lower-casing is letter by letter and texts of letters are composed.
+PLAIN_LATIN = "\u0180"
 #: Pieces kept by one Python worker; beyond, the memory is emptied and filled anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
+#: Of these, the first ones, mostly frequent, are looked up in a small dictionary that stays in the processor's cache.
+AT_HAND = 20_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -48,6 +53,7 @@ class Remembering:
 
     def __init__(self) -> None:
         self.later: dict[str, bytes] = {}
+        self.hand: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -62,6 +68,8 @@ class Remembering:
         known = self.later
         if len(known) + len(wanted) > REMEMBERED:
             known.clear()
+        gc.disable()  # it makes hundreds of thousands of objects, none in a cycle
+        at_hand = len(self.hand) < AT_HAND
         parts = {x: (w, x[len(w) :]) for x in wanted if (w := x.rstrip(TAIL)).isalpha() and w.lower().isalpha()}
         words = list({w for w, _ in parts.values()}.difference(known))
         known.update(zip(words, self.encode_words(words), strict=True))
@@ -70,6 +78,9 @@ class Remembering:
         known.update(zip([x[1:] for x in odd], self.encode_odd(odd), strict=True))
         tail = dict(zip(tails, self.encode_odd(tails), strict=True)) | {"": b""}
         known.update((x, known[w] + tail[t]) for x, (w, t) in parts.items() if t)
+        if at_hand:
+            self.hand.update((x, known[x]) for x in list(wanted)[: AT_HAND - len(self.hand)])
+        gc.enable()
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -79,8 +90,12 @@ class Remembering:
                 self.first.clear()
                 new = list({x[0] for x in cut})
             self.first.update(zip(new, self.encode_odd(new), strict=True))
-        get = self.later.get
-        found = [[self.first[x[0]], *map(get, x[1:])] for x in cut]
+        near, far = self.hand.get, self.later.get
+        found = [[self.first[x[0]], *map(near, x[1:])] for x in cut]
+        for x, ids in zip(cut, found):
+            if None in ids:
+                ids[:] = [i or far(p) for p, i in zip(x, ids)]
+                ids[0] = self.first[x[0]]
         if lacking := [k for k, x in enumerate(found) if None in x]:
             wanted = {p for k in lacking for p, i in zip(cut[k][1:], found[k][1:]) if i is None}
             if len(self.later) + len(wanted) > REMEMBERED:
@@ -109,17 +124,23 @@ class LibraryBPE(Remembering):
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[ends or starts] = True
         self.model = self.tokenizer.model
+        self.letters = byte_letters()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """ASCII words by the library's model alone, which sees them as its normalizer and pre-tokenizer leave them; of
-        others, hundreds in one call, parted where the vocabulary marks a word's start or end."""
-        tokenize, lead = self.model.tokenize, "" if self.by_end else "\u0120"
-        if plain := [x for x in words if x.isascii()]:
-            got = {x: array("I", [t.id for t in tokenize(x.lower() if self.by_end else lead + x)]).tobytes() for x in plain}
-            got |= zip(others := [x for x in words if not x.isascii()], self.encode_words(others) if others else [], strict=True)
+        """Words by the library's model alone, given what its normalizer and pre-tokenizer would leave of them; where
+        that isn't plain, hundreds in one call, parted where the vocabulary marks a word's start or end."""
+        if self.by_end:
+            plain = {x: x.lower() for x in words if max(x) < PLAIN_LATIN}
+        else:
+            plain = {x: "\u0120" + x for x in words}
+        if plain:
+            tokenize, letters = self.model.tokenize, self.letters
+            got = {x: array("I", [t.id for t in tokenize(w if x.isascii() else w[: -len(x)] + w[-len(x) :].encode().decode("latin-1").translate(letters))]).tobytes() for x, w in plain.items()}
+            others = [x for x in words if x not in plain]
+            got |= zip(others, self.encode_words(others) if others else [], strict=True)
             return [got[x] for x in words]
         out: list[bytes] = []
         for at in range(0, len(words), 400):
