@@ -10,12 +10,13 @@ from tapeweave.llm.bpe_codec import op6_bpe_codec
 from tapeweave.llm.packing import op10_harmonic_packing
 from tapeweave.llm.quality import op7_rule_quality
 from tapeweave.llm.telephony import op4_telephony
+from tapeweave.llm.suffix_tree_lm import op2_suffix_tree_lm
 from tapeweave.llm.token_orc import op5_token_orc
 from tapeweave.llm.toxicity import op8_bigru_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op2_suffix_tree_lm, op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
