@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeweave.llm.bpe_codec import op6_bpe_codec
+from tapeweave.llm.cross_polytope import op1_cross_polytope
+from tapeweave.llm.near_dup import op9_minhash_near_dedup
 from tapeweave.llm.packing import op10_harmonic_packing
 from tapeweave.llm.quality import op7_rule_quality
 from tapeweave.llm.telephony import op4_telephony
@@ -16,7 +18,7 @@ from tapeweave.llm.toxicity import op8_bigru_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_tree_lm, op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_suffix_tree_lm, op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op9_minhash_near_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
