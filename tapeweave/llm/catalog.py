@@ -13,12 +13,13 @@ from tapeweave.llm.packing import op10_harmonic_packing
 from tapeweave.llm.quality import op7_rule_quality
 from tapeweave.llm.telephony import op4_telephony
 from tapeweave.llm.suffix_tree_lm import op2_suffix_tree_lm
+from tapeweave.llm.suffix_dedup import op3_suffix_dedup
 from tapeweave.llm.token_orc import op5_token_orc
 from tapeweave.llm.toxicity import op8_bigru_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_polytope, op2_suffix_tree_lm, op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op9_minhash_near_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_suffix_tree_lm, op3_suffix_dedup, op4_telephony, op5_token_orc, op6_bpe_codec, op7_rule_quality, op8_bigru_toxicity, op9_minhash_near_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

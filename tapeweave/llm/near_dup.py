@@ -249,5 +249,13 @@ def near_duplicates(docs: DataFrame, minhash: MinHash = MinHash()) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, minhash: MinHash = MinHash(words=5, over=80)) -> DataFrame:
+    """The rows, in the same columns, less those linked to a smaller doc_id and less repeated rows. Rows without an id
+    stay."""
+    kept = near_duplicates(docs, minhash).where("kept").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

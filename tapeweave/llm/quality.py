@@ -85,13 +85,13 @@ class Rules:
     rules: list[tuple[tuple[Condition, ...], float]]
     bias: float
 
-    def column(self) -> Column:
-        """The probability of label 1 as a Spark expression over STATS."""
+    def column(self, stats: tuple[str, ...] = STATS) -> Column:
+        """The probability of label 1 as a Spark expression over the columns of STATS."""
         total = F.lit(float(self.bias))
         for conditions, weight in self.rules:
             test = F.lit(True)
             for k, above, cut in conditions:
-                test = test & (F.col(STATS[k]) > cut if above else F.col(STATS[k]) <= cut)
+                test = test & (F.col(stats[k]) > cut if above else F.col(stats[k]) <= cut)
             total = total + F.when(test, float(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
@@ -221,6 +221,21 @@ def scored(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -> DataF
     return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def filtered(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score the threshold or more, in the same columns."""
+    stats = tuple(f"tapeweave_stat_{x}" for x in STATS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in steps(b)):
+            values = np.array([stats_of(x) for x in texts(part["text"])], float).reshape(-1, len(STATS))
+            yield pa.record_batch([*part.columns, *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], [*part.schema.names, *stats])
+
+    schema = docs.schema
+    for x in stats:
+        schema = schema.add(x, "double")
+    return docs.mapInArrow(run, schema).where(rules.column(stats) >= threshold).select(*docs.columns)
+
+
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, train(docs, table(spark, sf_dir, "labels")))

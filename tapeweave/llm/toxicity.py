@@ -292,6 +292,18 @@ def scored(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> D
     return rows.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def filtered(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score under the threshold, in the same columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for part in (p for b in batches for p in steps(b)):
+            yield part.filter(pa.array(scorer.scores(texts(part["text"])) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Weights:
     """Learns from labels of rows whose crc32(doc_id as text) mod 5 is not 0. Rows without an id or a label take no
     part."""
