@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeweave.llm.common import remainder, steps, table, texts
 
@@ -230,9 +231,7 @@ def filtered(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -> Dat
             values = np.array([stats_of(x) for x in texts(part["text"])], float).reshape(-1, len(STATS))
             yield pa.record_batch([*part.columns, *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], [*part.schema.names, *stats])
 
-    schema = docs.schema
-    for x in stats:
-        schema = schema.add(x, "double")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.DoubleType()) for x in stats)])
     return docs.mapInArrow(run, schema).where(rules.column(stats) >= threshold).select(*docs.columns)
 
 
