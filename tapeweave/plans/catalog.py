@@ -1,15 +1,372 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeweave.functions import columns as C
+from tapeweave.operators import sequence, splits, statistics, tape
+from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """The session's checkpoint folder; a temporary one only where none is named, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tapeweave-"))
+
+
+LINES = """lines as (select l_partkey as mint, cast(epoch(l_shipdate) as bigint) as ts, l_orderkey * 8 + l_linenumber as seq, l_suppkey as trader,
+  case when l_returnflag = 'R' then 'sell' else 'buy' end as side, l_quantity as tokens, l_extendedprice as sol, l_extendedprice / l_quantity as price from lineitem)"""
+TICKS = """ticks as (select event_type as mint, cast(floor(epoch(ts)) as bigint) as ts, event_id as seq, user_id as trader,
+  case when event_id % 2 = 0 then 'buy' else 'sell' end as side, value as price, cast(event_id % 7 + 1 as double) as sol from events)"""
+DAY = 86_400
+
+
+@query(f"with {LINES} select mint, count(*) as trades, count(distinct trader) as traders, min(ts) as first_ts, max(ts) as last_ts, max(ts) - min(ts) as span from lines group by mint")
+def corpus_census(spark, sf_dir):
+    t = tape.clean(line_tape(spark, sf_dir))
+    return t.groupBy("mint").agg(F.count("*").alias("trades"), F.countDistinct("trader").alias("traders"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (F.max("ts") - F.min("ts")).alias("span"))
+
+
+@query(f"""with {LINES}, s as (select mint, max(ts) - min(ts) as span, count(*) filter (where side = 'buy') as buys, count(*) filter (where sol >= 90000) as large from lines group by mint)
+select case when span < 180000000 then 'short_span' when buys = 0 then 'no_buy' when large = 0 then 'no_large_swap' else 'ok' end as status, count(*) as n from s group by 1""")
+def rejects_ledger(spark, sf_dir):
+    return tape.gate(line_tape(spark, sf_dir), 90_000, 180_000_000).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {LINES}, big as (select * from lines where sol >= 20000), base as (select mint, min(ts) as base from big group by mint)
+select mint, cast(floor((ts - base) / 2592000.0) as bigint) as bucket, median(price) as price, count(*) as trades from big join base using (mint) group by 1, 2""")
+def robust_price(spark, sf_dir):
+    return tape.robust_price(tape.clean(line_tape(spark, sf_dir)), 20_000, 30 * DAY)
+
+
+@query("""with v as (select event_type, list_sort(list(value) filter (where value is not null)) as s from events group by 1)
+select event_type, s[cast(round_even(0.1 * (len(s) - 1), 0) as int) + 1] as q10, s[cast(round_even(0.9 * (len(s) - 1), 0) as int) + 1] as q90,
+  s[cast(floor(0.75 * (len(s) - 1)) as int) + 1] as floor75, s[cast(floor(len(s) / 2) as int) + 1] as upper_median from v""")
+def quantile_conventions(spark, sf_dir):
+    v = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("s"))
+    s = F.col("s")
+    return v.select("event_type", C.nearest_rank(s, 0.1).alias("q10"), C.nearest_rank(s, 0.9).alias("q90"), C.floor_rank(s, 0.75).alias("floor75"), C.upper_median(s).alias("upper_median"))
+
+
+@query("""with b as (select cast(floor(o_totalprice / 50000) as bigint) as band, count(*) as n, count(*) filter (where o_orderstatus = 'F') as hits from orders group by 1 having count(*) >= 5),
+p as (select *, hits * 1.0 / n as p from b), c as (select *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) as centre, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) as spread from p)
+select band, n, hits, round(greatest(0.0, centre - spread), 9) as low, round(least(1.0, centre + spread), 9) as high from c""")
+def wilson_by_band(spark, sf_dir):
+    b = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_totalprice") / 50000).alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("hits")).where("n >= 5")
+    low, high = C.wilson(F.col("hits"), F.col("n"))
+    return b.select("band", "n", "hits", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query("""select m as threshold, count(*) filter (where o_totalprice >= m) * 1.0 / count(*) as share from orders, (values (50000.0::double), (100000.0), (200000.0), (400000.0)) as t(m) group by m""")
+def survival_sweep(spark, sf_dir):
+    sums = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), *(F.count_if(F.col("o_totalprice") >= m).alias(f"m{m}") for m in (50000, 100000, 200000, 400000)))
+    return sums.select(F.expr("stack(4, 50000D, m50000 / n, 100000D, m100000 / n, 200000D, m200000 / n, 400000D, m400000 / n) as (threshold, share)"))
+
+
+@query(f"""with {TICKS}, f as (select *, case when ts - lag(ts) over w > 21600 then 1 else 0 end as new from ticks window w as (partition by trader order by ts, seq)),
+c as (select *, sum(new) over (partition by trader order by ts, seq) as cluster from f)
+select trader, cast(cluster as bigint) as cluster, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from c group by 1, 2""")
+def user_sessions(spark, sf_dir):
+    c = sequence.gap_clusters(event_tape(spark, sf_dir), ["trader"], 21_600, ["ts", "seq"])
+    return c.groupBy("trader", "cluster").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"""with {TICKS}, r as (select trader, ts, row_number() over (partition by trader order by ts) as i, count(*) over (partition by trader) as n from ticks),
+k as (select *, greatest(1, cast(floor(n * 0.9) as bigint)) as k from r) select a.trader, min(b.ts - a.ts) as span from k a join k b on a.trader = b.trader and b.i = a.i + a.k - 1 group by 1""")
+def shortest_window_90(spark, sf_dir):
+    return event_tape(spark, sf_dir).groupBy("trader").agg(sequence.shortest_window(F.collect_list("ts"), 0.9).alias("span"))
+
+
+def fx(spark, sf_dir):
+    return event_tape(spark, sf_dir).where("side = 'buy' and seq % 10 = 0").groupBy("mint", "ts").agg(F.max("price").alias("rate"))
+
+
+FX = "fx as (select mint, ts, max(price) as rate from ticks where side = 'buy' and seq % 10 = 0 group by 1, 2)"
+SELLS = "sells as (select mint, ts, seq as id from ticks where side = 'sell')"
+
+
+@query(f"""with {TICKS}, {FX}, {SELLS}, first as (select mint, arg_min(rate, ts) as first_rate from fx group by 1)
+select s.mint, s.ts, s.id, coalesce(f.rate, first_rate) as rate from sells s asof left join fx f on s.mint = f.mint and s.ts >= f.ts left join first on first.mint = s.mint""")
+def as_of_clamped(spark, sf_dir):
+    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
+    return sequence.as_of(sells, fx(spark, sf_dir), ["mint"], "rate")
+
+
+@query(f"""with {TICKS}, {FX}, {SELLS}, n as (select s.id, arg_min(rate, (abs(f.ts - s.ts), f.ts)) as rate from sells s join fx f on f.mint = s.mint and abs(f.ts - s.ts) <= 5400 group by 1)
+select s.mint, s.ts, s.id, rate from sells s left join n using (id)""")
+def nearest_within(spark, sf_dir):
+    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
+    return sequence.nearest(sells, fx(spark, sf_dir), ["mint"], "rate", 5400)
+
+
+PROBES = "probes as (select distinct mint, ts as t from ticks where seq % 20 = 1)"
+
+
+def probes(spark, sf_dir):
+    return event_tape(spark, sf_dir).where("seq % 20 = 1").select("mint", F.col("ts").alias("t")).distinct()
+
+
+@query(f"""with {TICKS}, {PROBES} select p.mint, p.t, count(*) as trades, sum(sol) as volume from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 group by 1, 2""")
+def interval_volume(spark, sf_dir):
+    near = tape.in_window(probes(spark, sf_dir), event_tape(spark, sf_dir), 7200, closed=False)
+    return near.groupBy("mint", "t").agg(F.count("*").alias("trades"), F.sum("sol").alias("volume"))
+
+
+def depth_sql(side: str, direction: str, end: str) -> str:
+    return f"""with {TICKS}, {PROBES}, n as (select p.mint, p.t, k.price, row_number() over w as step, sum(sol) over w as total from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts {end} p.t + 7200
+  where side = '{side}' window w as (partition by p.mint, p.t order by k.price {direction}, k.ts, k.seq rows unbounded preceding)),
+b as (select mint, t, arg_min(price, step) filter (where total >= 6) as hit, arg_max(price, step) as worst from n group by 1, 2)
+select p.mint, p.t, coalesce(hit, worst) as price, case when worst is null then 'unfillable' when hit is null then 'thin' else 'ok' end as status from probes p left join b on p.mint = b.mint and p.t = b.t"""
+
+
+@query(depth_sql("sell", "desc", "<="))
+def depth_bid(spark, sf_dir):
+    return tape.depth(probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'sell' and price is not null"), "bid", 6, 7200)
+
+
+@query(depth_sql("buy", "asc", "<"))
+def depth_ask(spark, sf_dir):
+    return tape.depth(probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'buy' and price is not null"), "ask", 6, 7200)
+
+
+@query(f"""with {TICKS}, {PROBES}, n as (select p.mint, p.t, median(price) filter (where k.ts < p.t + 600) as a, median(price) filter (where k.ts < p.t + 1800) as b, median(price) as c
+  from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 group by 1, 2) select p.mint, p.t, coalesce(a, b, c) as mark from probes p left join n on p.mint = n.mint and p.t = n.t""")
+def market_mark(spark, sf_dir):
+    return tape.market_mark(probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200))
+
+
+PATH = "path as (select l_partkey as mint, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) - 1 as k, l_extendedprice as price from lineitem)"
+
+
+def path(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("mint"), (F.row_number().over(w) - 1).alias("k"), F.col("l_extendedprice").alias("price"))
+
+
+@query(f"""with {PATH}, m as (select *, max(price) over (partition by mint order by k rows between unbounded preceding and 1 preceding) as peak from path)
+select mint, min(k) as fires, min(k) + 1 as executes from m where price <= peak * (1 - 0.3) group by 1""")
+def trailing_stop(spark, sf_dir):
+    return tape.trailing_stop(path(spark, sf_dir), 0.3)
+
+
+@query(f"""with {PATH}, e as (select mint, price as entry from path where k = 0), h as (select mint, k, price, entry, case when price >= entry * 2.0 then 0 when price <= entry * 0.5 then 1 end as which from path join e using (mint) where k > 0),
+x as (select mint, min(k) as k from h where which is not null group by 1)
+select h.mint, h.k as fires, case which when 0 then 'take' else 'stop' end as reason, h.price * (1 - 0.01) * (1 - 0.02) / (entry * (1 + 0.01) * (1 + 0.02)) - 1 as pnl from h join x on h.mint = x.mint and h.k = x.k""".replace("(1 - 0.01)", "0.99::double").replace("(1 - 0.02)", "0.98::double").replace("(1 + 0.01)", "1.01::double").replace("(1 + 0.02)", "1.02::double"))
+def take_or_stop(spark, sf_dir):
+    return tape.first_exit(path(spark, sf_dir), 2.0, 0.5)
+
+
+@query("""with p as (select o_custkey as mint, list(o_totalprice order by o_orderdate, o_orderkey) as p from orders group by 1)
+select mint, (case when list_max(p) >= p[1] * 2.0 then 0.5::double else 0 end) * 2 + (case when list_max(p) >= p[1] * 5.0 then 0.25::double else 0 end) * 5
+ + (1 - (case when list_max(p) >= p[1] * 2.0 then 0.5::double else 0 end) - (case when list_max(p) >= p[1] * 5.0 then 0.25::double else 0 end)) * p[len(p)] / p[1] as proceeds from p""")
+def staged_exit(spark, sf_dir):
+    p = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda x: x.o_totalprice).alias("p"))
+    return p.select(F.col("o_custkey").alias("mint"), tape.staged_exit(F.col("p"), ((2.0, 0.5), (5.0, 0.25))).alias("proceeds"))
+
+
+@query("select l_suppkey as wallet, (sum(cast(l_quantity as bigint)) - max(cast(l_quantity as bigint))) * 1.0::double / (count(*) - 1) as mean_without_best from lineitem group by 1 having count(*) > 1")
+def leave_best_out(spark, sf_dir):
+    q = F.col("l_quantity").cast("bigint")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("wallet")).agg(((F.sum(q) - F.max(q)) / (F.count("*") - 1)).alias("mean_without_best"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+@query("""with d as (select distinct l_orderkey as g, l_partkey as i from lineitem), s as (select g from d group by 1 having count(*) between 2 and 200)
+select a.i as a, b.i as b, count(*) as shared from d a join d b using (g) where a.i < b.i and g in (select g from s) group by 1, 2 having count(*) >= 2""")
+def cooccurrence(spark, sf_dir):
+    return sequence.co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 200).where("shared >= 2")
+
+
+@query("""with d as (select distinct l_orderkey as g, l_partkey as i from lineitem), s as (select g from d group by 1 having count(*) between 2 and 200), n as (select i, count(*) as n from d group by 1),
+p as (select a.i as a, b.i as b, count(*) as shared from d a join d b using (g) where a.i < b.i and g in (select g from s) group by 1, 2)
+select a, b, shared, shared / (x.n + y.n - shared) as jaccard from p join n x on x.i = a join n y on y.i = b where shared >= 2""")
+def jaccard_edges(spark, sf_dir):
+    return sequence.jaccard(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 200).where("shared >= 2")
+
+
+@query("select l_suppkey as hub, count(distinct l_partkey) as tokens from lineitem group by 1 order by tokens desc, hub limit 15")
+def hub_ubiquity(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("hub")).agg(F.countDistinct("l_partkey").alias("tokens")).orderBy(F.desc("tokens"), "hub").limit(15)
+
+
+@query("""with recursive e as (select distinct o_custkey as a, o_custkey * 7 % 1000 + 1 as b from orders where o_totalprice > 250000), s as (select a, b from e where a <> b union select b, a from e where a <> b),
+r(id, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.id) select id, min(c) as component from r group by 1""")
+def components(spark, sf_dir):
+    with_checkpoints(spark)
+    edges = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b"))
+    return sequence.components(edges)
+
+
+PAID = "paid as (select o_custkey % 20 as label, o_custkey as wallet, o_totalprice as amount, cast(epoch(o_orderdate) as bigint) as ts, o_orderkey as seq from orders)"
+
+
+def paid(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("label"), F.col("o_custkey").alias("wallet"), F.col("o_totalprice").alias("amount"), epoch("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"))
+
+
+@query(f"""with {PAID}, h as (select a.label, a.seq from paid a join paid b on a.label = b.label and (b.amount > a.amount or b.amount = a.amount and b.seq > a.seq) and abs(b.ts - a.ts) <= 8640000 and b.wallet <> a.wallet
+  and b.amount <= a.amount * (1 + 0.0005) group by 1, 2 having count(distinct b.wallet) >= 2) select label, label in (select label from h) as split from (select distinct label from paid)""")
+def split_exists(spark, sf_dir):
+    return sequence.split_exists(paid(spark, sf_dir), "label", 0.0005, 8_640_000, 3)
+
+
+@query()
+def split_clusters(spark, sf_dir):
+    return splits.split_clusters(paid(spark, sf_dir), "label", 0.0005, 8_640_000, 3)
+
+
+@query("""with x as (select l_partkey, l_suppkey, l_orderkey, lead(l_suppkey) over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) as nxt from lineitem)
+select l_partkey as mint, count(*) filter (where nxt = l_suppkey) as reused, count(nxt) as pairs from x group by 1""")
+def adjacent_reuse(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("mint"), "l_suppkey", F.lead("l_suppkey").over(w).alias("nxt"))
+    return x.groupBy("mint").agg(F.count_if(F.col("nxt") == F.col("l_suppkey")).alias("reused"), F.count("nxt").alias("pairs"))
+
+
+@query("""select s_suppkey as source, c_custkey as wallet, arg_min(l_orderkey, (l_shipdate, l_orderkey)) as first_link from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+where l_shipdate >= o_orderdate group by 1, 2""")
+def trace_two_hop(spark, sf_dir):
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    c, s = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey")
+    j = l.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    return j.where("l_shipdate >= o_orderdate").groupBy(F.col("s_suppkey").alias("source"), F.col("c_custkey").alias("wallet")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("first_link"))
+
+
+@query("""with x as (select o_orderpriority as g, log10(o_totalprice) as y, log10(o_custkey + 1.0) as x from orders), d as (select y - avg(y) over (partition by g) as dy, x - avg(x) over (partition by g) as dx from x)
+select round(sum(dx * dy) / sum(dx * dx), 8) as slope, count(*) as n from d""")
+def demeaned_elasticity(spark, sf_dir):
+    x = table(spark, sf_dir, "orders").select("o_orderpriority", F.log10("o_totalprice").alias("y"), F.log10(F.col("o_custkey") + 1.0).alias("x"))
+    return statistics.demeaned_slope(x, "o_orderpriority", "x", "y").withColumn("slope", F.round("slope", 8))
+
+
+@query("""with r as (select c_nationkey, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as a, row_number() over (partition by c_nationkey order by c_custkey) as b from customer)
+select c_nationkey, round(corr(a, b), 8) as spearman from r group by 1 having count(*) > 2""")
+def ordinal_spearman(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_nationkey")
+    r = table(spark, sf_dir, "customer").select("c_nationkey", F.row_number().over(w.orderBy("c_acctbal", "c_custkey")).alias("a"), F.row_number().over(w.orderBy("c_custkey")).alias("b"))
+    return r.groupBy("c_nationkey").agg(F.round(F.corr("a", "b"), 8).alias("spearman"), F.count("*").alias("n")).where("n > 2").drop("n")
+
+
+STRATA = """strata as (select o_orderpriority as s, count(*) filter (where x and y) as a, count(*) filter (where x and not y) as b, count(*) filter (where not x and y) as c, count(*) filter (where not x and not y) as d, count(*) as n
+ from (select o_orderpriority, o_totalprice > 150000 as x, o_orderstatus = 'F' as y from orders) group by 1)"""
+
+
+@query(f"with {STRATA} select round(sum(a * d * 1.0 / n) / sum(b * c * 1.0 / n), 9) as pooled, round((sum(a) * 1.0 * sum(d)) / (sum(b) * 1.0 * sum(c)), 9) as crude from strata")
+def mantel_haenszel(spark, sf_dir):
+    x, y = F.col("o_totalprice") > 150000, F.col("o_orderstatus") == "F"
+    s = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(x & y).alias("a"), F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c"), F.count_if(~x & ~y).alias("d"), F.count("*").alias("n"))
+    pooled = F.sum(F.col("a") * F.col("d") / F.col("n")) / F.sum(F.col("b") * F.col("c") / F.col("n"))
+    crude = F.sum("a") * 1.0 * F.sum("d") / (F.sum("b") * 1.0 * F.sum("c"))
+    return s.agg(F.round(pooled, 9).alias("pooled"), F.round(crude, 9).alias("crude"))
+
+
+@query()
+def exact_tests(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    t = d.groupBy(F.col("lang").alias("key")).agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    total = d.agg(F.sum("toxic").alias("ta"), F.sum(1 - F.col("toxic")).alias("tb"))
+    return statistics.exact_tests(t.crossJoin(F.broadcast(total)).select("key", "a", "b", (F.col("ta") - F.col("a")).alias("c"), (F.col("tb") - F.col("b")).alias("d")))  # one row
+
+
+@query()
+def bootstrap_groups(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("id")).agg(F.avg("value").alias("mean")).where("mean is not null")
+    return statistics.bootstrap_mean_of_groups(g)
+
+
+@query()
+def null_model(spark, sf_dir):
+    pool = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("wallet"), F.col("l_partkey").alias("source")).where("source % 50 = wallet % 50")
+    return statistics.null_model(pool, (2, 4), 50, 7)
+
+
+@query("""with x as (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as pos, label from embeddings) select pos, count(*) as n, count(*) filter (where e > 0) as positive, max(e) as high, arg_max(vec_id, (e, vec_id)) as best from x group by 1""")
+def array_positions(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e"))
+    return x.groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"), F.count_if(F.col("e") > 0).alias("positive"), F.max("e").alias("high"), F.max_by("vec_id", F.struct("e", "vec_id")).alias("best"))
+
+
+@query("""select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, count(distinct o_custkey) as senders, sum(cast(round(o_totalprice * 100) as bigint)) as cents from orders group by rollup(strftime(o_orderdate, '%Y-%m'))""")
+def ledger_monthly(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return o.rollup("month").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("senders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
+
+
+@query("""select case when u % 1000000000 = 0 then 'whole' when u % 100000000 = 0 then 'tenth' when u % 10000000 = 0 then 'hundredth' when u % 1000000 = 0 then 'thousandth' else 'precise' end as roundness, count(*) as n
+from (select cast(round(o_totalprice * 1000000000) as bigint) as u from orders) group by 1""")
+def amount_roundness(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(C.roundness(C.units(F.col("o_totalprice"))).alias("roundness")).agg(F.count("*").alias("n"))
+
+
+@query("select length(rtrim(split_part(printf('%.9f', o_totalprice), '.', 2), '0')) as decimals, count(*) as n, max(cast(printf('%.2e', o_totalprice) as double)) as high from orders group by 1")
+def decimals(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(C.significant_decimals(F.col("o_totalprice")).cast("bigint").alias("decimals")).agg(F.count("*").alias("n"), F.max(C.significant(F.col("o_totalprice"), 3)).alias("high"))
+
+
+@query("select 'ID-' || substr(sha256(cast(c_custkey as varchar)), 1, 10) as id, c_mktsegment as segment from customer")
+def redact_ids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(C.pseudonym(F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("select event_id, json_extract_string(props, '$.' || json_keys(props)[1]) as first_value, len(json_keys(props)) as keys from events")
+def json_paths(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
+    return e.select("event_id", F.element_at(F.map_values("m"), 1).alias("first_value"), F.size(F.map_keys("m")).cast("bigint").alias("keys"))
+
+
+@query("select o_orderpriority, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r from orders) where r <= 3")
+def top_n_per_group(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_orderpriority", "o_orderkey", "o_totalprice")
+
+
+@query("""select 'both' as kind, count(*) as n from (select c_custkey from customer intersect select o_custkey from orders) union all select 'first', count(*) from (select c_custkey from customer except select o_custkey from orders)
+union all select 'any', count(*) from (select c_custkey from customer union select o_custkey from orders)""")
+def set_operations(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count("both", c.intersect(o)).union(count("first", c.subtract(o))).union(count("any", c.union(o).distinct()))
+
+
+@query("""with r as (select o_orderpriority as g, o_totalprice as v, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as r, count(*) over (partition by o_orderpriority) as n from orders)
+select g, cast(least(9, (r - 1) // greatest(1, n // 10)) as bigint) as decile, count(*) as n, min(v) as low, max(v) as high from r group by 1, 2""")
+def deciles(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_orderpriority")
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count("*").over(w).alias("n"))
+    decile = F.least(F.lit(9), F.floor((F.col("r") - 1) / F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).cast("bigint")
+    return r.groupBy("g", decile.alias("decile")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
