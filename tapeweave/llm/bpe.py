@@ -98,11 +98,9 @@ class Remembering:
                 ids[0] = self.first[x[0]]
         if lacking := [k for k, x in enumerate(found) if None in x]:
             wanted = {p for k in lacking for p, i in zip(cut[k][1:], found[k][1:]) if i is None}
-            if len(self.later) + len(wanted) > REMEMBERED:
-                wanted = {p for x in cut for p in x[1:]}
             self._learn(wanted)
             for k in lacking:
-                found[k] = [self.first[cut[k][0]], *map(self.later.__getitem__, cut[k][1:])]
+                found[k] = [self.later[p] if i is None else i for p, i in zip(cut[k], found[k])]
         return [b"".join(x) for x in found]
 
 

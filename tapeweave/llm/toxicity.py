@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tapeweave.llm.common import remainder, steps, table, texts
 
 #: Labelled rows of each label that the network is trained on, at most: those with the smallest hashes of their ids.
-SAMPLE = 3_000
+SAMPLE = 2_000
 THRESHOLD = 0.5
 WINDOW, STRIDE = 64, 48
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 12, 12, 8, 8
@@ -155,7 +155,8 @@ def laid(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def windows_of(rows: list[tuple[bytes, int]], seed: int = 5) -> tuple[list[list[bytes]], np.ndarray]:
     """Training windows, of plain words, and their labels."""
-    docs = [([plain(w) for w in text.split()], label) for text, label in rows]
+    same: dict[bytes, bytes] = {}
+    docs = [([same.setdefault(p, p) for p in map(plain, text.split())], label) for text, label in rows]
     toxic, clean = (Counter(w for words, y in docs if y == label for w in set(words)) for label in (1, 0))
     n, m = (max(1, sum(y == label for _, y in docs)) for label in (1, 0))
     odds = {w: math.log((c + 0.5) / n) - math.log((clean[w] + 0.5) / m) for w, c in toxic.items() if c >= max(3, n // 400)}
@@ -188,8 +189,10 @@ def train_network(rows: list[tuple[bytes, int]], rounds: tuple[int, ...] = (3, 2
     for k, passes in enumerate(rounds):
         step = epochs(weights, windows, labels, first, second, step, passes, batch, rate / (k + 1), rng)
         if k < len(rounds) - 1:
-            hard = [w for _, w, score in Scorer(weights).windows(clean) if score >= 0.2]
-            hard = [[plain(x) for x in hard[i]] for i in rng.permutation(len(hard))[: len(windows)]]
+            scorer = Scorer(weights)
+            same = {w: w for x in windows for w in x}
+            hard = [[same.setdefault(p, p) for p in map(plain, w)] for at in range(0, len(clean), 50) for _, w, score in scorer.windows(clean[at : at + 50]) if score >= 0.2]
+            hard = [hard[i] for i in rng.permutation(len(hard))[: len(windows)]]
             windows, labels = windows + hard, np.concatenate([labels, np.zeros(len(hard), np.float32)])
     return weights
 
