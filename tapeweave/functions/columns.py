@@ -10,10 +10,12 @@ FEE, SLIPPAGE, Z = 0.01, 0.02, 1.96
 
 def wilson(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """Score interval of a share, clamped to 0..1; null for n = 0."""
-    p = hits / F.nullif(n.cast("double"), F.lit(0.0))
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = hits / n
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    known = n.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), centre - spread)), F.when(known, F.least(F.lit(1.0), centre + spread))
 
 
 def nearest_rank(values: Column, q: float) -> Column:
