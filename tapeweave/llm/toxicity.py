@@ -25,7 +25,7 @@ THRESHOLD = 0.5
 WINDOW, STRIDE = 64, 48
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 12, 12, 8, 8
 #: Words whose inputs one Python worker keeps; beyond, they are computed anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Punctuation at a word's ends that its input leaves out.
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
