@@ -34,7 +34,7 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Below it, lower-casing is letter by letter and texts of letters are composed.
 PLAIN_LATIN = "\u0180"
 #: Pieces kept by one Python worker; beyond, the memory is emptied and filled anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Of these, the first ones, mostly frequent, are looked up in a small dictionary that stays in the processor's cache.
 AT_HAND = 20_000
 NONE = np.iinfo(np.int64).max
