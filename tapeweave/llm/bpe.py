@@ -4,10 +4,12 @@
 smallest (rank, position); the root names the leftmost lowest-rank merge, each merge changes three leaves and their
 ancestors, and the word is done when the root is empty. Words of a batch with equally many leaves run side by side in
 numpy. `LibraryBPE` encodes with the tokenizers library. Both keep the ids of the pieces of text that they have seen,
-as little-endian unsigned 32-bit integers, so that a document's ids are the concatenation of its pieces' ids.
+in numpy arrays under a 64-bit hash of the piece's bytes (for V different pieces, two share a hash with probability
+V * V / 2**65), so that a document's ids are the concatenation of its pieces' ids.
 
-A text is cut at each single space between two characters that aren't white space: a byte-level pre-tokenizer starts
-a new word at such a space whatever surrounds it, so pieces can be encoded apart.
+A text is cut before each single space between two characters that aren't white space, and between an ASCII letter and
+punctuation other than an apostrophe: pre-tokenizers start a new word there whatever surrounds it, so pieces can be
+encoded apart. Special tokens' strings hold no such space; where one occurs, only spaces cut.
 
 Empty texts have no ids. Any Unicode text, and the special tokens' strings within it, give what the library gives.
 """
@@ -19,42 +21,64 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 
+from tapeweave.llm.words import BASE, mixed, powers
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space beside the space itself. U+180E counts with some libraries.
-WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-BETWEEN = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-#: Characters that may follow a word's letters within a piece and then are a word of their own; no apostrophe, which
-#: may begin a contraction.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space; U+180E counts with some libraries.
+WHITE = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: By byte: may stand beside a space that is cut; is a letter; is punctuation that begins a word of its own after a
+#: letter (no apostrophe, which may begin a contraction).
+BESIDE = ~np.isin(np.arange(256), WHITE[WHITE < 0x80])
+LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+TAIL = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
+#: Spaces before and after the joined texts.
+EDGE = 4
+#: A random value for each byte; the hash of a piece is a polynomial over them.
+VALUE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
 #: Below it, lower-casing is letter by letter and texts of letters are composed.
 PLAIN_LATIN = "\u0180"
 #: Pieces kept by one Python worker; beyond, the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
-#: Of these, the first ones, mostly frequent, are looked up in a small dictionary that stays in the processor's cache.
-AT_HAND = 20_000
+REMEMBERED = 2_000_000
 NONE = np.iinfo(np.int64).max
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at lone spaces, which begin every piece but the first and are left out."""
-    odd = "  " in text or text[:1] == " " or text[-1:] == " "
-    for c in WHITE[:9] if text.isascii() else WHITE:
-        odd = odd or c in text and (c + " " in text or " " + c in text)
-    return BETWEEN.split(text) if odd else text.split(" ")
+def code_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the UTF-8 characters that begin at these places; 0 for those of four bytes."""
+    a, b, c = (data[at + k].astype(np.int64) for k in range(3))
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    return np.where(a < 0x80, a, np.where(a < 0xE0, two, np.where(a < 0xF0, three, 0)))
+
+
+def cuts(data: np.ndarray, tails: bool) -> np.ndarray:
+    """Where pieces begin within UTF-8 bytes that have EDGE spaces on both sides; at punctuation only with `tails`."""
+    space = np.flatnonzero(data[EDGE:-EDGE] == 0x20) + EDGE
+    space = space[BESIDE[data[space - 1]] & BESIDE[data[space + 1]]]
+    wide = np.flatnonzero((data[space - 1] | data[space + 1]) >= 0x80)
+    at = space[wide]
+    lead = np.where(data[at - 1] < 0x80, at - 1, np.where(data[at - 2] >= 0xC0, at - 2, at - 3))
+    space = np.delete(space, wide[np.isin(code_at(data, at + 1), WHITE) | np.isin(code_at(data, lead), WHITE)])
+    return np.concatenate([space, np.flatnonzero(LETTER[data[:-1]] & TAIL[data[1:]]) + 1]) if tails else space
 
 
 class Remembering:
-    """Ids by piece. Subclasses encode what isn't known yet."""
+    """Ids by piece, in arrays: a table of slots probed one after the other leads from a hash to a row, a row to its run
+    of ids. Row 0 is none. Subclasses encode what isn't known yet."""
+
+    specials: list[bytes]
 
     def __init__(self) -> None:
-        self.later: dict[str, bytes] = {}
-        self.hand: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self._forget(1)
+
+    def _forget(self, least: int) -> None:
+        most = max(REMEMBERED, least)
+        self.mask = (1 << (2 * most).bit_length()) - 1
+        self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        self.first, self.count = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int32)
+        self.rows, self.used, self.ids = 0, 0, np.empty(1 << 16, "<u4")
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, each after a space."""
@@ -64,44 +88,88 @@ class Remembering:
         """Ids of any pieces of text, as they are."""
         raise NotImplementedError
 
-    def _learn(self, wanted: set[str]) -> None:
-        known = self.later
-        if len(known) + len(wanted) > REMEMBERED:
-            known.clear()
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of hashes."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        row = self.slots[at]
+        left = np.flatnonzero((row > 0) & (self.keys[at] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            row[left] = self.slots[at[left]]
+            left = left[(row[left] > 0) & (self.keys[at[left]] != keys[left])]
+        return row
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encodes pieces, all different and new, and gives each the next row."""
         gc.disable()  # it makes hundreds of thousands of objects, none in a cycle
-        at_hand = len(self.hand) < AT_HAND
-        parts = {x: (w, x[len(w) :]) for x in wanted if (w := x.rstrip(TAIL)).isalpha() and w.lower().isalpha()}
-        words = list({w for w, _ in parts.values()}.difference(known))
-        known.update(zip(words, self.encode_words(words), strict=True))
-        odd = [" " + x for x in wanted if x not in parts]
-        tails = list({t for _, t in parts.values() if t})
-        known.update(zip([x[1:] for x in odd], self.encode_odd(odd), strict=True))
-        tail = dict(zip(tails, self.encode_odd(tails), strict=True)) | {"": b""}
-        known.update((x, known[w] + tail[t]) for x, (w, t) in parts.items() if t)
-        if at_hand:
-            self.hand.update((x, known[x]) for x in list(wanted)[: AT_HAND - len(self.hand)])
+        words = [k for k, x in enumerate(pieces) if x[0] == " " and x[1:].isalpha() and x[1:].lower().isalpha()]
+        odd = sorted(set(range(len(pieces))).difference(words))
+        got = [b""] * len(pieces)
+        for which, ids in ((words, self.encode_words([pieces[k][1:] for k in words])), (odd, self.encode_odd([pieces[k] for k in odd]))):
+            for k, x in zip(which, ids, strict=True):
+                got[k] = x
         gc.enable()
+        new = np.frombuffer(b"".join(got), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(new), "<u4")])
+        self.ids[self.used : self.used + len(new)] = new
+        row = np.arange(self.rows + 1, self.rows + 1 + len(keys), dtype=np.int32)
+        self.count[row] = [len(x) // 4 for x in got]
+        self.first[row] = self.used + np.cumsum(self.count[row]) - self.count[row]
+        self.rows, self.used = self.rows + len(keys), self.used + len(new)
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(row):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = row[free]
+            mine = self.slots[at] == row  # of several at one slot, one stays
+            self.keys[at[mine]] = keys[mine]
+            keys, row, at = keys[~mine], row[~mine], (at[~mine] + 1) & self.mask
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [pieces(x) for x in batch]
-        if new := list({x[0] for x in cut}.difference(self.first)):
-            if len(self.first) + len(new) > REMEMBERED:
-                self.first.clear()
-                new = list({x[0] for x in cut})
-            self.first.update(zip(new, self.encode_odd(new), strict=True))
-        near, far = self.hand.get, self.later.get
-        found = [[self.first[x[0]], *map(near, x[1:])] for x in cut]
-        for x, ids in zip(cut, found):
-            if None in ids:
-                ids[:] = [i or far(p) for p, i in zip(x, ids)]
-                ids[0] = self.first[x[0]]
-        if lacking := [k for k, x in enumerate(found) if None in x]:
-            wanted = {p for k in lacking for p, i in zip(cut[k][1:], found[k][1:]) if i is None}
-            self._learn(wanted)
-            for k in lacking:
-                found[k] = [self.later[p] if i is None else i for p, i in zip(cut[k], found[k])]
-        return [b"".join(x) for x in found]
+        return self.encode_raw([x.encode() for x in batch])
+
+    def encode_raw(self, raw: list[bytes]) -> list[bytes]:
+        """The same for texts as UTF-8 bytes."""
+        size = np.array([len(x) for x in raw], np.int64)
+        out = [b""] * len(raw)
+        full = np.flatnonzero(size)
+        if not len(full):
+            return out
+        joined = b" " * EDGE + b" ".join(raw) + b" " * EDGE
+        data = np.frombuffer(joined, np.uint8)
+        end = EDGE + np.cumsum(size + 1) - 1
+        lower = joined.lower()
+        begins = np.zeros(len(data), bool)
+        begins[cuts(data, not any(x in lower for x in self.specials))] = True
+        begins[end] = False  # between texts
+        begins[(end - size)[full]] = True
+        start = np.flatnonzero(begins)
+        of = np.searchsorted((end - size)[full], start, "right") - 1
+        stop = np.minimum(np.append(start[1:], len(data)), end[full][of])
+        power, inverse = powers(len(data))
+        total = np.cumsum(VALUE[data] * power[: len(data)])
+        keys = mixed((total[stop - 1] - total[start - 1]) * inverse[start])
+        row = self._find(keys)
+        new = np.flatnonzero(row == 0)
+        if len(new):
+            wanted, first = np.unique(keys[new], return_index=True)
+            if self.rows + len(wanted) > REMEMBERED:
+                new = np.arange(len(keys))
+                wanted, first = np.unique(keys, return_index=True)
+                self._forget(len(wanted))
+            first = new[first]
+            self._learn(wanted, [joined[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist())])
+            row[new] = self._find(keys[new])
+        count = self.count[row].astype(np.int64)
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[row] - upto + count, count) + np.arange(upto[-1])].tobytes()
+        bounds = 4 * upto[np.searchsorted(of, np.arange(len(full)), "right") - 1]
+        at = 0
+        for k, b in zip(full.tolist(), bounds.tolist()):
+            out[k] = ids[at:b]
+            at = b
+        return out
 
 
 class LibraryBPE(Remembering):
@@ -116,6 +184,7 @@ class LibraryBPE(Remembering):
         self.tokenizer.no_padding()
         added = sorted(self.tokenizer.get_added_tokens_decoder().items())
         self.mark_id, self.mark = added[0][0], added[0][1].content
+        self.specials = [t.content.lower().encode() for _, t in added]
         vocab = self.tokenizer.get_vocab()
         starts, ends = ([i for token, i in vocab.items() if test(token)] for test in (lambda t: t[0] == "\u0120", lambda t: t.endswith("</w>")))
         self.by_end = bool(ends)
@@ -194,6 +263,7 @@ class SegmentTreeBPE(Remembering):
         self.codes, self.ranks = codes[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.specials = [x.lower().encode() for x in self.special]
         self.bytes_of = {i: bytes(self.byte_of[c] for c in token) for token, i in vocab.items() if all(c in self.byte_of for c in token)}
         self.bytes_of |= {i: token.encode() for token, i in vocab.items() if i not in self.bytes_of}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}

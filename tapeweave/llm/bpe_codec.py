@@ -21,7 +21,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(SegmentTreeBPE, path)
         for part in (p for b in batches for p in steps(b)):
-            ids = bpe.encode_batch([x.decode() for x in texts(part["text"])])
+            ids = bpe.encode_raw(texts(part["text"]))
             yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     docs = docs.select("doc_id", "text")
@@ -45,7 +45,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(SegmentTreeBPE, path)
         for part in (p for b in batches for p in steps(b)):
-            ids = bpe.encode_batch([x.decode() for x in texts(part["text"])])
+            ids = bpe.encode_raw(texts(part["text"]))
             columns = [
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

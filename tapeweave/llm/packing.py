@@ -110,7 +110,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
 
         for part in (p for b in batches for p in steps(b)):
             schema = [part.schema.field("doc_id").type, *[pa.int64()] * 6]
-            for doc_id, ids in zip(part["doc_id"].to_pylist(), bpe.encode_batch([x.decode() for x in texts(part["text"])]), strict=True):
+            for doc_id, ids in zip(part["doc_id"].to_pylist(), bpe.encode_raw(texts(part["text"])), strict=True):
                 bins.add(doc_id, ids + end)
             yield flush()
         bins.finish()

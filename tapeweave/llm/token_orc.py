@@ -42,7 +42,7 @@ def write_ids(docs: DataFrame, to: str, path: str, end_id: int) -> None:
         bpe, end, before = loaded(LibraryBPE, path), end_id.to_bytes(4, "little"), 0
         part_id = TaskContext.get().partitionId()
         for part in (p for b in batches for p in steps(b)):
-            ids = [x + end for x in bpe.encode_batch([x.decode() for x in texts(part["text"])])]
+            ids = [x + end for x in bpe.encode_raw(texts(part["text"]))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
