@@ -35,6 +35,26 @@ def upper_median(values: Column) -> Column:
     return F.get(known, F.floor(F.size(known) / 2).cast("int"))
 
 
+def exclusive_quantile(values: Column, q: float) -> Column:
+    """Of a collected array of n: linear between elements around place q * (n + 1), counted from 1; needs 1 <= place < n."""
+    known = F.sort_array(F.array_compact(values))
+    place = F.lit(q) * (F.size(known) + 1)
+    low = F.floor(place).cast("int")
+    return F.get(known, low - 1) + (place - low) * (F.get(known, low) - F.get(known, low - 1))
+
+
+def count_rank(values: Column, q: float) -> Column:
+    """Of a collected array: the element at round-half-even(q * n), the last one at most."""
+    known = F.sort_array(F.array_compact(values))
+    return F.get(known, F.least(F.size(known) - 1, F.bround(F.lit(q) * F.size(known), 0).cast("int")))
+
+
+def slice_rank(values: Column, k: int) -> Column:
+    """Of a collected array: the element at n div k."""
+    known = F.sort_array(F.array_compact(values))
+    return F.get(known, F.floor(F.size(known) / k).cast("int"))
+
+
 def round_trip(price_in: Column, price_out: Column) -> Column:
     """Net return of a purchase and a sale, each with fee and slippage."""
     return price_out * (1 - FEE) * (1 - SLIPPAGE) / (price_in * (1 + FEE) * (1 + SLIPPAGE)) - 1

@@ -58,6 +58,17 @@ def jaccard(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
     return joined.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 
 
+def lift(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """Pairs of items with the groups they share, the number expected of independent items, and their ratio."""
+    distinct = members.select(group, item).distinct()
+    total = distinct.agg(F.countDistinct(group).alias("total"))
+    sizes = distinct.groupBy(item).agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    joined = co_occurrence(members, group, item, most).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))  # one row
+    expected = F.col("n_a") * F.col("n_b") / F.col("total")
+    return joined.select("a", "b", "shared", expected.alias("expected"), (F.col("shared") / expected).alias("lift"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component, the smallest id reachable, of the ends of edges a, b; hooks nodes to their smallest neighbours
     and contracts until no edge is left, with checkpoints in the shared folder."""

@@ -370,3 +370,114 @@ def deciles(spark, sf_dir):
     r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count("*").over(w).alias("n"))
     decile = F.least(F.lit(9), F.floor((F.col("r") - 1) / F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).cast("bigint")
     return r.groupBy("g", decile.alias("decile")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+@query("""with x as (select o_orderkey, o_totalprice as v, o_orderdate as d from orders) select case when grouping(month) = 0 then 'month' when grouping(quarter) = 0 then 'quarter' else 'all' end as level,
+  coalesce(month, quarter) as period, count(*) as n, median(v) as median_value, max(v) as high from (select v, strftime(d, '%Y-%m') as month, year(d) || '-Q' || quarter(d) as quarter from x) group by grouping sets ((month), (quarter), ())""")
+def period_tables(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate")).alias("quarter"))
+    level = F.when(F.grouping("month") == 0, "month").when(F.grouping("quarter") == 0, "quarter").otherwise("all")
+    sets = o.groupingSets([["month"], ["quarter"], []], "month", "quarter")
+    return sets.agg(level.alias("level"), F.count("*").alias("n"), F.median("v").alias("median_value"), F.max("v").alias("high")).select("level", F.coalesce("month", "quarter").alias("period"), "n", "median_value", "high")
+
+
+@query("""with s as (select l_partkey as mint, list_sort(list(l_quantity)) as q, count(*) as n from lineitem group by 1 having count(*) >= 4)
+select mint, q[cast(floor(0.25 * (n + 1)) as int)] + (0.25 * (n + 1) - floor(0.25 * (n + 1)))::double * (q[cast(floor(0.25 * (n + 1)) as int) + 1] - q[cast(floor(0.25 * (n + 1)) as int)]) as q1,
+  q[least(n, cast(round_even(n * 0.9, 0) as int) + 1)] as at90, q[n // 4 + 1] as quarter_slice from s""")
+def exclusive_quartiles(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("mint")).agg(F.collect_list("l_quantity").alias("q"), F.count("*").alias("n")).where("n >= 4")
+    q = F.col("q")
+    return s.select("mint", C.exclusive_quantile(q, 0.25).alias("q1"), C.count_rank(q, 0.9).alias("at90"), C.slice_rank(q, 4).alias("quarter_slice"))
+
+
+@query("""with g as (select l_orderkey as g, l_suppkey as i from lineitem group by 1, 2), t as (select count(distinct g) as total from g), n as (select i, count(*) as n from g group by 1), f as (select g from g group by 1 having count(*) between 2 and 200),
+p as (select a.i as a, b.i as b, count(*) as shared from g a join g b using (g) where a.i < b.i and g in (select g from f) group by 1, 2)
+select a, b, shared, x.n * y.n / total as expected, shared / (x.n * y.n / total) as lift from p join n x on x.i = a join n y on y.i = b, t""")
+def pair_lift(spark, sf_dir):
+    return sequence.lift(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", 200)
+
+
+@query("""with d as (select distinct l_partkey as mint, l_suppkey as w, min(l_shipdate) as t from lineitem group by 1, 2), g as (select w, count(*) as tokens, min(t) as first_seen, max(t) as last_seen from d group by 1)
+select w as wallet, tokens, case when tokens >= 70 then 'hub' when tokens >= 30 then 'between' else 'private' end as tier, cast(epoch(last_seen) as bigint) - cast(epoch(first_seen) as bigint) as span from g""")
+def hub_tiers(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(epoch("l_shipdate")).alias("t"))
+    g = d.groupBy(F.col("l_suppkey").alias("wallet")).agg(F.count("*").alias("tokens"), (F.max("t") - F.min("t")).alias("span"))
+    return g.select("wallet", "tokens", F.when(F.col("tokens") >= 70, "hub").when(F.col("tokens") >= 30, "between").otherwise("private").alias("tier"), "span")
+
+
+@query("""select l_suppkey as counterparty, count(*) as n, min(l_shipdate)::date as first_day, max(l_shipdate)::date as last_day, sum(cast(round(l_extendedprice * 100) as bigint)) as cents,
+  list_sort(list(distinct l_quantity))[1:3] as smallest, max(l_extendedprice) as high, arg_max(l_orderkey, (l_extendedprice, -l_orderkey)) as best from lineitem group by 1""")
+def counterparty_rollup(spark, sf_dir):
+    day = F.col("l_shipdate").cast("date")
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("counterparty"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    return g.agg(F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), cents.alias("cents"), F.slice(F.sort_array(F.collect_set("l_quantity")), 1, 3).alias("smallest"),
+                 F.max("l_extendedprice").alias("high"), F.max_by("l_orderkey", F.struct("l_extendedprice", -F.col("l_orderkey"))).alias("best"))
+
+
+@query("""with c as (select l_suppkey as w, cast(round(l_quantity * 100) as bigint) as amount, count(*) as n, count(distinct l_partkey) as mints from lineitem group by 1, 2 having count(*) >= 2)
+select w as wallet, count(*) as repeated, max(n) as most, arg_max(amount, (n, -amount)) as amount, max(mints) as mints from c group by 1""")
+def repeated_amounts(spark, sf_dir):
+    amount = F.round(F.col("l_quantity") * 100).cast("bigint")
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("wallet"), amount.alias("amount")).agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("mints")).where("n >= 2")
+    return c.groupBy("wallet").agg(F.count("*").alias("repeated"), F.max("n").alias("most"), F.max_by("amount", F.struct("n", -F.col("amount"))).alias("amount"), F.max("mints").alias("mints"))
+
+
+@query(f"""with {LINES}, b as (select mint, min(ts) as born from lines group by 1), x as (select mint, (ts - born) / 86400.0 as age, price from lines join b using (mint)),
+h as (select mint, arg_max(price, (age, price)) filter (where age <= 90) as h90, arg_max(price, (age, price)) filter (where age <= 365 and age > 90) as h365, arg_max(price, (age, price)) filter (where age > 365) as later from x group by 1)
+select horizon, count(p) as n, median(p) as seen, median(coalesce(p, 0)) as all_mints, median(p) filter (where whole) as matched from (select mint, unnest(['h90', 'h365', 'later']) as horizon, unnest([h90, h365, later]) as p,
+  h90 is not null and h365 is not null and later is not null as whole from h) group by 1""")
+def horizon_panels(spark, sf_dir):
+    lines = tape.clean(line_tape(spark, sf_dir))
+    x = lines.join(lines.groupBy("mint").agg(F.min("ts").alias("born")), "mint").select("mint", ((F.col("ts") - F.col("born")) / 86400).alias("age"), "price")
+    last = lambda test: F.max_by(F.when(test, F.col("price")), F.when(test, F.struct("age", "price")))
+    age = F.col("age")
+    h = x.groupBy("mint").agg(last(age <= 90).alias("h90"), last((age <= 365) & (age > 90)).alias("h365"), last(age > 365).alias("later"))
+    long = h.withColumn("whole", F.expr("h90 is not null and h365 is not null and later is not null")).unpivot(["mint", "whole"], ["h90", "h365", "later"], "horizon", "p")
+    return long.groupBy("horizon").agg(F.count("p").alias("n"), F.median("p").alias("seen"), F.median(F.coalesce("p", F.lit(0.0))).alias("all_mints"), F.median(F.when(F.col("whole"), F.col("p"))).alias("matched"))
+
+
+@query("""with x as (select user_id, event_id, event_type, ts from events), b as (select user_id, min(ts) filter (where event_type = 'click') as t0 from x group by 1)
+select x.user_id, min(epoch_us(ts) - epoch_us(t0)) as delay_us, arg_min(event_id, (ts, event_id)) as first_purchase from x join b using (user_id) where event_type = 'purchase' and ts > t0 group by 1""")
+def first_then_first(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    b = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("ts").alias("t0"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    later = e.where("event_type = 'purchase'").join(b, "user_id").where("ts > t0")
+    return later.groupBy("user_id").agg(F.min(us("ts") - us("t0")).alias("delay_us"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_purchase"))
+
+
+@query("""select o_custkey as wallet, max(n) as n, max(n) filter (where i % 3 = 1) as strided, count(*) filter (where i % 3 = 1) as kept from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders) group by 1""")
+def sample_strided(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey")
+    r = table(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("i"), F.count("*").over(w).alias("n"))
+    step = F.col("i") % 3 == 1
+    return r.groupBy(F.col("o_custkey").alias("wallet")).agg(F.max("n").alias("n"), F.max(F.when(step, F.col("n"))).alias("strided"), F.count_if(step).alias("kept"))
+
+
+@query("""select l_partkey as mint, sum(cast(round(l_extendedprice * 100) as bigint)) / sum(cast(l_quantity as bigint)) as vwap_cents, case when count(*) < 2 or avg(cast(l_quantity as bigint)) = 0 then 0 else round(stddev_pop(l_quantity) / avg(l_quantity), 8) end as cv from lineitem group by 1""")
+def vwap_and_spread(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("mint"))
+    cents, q = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")), F.col("l_quantity")
+    cv = F.when((F.count("*") < 2) | (F.avg(q) == 0), 0.0).otherwise(F.round(F.stddev_pop(q) / F.avg(q), 8))
+    return g.agg((cents / F.sum(q.cast("bigint"))).alias("vwap_cents"), cv.alias("cv"))
+
+
+@query("""with p as (select o_custkey as payee, o_orderkey, o_orderdate as paid, o_totalprice from orders), f as (select o_custkey as payee, min(o_orderdate) as born from orders group by 1)
+select case when o_totalprice < 20000 then 'dust' when o_totalprice < 200000 then 'between' else 'funded' end as tier, count(*) as n, count(*) filter (where paid <= born + interval 30 day) as fresh, count(distinct payee) as payees from p join f using (payee) group by 1""")
+def fresh_payees(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("payee"), "o_totalprice", epoch("o_orderdate").alias("paid"))
+    tier = F.when(F.col("o_totalprice") < 20000, "dust").when(F.col("o_totalprice") < 200000, "between").otherwise("funded")
+    x = o.join(o.groupBy("payee").agg(F.min("paid").alias("born")), "payee")
+    return x.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if(F.col("paid") <= F.col("born") + 30 * DAY).alias("fresh"), F.countDistinct("payee").alias("payees"))
+
+
+@query("""with x as (select lang, source, count(*) as n, count(toxic) as covered, count(*) filter (where toxic = 1) as hits from documents left join labels using (doc_id) group by 1, 2)
+select lang, source, n, covered, hits, case when covered = 0 then 'unmeasured' when covered < n then 'partial' when hits = 0 then 'negative' else 'detected' end as verdict, hits / nullif(covered, 0) as rate from x""")
+def coverage_verdicts(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    g = x.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count("toxic").alias("covered"), F.count_if(F.col("toxic") == 1).alias("hits"))
+    verdict = F.when(F.col("covered") == 0, "unmeasured").when(F.col("covered") < F.col("n"), "partial").when(F.col("hits") == 0, "negative").otherwise("detected")
+    return g.select("*", verdict.alias("verdict"), F.try_divide("hits", "covered").alias("rate"))
