@@ -65,6 +65,8 @@ def test_statistics(spark):
     assert statistics.congruential(12345, 1000, 3).tolist() == statistics.congruential(12345, 0, 1003)[1000:].tolist()
     values = spark.createDataFrame([([4.0, 3.0, 2.0, 1.0],), ([5.0, None, 1.0, None],)], "v array<double>")
     assert [r[0] for r in values.select(columns.nearest_rank(F.col("v"), 0.0)).collect()] == [1, 1]
+    few = spark.createDataFrame([([4.0, 3.0, None, 2.0, 1.0],)], "v array<double>").select(columns.exclusive_quantile(F.col("v"), 0.25), columns.count_rank(F.col("v"), 1.0), columns.slice_rank(F.col("v"), 4)).first()
+    assert tuple(few) == (1.25, 4.0, 2.0)
     fair = spark.range(1).select(columns.round_trip(F.lit(1.0), F.lit(1.0))).first()[0]
     assert fair == pytest.approx(0.99 * 0.98 / (1.01 * 1.02) - 1)
 
