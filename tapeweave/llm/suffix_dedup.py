@@ -209,6 +209,8 @@ def suffix_runs(docs: DataFrame, spans: Spans, ranges: int) -> DataFrame:
                 if x[:3] == last:
                     if x[3] != kept[-1][3]:
                         repeats.append((x[3], x[4] - len(x[2]), x[4] + len(x[1]) - spans.span))
+                    elif x[4] != kept[-1][4]:  # another place of the same document: an earlier one may be in another run
+                        kept.append(x)
                 else:
                     kept.append(x)
                     last = x[:3]

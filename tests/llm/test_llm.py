@@ -155,6 +155,23 @@ def test_suffix_dedup(docs, rows, nothing):
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
 
 
+def test_suffix_dedup_of_a_passage_twice_in_one_document(spark):
+    rng = random.Random(12)
+    filler = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows, want = [], {}
+    for k in range(30):
+        passage = filler(200)
+        rows += [(2 * k, f"{filler(60)}0{passage}1{filler(60)}"), (2 * k + 1, f"{filler(60)}2{passage}3{filler(70)}4{passage}5{filler(60)}")]
+        want |= {2 * k: (0, 0), 2 * k + 1: (400, 2)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digest(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
 def test_loser_tree_merges_with_prefixes():
     rng = random.Random(2)
     for _ in range(200):
