@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,18 +94,102 @@ def bootstrap_mean_of_groups(groups: DataFrame, seed: int = 999, replicates: int
     return drawn.select(F.lit(float(values.mean())).alias("estimate"), F.get("e", F.lit(at[0])).alias("low"), F.get("e", F.lit(at[1])).alias("high"))
 
 
-def null_model(pool: DataFrame, sizes: tuple[int, ...], draws: int, seed: int) -> DataFrame:
-    """size and share of draws of that many wallets in which two or more have a source in common. pool: wallet, source.
+def drawn_groups(wallets: DataFrame, sizes: tuple[int, ...], draws: int, seed: int) -> DataFrame:
+    """wallet and round (the size's place times draws, plus the draw) of seeded draws without replacement; sizes beyond
+    the number of wallets are left out. Draws are of places in the sorted wallets, joined to them by place."""
+    spark = wallets.sparkSession
+    schema = wallets.select("wallet").schema.simpleString()[7:-1]
+    numbered = spark.createDataFrame(wallets.select("wallet").distinct().orderBy("wallet").rdd.zipWithIndex().map(lambda x: (x[0].wallet, x[1])), f"{schema}, at long").checkpoint()
+    total = numbered.count()
 
-    Each draw takes the wallets with the smallest hashes of (seed, size, draw, wallet), so tasks need no shared state."""
-    spark = pool.sparkSession
-    wallets = pool.select("wallet").distinct()
-    rounds = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, sizes))).alias("size"))
-    order = Window.partitionBy("size", "draw").orderBy(F.xxhash64(F.lit(seed), "size", "draw", "wallet"), "wallet")
-    chosen = wallets.join(F.broadcast(rounds)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("size"))  # a stated number of draws
-    met = chosen.join(pool.distinct(), "wallet").groupBy("size", "draw", "source").agg(F.count("*").alias("k")).where("k >= 2").select("size", "draw").distinct()
-    fired = met.groupBy("size").agg(F.count("*").alias("fired"))
-    return rounds.select("size").distinct().join(fired, "size", "left").select("size", (F.coalesce("fired", F.lit(0)) / draws).alias("share"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = [(k, r) for r in p["id"] if sizes[r // draws] <= total for k in random.Random(f"{seed}-{r}").sample(range(total), sizes[r // draws])]
+            yield pd.DataFrame(out, columns=["at", "round"]).astype("int64")
+
+    return spark.range(len(sizes) * draws).mapInPandas(run, "at long, round long").join(numbered, "at").select("wallet", "round")
+
+
+def rounds_met(groups: DataFrame, rounds_of: dict, rounds: int, least: int) -> DataFrame:
+    """Rounds that drew `least` or more wallets of one group, and its lead if it has one. groups: key, lead, wallet, each
+    row once. rounds_of: each drawn wallet's rounds, as many in all as were drawn."""
+    spark = groups.sparkSession
+    shared = spark.sparkContext.broadcast(rounds_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, none = shared.value, np.empty(0, np.int64)
+        fired, last, lead, counts, held = np.zeros(rounds, bool), None, None, np.zeros(rounds, np.int32), 0
+
+        def close() -> None:
+            if held >= least:
+                met = counts >= least
+                if lead is not None:
+                    at = of.get(lead, none)
+                    fired[at[met[at]]] = True
+                else:
+                    fired[met] = True
+
+        for b in batches:
+            keys, leads, members = (b.column(c).to_pylist() for c in ("key", "lead", "wallet"))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if held == 0 or keys[at] != last:
+                    close()
+                    last, lead, held = keys[at], leads[at], 0
+                    counts = np.zeros(rounds, np.int32)
+                held += end - at
+                if end - at > 1 or held > 1 or end == len(keys):
+                    counts += np.bincount(np.concatenate([of.get(w, none) for w in members[at:end]]), minlength=rounds).astype(np.int32)
+                at = end
+        close()
+        yield pa.record_batch([pa.array(np.flatnonzero(fired).astype(np.int64))], ["round"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "round long").distinct()
+
+
+def near_amounts(events: DataFrame, tolerance: float, window: int, least: int) -> DataFrame:
+    """Groups of wallets whose payments a seed's payment gathers: later ones of other wallets in order of (amount, seq),
+    within the tolerance above its amount and the window around its time. key is the seed's seq, lead its wallet."""
+    bin, at = F.floor(F.ln("amount") / F.log1p(F.lit(tolerance))), F.floor(F.col("ts") / window)
+    seeds = events.select(*(F.col(c).alias(f"s_{c}") for c in ("wallet", "amount", "ts", "seq")), F.explode(F.array(bin, bin + 1)).alias("bin"), at.alias("s_at"))
+    seeds = seeds.withColumn("at", F.explode(F.array(F.col("s_at") - 1, F.col("s_at"), F.col("s_at") + 1)))
+    met = seeds.join(events.withColumn("bin", bin).withColumn("at", at), ["bin", "at"]).where(
+        "(amount > s_amount or amount = s_amount and seq > s_seq) and abs(ts - s_ts) <= %d and wallet <> s_wallet and amount <= s_amount * (1 + %r)" % (window, tolerance)
+    )
+    pairs = met.select(F.col("s_seq").alias("key"), F.col("s_wallet").alias("lead"), "wallet").distinct()
+    many = pairs.groupBy("key", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= least - 1).drop("n")
+    return pairs.join(many.select("key"), "key", "left_semi").unionByName(many.withColumn("wallet", F.col("lead")))
+
+
+def null_model(events: DataFrame, sizes: tuple[int, ...], draws: int, seed: int, tolerance: float = 1e-4, window: int = 3600, least: int = 3) -> DataFrame:
+    """size and the shares of draws of that many wallets in which each criterion of the detector fires: two wallets share
+    a transaction; `least` wallets are paid nearly equal amounts within the window; two wallets share a source; any of
+    these. events: wallet, source, sig, amount, ts and seq. Sizes beyond the number of wallets are left out.
+
+    What is sent to tasks is the wallets drawn, as many as the sizes and draws say, whatever the table."""
+    spark = events.sparkSession
+    drawn = drawn_groups(events, sizes, draws, seed).toPandas()
+    rounds = len(sizes) * draws
+    rounds_of = {w: r.to_numpy(np.int64) for w, r in drawn.groupby("wallet")["round"]}
+    some = events.join(spark.createDataFrame([(w,) for w in rounds_of], events.select("wallet").schema), "wallet", "left_semi")
+
+    def of(key: str) -> DataFrame:
+        kind = events.schema["wallet"].dataType
+        return some.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(None).cast(kind).alias("lead"), "wallet").distinct()
+
+    criteria = {"transaction": (of("sig"), 2), "amount": (near_amounts(some, tolerance, window, least), least), "source": (of("source"), 2)}
+    fired = None
+    for name, (groups, need) in criteria.items():
+        one = rounds_met(groups, rounds_of, rounds, need).select("round", F.lit(name).alias("criterion"))
+        fired = one if fired is None else fired.union(one)
+    place = F.floor(F.col("round") / draws)
+    sums = fired.groupBy("round").agg(F.collect_set("criterion").alias("c")).groupBy(place.alias("place")).agg(*(F.count_if(F.array_contains("c", n)).alias(n) for n in criteria), F.count("*").alias("any"))
+    tried = spark.createDataFrame([(k, n) for k, n in enumerate(sizes) if n <= drawn["round"].floordiv(draws).eq(k).sum()], "place long, size int")
+    return tried.join(sums, "place", "left").select("size", *((F.coalesce(c, F.lit(0)) / draws).alias(c) for c in (*criteria, "any")))
 
 
 def demeaned_slope(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:

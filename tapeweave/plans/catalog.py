@@ -307,8 +307,11 @@ def bootstrap_groups(spark, sf_dir):
 
 @query()
 def null_model(spark, sf_dir):
-    pool = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("wallet"), F.col("l_partkey").alias("source")).where("source % 50 = wallet % 50")
-    return statistics.null_model(pool, (2, 4), 50, 7)
+    with_checkpoints(spark)
+    events = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("wallet"), F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("sig"), F.col("l_extendedprice").alias("amount"), epoch("l_shipdate").alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+    )
+    return statistics.null_model(events, (10, 20, 40), 5000, 7)
 
 
 @query("""with x as (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as pos, label from embeddings) select pos, count(*) as n, count(*) filter (where e > 0) as positive, max(e) as high, arg_max(vec_id, (e, vec_id)) as best from x group by 1""")

@@ -71,6 +71,30 @@ def test_statistics(spark):
     assert fair == pytest.approx(0.99 * 0.98 / (1.01 * 1.02) - 1)
 
 
+def test_null_model_against_loops(spark):
+    catalog.with_checkpoints(spark)
+    rng, rows = random.Random(9), []
+    for k in range(160):
+        rows.append((rng.randrange(50), rng.randrange(400), rng.randrange(1500), 100 * (1 + rng.randrange(30) * 1e-5) + rng.randrange(8), rng.randrange(9000), k))
+    frame = spark.createDataFrame(rows, "wallet long, source long, sig long, amount double, ts long, seq long").repartition(3)
+    sizes, draws = (4, 12, 30, 1000), 60
+    picked = {}
+    for r in statistics.drawn_groups(frame, sizes, draws, 5).collect():
+        picked.setdefault(r["round"], set()).add(r.wallet)
+    assert all(len(picked[r]) == sizes[r // draws] for r in range(3 * draws)) and len(picked) == 3 * draws and len({frozenset(p) for p in picked.values()}) > 100
+    want = {}
+    for r, wallets in picked.items():
+        inside = [x for x in sorted(rows, key=lambda x: (x[3], x[5])) if x[0] in wallets]
+        shares = [any(len({y[0] for y in inside if y[c] == x[c]}) >= 2 for x in inside) for c in (2, 1)]
+        near = any(len({y[0] for y in inside[i + 1 :] if y[3] <= x[3] * (1 + 1e-4) and abs(y[4] - x[4]) <= 3600} | {x[0]}) >= 3 for i, x in enumerate(inside))
+        hits = (shares[0], near, shares[1], any(shares) or near)
+        size = sizes[r // draws]
+        want[size] = [a + b for a, b in zip(want.get(size, [0] * 4), hits)]
+    got = {r.size: [r.transaction, r.amount, r.source, r.any] for r in statistics.null_model(frame, sizes, draws, 5).collect()}
+    assert set(got) == {4, 12, 30} and all(got[s] == pytest.approx([n / draws for n in want[s]]) for s in got)
+    assert want[12] != want[30] and all(0 < n for n in want[30])
+
+
 def test_triggers_against_loops(spark):
     rng, rows, want = random.Random(3), [], {}
     for mint in range(60):
