@@ -161,6 +161,52 @@ def market_mark(spark, sf_dir):
     return tape.market_mark(probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200))
 
 
+def uncut(name: str) -> str:
+    """The SQL of a query over a subset, without its filter."""
+    return SQL[name].replace(" and seq % 10 = 0", "").replace(" where seq % 20 = 1", "")
+
+
+def all_fx(spark, sf_dir):
+    return event_tape(spark, sf_dir).where("side = 'buy'").groupBy("mint", "ts").agg(F.max("price").alias("rate"))
+
+
+def all_probes(spark, sf_dir):
+    return event_tape(spark, sf_dir).select("mint", F.col("ts").alias("t")).distinct()
+
+
+@query(uncut("as_of_clamped"))
+def as_of_clamped_all(spark, sf_dir):
+    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
+    return sequence.as_of(sells, all_fx(spark, sf_dir), ["mint"], "rate")
+
+
+@query(uncut("nearest_within"))
+def nearest_within_all(spark, sf_dir):
+    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
+    return sequence.nearest(sells, all_fx(spark, sf_dir), ["mint"], "rate", 5400)
+
+
+@query(uncut("interval_volume"))
+def interval_volume_all(spark, sf_dir):
+    near = tape.in_window(all_probes(spark, sf_dir), event_tape(spark, sf_dir), 7200, closed=False)
+    return near.groupBy("mint", "t").agg(F.count("*").alias("trades"), F.sum("sol").alias("volume"))
+
+
+@query(uncut("depth_bid"))
+def depth_bid_all(spark, sf_dir):
+    return tape.depth(all_probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'sell' and price is not null"), "bid", 6, 7200)
+
+
+@query(uncut("depth_ask"))
+def depth_ask_all(spark, sf_dir):
+    return tape.depth(all_probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'buy' and price is not null"), "ask", 6, 7200)
+
+
+@query(uncut("market_mark"))
+def market_mark_all(spark, sf_dir):
+    return tape.market_mark(all_probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200))
+
+
 PATH = "path as (select l_partkey as mint, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) - 1 as k, l_extendedprice as price from lineitem)"
 
 
@@ -224,6 +270,12 @@ def components(spark, sf_dir):
     return sequence.components(edges)
 
 
+@query()
+def components_all(spark, sf_dir):
+    with_checkpoints(spark)
+    return sequence.components(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b")))
+
+
 PAID = "paid as (select o_custkey % 20 as label, o_custkey as wallet, o_totalprice as amount, cast(epoch(o_orderdate) as bigint) as ts, o_orderkey as seq from orders)"
 
 

@@ -95,6 +95,25 @@ def test_null_model_against_loops(spark):
     assert want[12] != want[30] and all(0 < n for n in want[30])
 
 
+def test_whole_tables(spark, duck):
+    """Every tick is a probe and every purchase a rate, where the queries over subsets take some."""
+    assert not any("seq % 10 = 0" in catalog.SQL[f"{q}_all"] or "seq % 20 = 1" in catalog.SQL[f"{q}_all"] for q in ("as_of_clamped", "nearest_within", "interval_volume", "depth_bid", "depth_ask", "market_mark"))
+    ticks = duck.sql("select count(*) from (select distinct event_type, floor(epoch(ts)) from events)").fetchall()[0][0]
+    assert all(catalog.QUERIES[q](spark, SF).count() == ticks for q in ("interval_volume_all", "depth_bid_all", "depth_ask_all", "market_mark_all"))
+    root: dict = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for (c,) in duck.sql("select o_custkey from orders").fetchall():
+        a, b = sorted((find(c), find(c * 7 % 1000 + 1)))
+        root[b] = a
+    got = {r.id: r.component for r in catalog.QUERIES["components_all"](spark, SF).collect()}
+    assert got == {v: find(v) for v in list(root) if v in got} and set(root) - set(got) <= {v for v in root if v * 7 % 1000 + 1 == v}
+
+
 def test_triggers_against_loops(spark):
     rng, rows, want = random.Random(3), [], {}
     for mint in range(60):
