@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names, or that the session has been given. Without either there is none that
+    all executors share, which is an error."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         base = found
         if not context.getCheckpointDir():
             context.setCheckpointDir(base)
     elif not (base := context.getCheckpointDir()):
-        base = tempfile.mkdtemp(prefix="tapeweave-")
-        context.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -87,3 +87,20 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
             last = rows[a]
     if held:
         yield pa.concat_tables(held)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def full(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, low bytes of all first, so that the codec finds the zeros."""
+    return squeezed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(full(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()

@@ -26,12 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeweave.llm.common import by_group, steps, table, texts
+from tapeweave.llm.common import by_group, full, planes, squeezed, steps, table, texts, unplaned
 from tapeweave.llm.words import BASE, mixed, powers
 
 #: A byte's value in the hashes; unlike words' hashes, case counts.
@@ -103,23 +102,6 @@ def chunks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def full(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Integers byte by byte, low bytes of all first, so that the codec finds the zeros."""
-    return squeezed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(full(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
 def hash_runs(docs: DataFrame, spans: Spans, ranges: int) -> DataFrame:
     """range, and runs of anchors sorted by hash: hashes (differences), doc_ids and places."""
 

@@ -1,50 +1,64 @@
-"""Operator 2, LM scoring: a probabilistic suffix tree over words.
-
-Counts come from all training rows. A context of one or two words is a candidate if it makes up CONTEXT_SHARE of the
-training tokens, which bounds their number by 1 / CONTEXT_SHARE for each depth whatever the corpus, and stays in the
-tree if its next words' distribution diverges from that of its longest suffix in the tree by DIVERGENCE nats or more.
-A context lists the next words that follow it in ENTRY_SHARE of the tokens (1 / ENTRY_SHARE lists entries at most);
-absolute discounting gives the rest of its mass to its suffix's distribution, down to the add-one distribution of
-words. A token is scored by the longest suffix of what precedes it that is a state of the tree.
-
-Words that make up HEAD_SHARE of the tokens (at most 1 / HEAD_SHARE) are sent to all tasks; the counts of the others
-are joined by a shuffle, so that every word's exact count is used at any size of the vocabulary.
+"""Operator 2, LM scoring: a probabilistic suffix tree over words, kept in tables.
+
+A context of d words is a state of the tree if the training rows have it `least` times, the context without its first
+word is a state, and it passes the divergence test: the log likelihood of the words that follow it, under their shares
+after it against the distribution of its longest suffix, rises by more than `gain` nats for each of these words.
+Depth after depth is added until no context passes, up to `depth`. A state's next words share its mass less a discount
+each; what the discounts leave goes to its suffix's distribution, down to the add-one distribution of words. A token is
+scored by the longest suffix of what precedes it that is a state.
+
+`least` and `gain` don't depend on the input: states and their next words grow with it, so no task or broadcast holds
+the tree. Texts are written once as blocks of word numbers, in a table bucketed by block. For each depth, each block
+sends the distinct (context, next word) codes of its tokens as sorted, delta-coded runs to ranges of contexts; a range
+sums up the runs, tests its contexts and answers each block with the counts of its codes, in their order. Contexts with
+more tokens than a range should hold are dealt out by next word; there are at most as many as ranges, and their sums
+alone reach the driver. Codes are 64 bits: 40 of the context, 24 of the next word.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import saved, steps, table, texts
-from tapeweave.llm.words import word_hashes
+from tapeweave.llm.common import by_group, planes, saved, scratch, squeezed, steps, table, texts, full, unplaned
+from tapeweave.llm.words import mixed, word_hashes
 
-HEAD_SHARE = 2.5e-7
-CONTEXT_SHARE = 2e-5
-ENTRY_SHARE = 2e-6
-DIVERGENCE = 0.02
-DISCOUNT = 0.75
 #: The hash of the token that ends each text and stands before each text's first word.
 END = np.uint64(1)
-#: Codes that a task holds before it sums up equal ones.
-HELD = 4_000_000
+WORD_BITS = np.uint64(24)
+LOW = np.uint64((1 << 24) - 1)
+#: Steps of a nat in which blocks send suffixes' log probabilities for the divergence test.
+NATS = 8.0
+
+
+@dataclass(frozen=True)
+class SuffixTree:
+    """least: occurrences of a context. gain: nats for each next word. discount: of each next word's count. block: tokens
+    of a block; range: tokens for each range of contexts."""
+
+    least: int = 4
+    depth: int = 6
+    gain: float = 1.0
+    discount: float = 0.75
+    block: int = 1_000_000
+    range: int = 2_000_000
 
 
 def token_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' tokens, each text's end among them, and each token's text."""
+    """The texts' tokens, each text's end among them, and how many each text has."""
     words, count = word_hashes(raw)
-    owner = np.repeat(np.arange(len(raw)), count + 1)
-    out = np.full(len(owner), END)
-    last = np.zeros(len(owner), bool)
+    out = np.full(len(words) + len(raw), END)
+    last = np.zeros(len(out), bool)
     last[np.cumsum(count + 1) - 1] = True
     out[~last] = words
-    return out, owner
+    return out, count + 1
 
 
 def trains(doc_ids: list) -> np.ndarray:
@@ -52,207 +66,269 @@ def trains(doc_ids: list) -> np.ndarray:
     return np.array([x is None or zlib.crc32(str(x).encode()) % 7 != 2 for x in doc_ids], bool)
 
 
-def counted(docs: DataFrame, codes_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """code long and n long: how often each code comes from the training rows' tokens. Tasks sum up before the shuffle."""
+def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
+    """A row for each block of whole rows: block, docs (ids), lengths (tokens of each row), words (hashes, the block's most
+    frequent first), tokens (places among words) and n_tokens. Bucketed by block, so that joins with answers don't move
+    it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, docs array<{kind}>, lengths binary, words binary, tokens binary, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(inverse, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            codes, n = summed()
-            for at in range(0, len(codes), 500_000):
-                yield pa.record_batch([pa.array(codes[at : at + 500_000]), pa.array(n[at : at + 500_000])], ["code", "n"])
+        def flush() -> pa.RecordBatch:
+            ids, lengths, hashes = pa.concat_arrays([x for x, _, _ in held]), *(np.concatenate(x) for x in list(zip(*held))[1:])
             held.clear()
-
+            words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            columns = [[uuid.uuid4().int >> 65], None, [planes(lengths)], [squeezed(words[order].tobytes())], [planes(rank[place])], [len(hashes)]]
+            kinds = [pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if t is None else pa.array(c, t) for c, t in zip(columns, kinds)]
+            return pa.record_batch(arrays, ["block", "docs", "lengths", "words", "tokens", "n_tokens"])
+
+        size = 0
         for part in (p for b in batches for p in steps(b)):
-            raw = [x for x, t in zip(texts(part["text"]), trains(part["doc_id"].to_pylist())) if t]
-            codes, n = np.unique(codes_of(*token_hashes(raw)), return_counts=True)
-            held.append((codes.view(np.int64), n))
-            if sum(len(c) for c, _ in held) > HELD:
-                held[:] = [summed()]
-                if len(held[0][0]) > HELD // 2:
-                    yield from flushed()
+            hashes, lengths = token_hashes(texts(part["text"]))
+            if held and size + len(hashes) > tree.block:
+                yield flush()
+                size = 0
+            held.append((part["doc_id"], lengths, hashes))
+            size += len(hashes)
         if held:
-            yield from flushed()
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "code long, n long")
-    return rows.groupBy("code").agg(F.sum("n").alias("n"))
+            yield flush()
 
-
-def listed(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes counted `least` times, sorted, and their counts. Their number is bounded by a share of all tokens."""
-    got = counts.where(F.col("n") >= float(least)).toPandas().sort_values("code")
-    return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-
-
-def found(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Where each code stands; -1 for none."""
-    if not len(sorted_codes):
-        return np.full(len(codes), -1)
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return np.where(sorted_codes[at] == codes, at, -1)
+    spark, name = docs.sparkSession, f"token_blocks_{uuid.uuid4().hex}"
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
+    rows.write.bucketBy(buckets, "block").option("path", scratch(spark, "token-blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 @dataclass
-class Tree:
-    """head: sorted hashes of frequent words, head_n their counts. At each depth: contexts (sorted codes), the share of
-    mass each leaves to its suffix, its entries (sorted codes: context's place times words, plus next word's place),
-    and their discounted probabilities."""
-
-    total: int
-    distinct: int
-    head: np.ndarray
-    head_n: np.ndarray
-    contexts: list[np.ndarray]
-    left: list[np.ndarray]
-    entries: list[np.ndarray]
-    probability: list[np.ndarray]
-
-    @property
-    def mass(self) -> int:
-        return self.total + self.distinct + 1
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return found(self.head, hashes.view(np.int64))
-
-    def context_codes(self, place: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-        """At each depth the code of what precedes each token; -1 if a word of it isn't frequent. One end stands before
-        a text's first word and nothing before that."""
-        end = int(found(self.head, np.array([END]).view(np.int64))[0])
-        before = np.empty_like(place)
-        before[1:] = place[:-1]
-        first = np.ones(len(place), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        before[first] = end
-        second = np.full_like(place, -1)
-        second[1:] = before[:-1]
-        second[first] = -1
-        return [before, np.where((before >= 0) & (second >= 0), second * len(self.head) + before, -1)]
-
-    def next_codes(self, depth: int, codes: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's context's place at this depth, and the code of the two together; -1 for none."""
-        context = np.where(codes[depth] >= 0, found(self.contexts[depth], codes[depth]), -1)
-        return context, np.where((context >= 0) & (place >= 0), context * len(self.head) + place, -1)
-
-    def chances(self, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Each token's probability. For a word that isn't frequent: as if its count were 0."""
-        n = np.append(self.head_n, 0)[place]
-        p = (n + 1) / self.mass
-        codes = self.context_codes(place, owner)
-        for depth in range(len(self.contexts)):
-            context, code = self.next_codes(depth, codes, place)
-            entry = found(self.entries[depth], code)
-            p = np.append(self.left[depth], 1.0)[context] * p + np.append(self.probability[depth], 0.0)[entry]
-        return p
-
-
-def suffix_chances(tree: Tree, depth: int, context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The chance of words after the longest suffixes in the tree of candidate contexts of this depth."""
-    p = (tree.head_n[place] + 1) / tree.mass
-    if depth:
-        shorter = found(tree.contexts[0], context % len(tree.head))
-        entry = found(tree.entries[0], np.where(shorter >= 0, shorter * len(tree.head) + place, -1))
-        p = np.append(tree.left[0], 1.0)[shorter] * p + np.append(tree.probability[0], 0.0)[entry]
-    return p
-
-
-def extend(tree: Tree, contexts: np.ndarray, context_n: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
-    """Adds a depth: candidates and their counts; entries (place of the candidate and next word) and their counts."""
-    size = len(tree.head)
-    of, word = codes // size, codes % size
-    suffix = suffix_chances(tree, len(tree.contexts), contexts[of], word)
-    seen = np.bincount(of, n, len(contexts))
-    expected = np.bincount(of, suffix, len(contexts))
-    share = n / context_n[of]
-    divergence = np.bincount(of, share * np.log(share / suffix), len(contexts)).astype(float)
-    rest = np.clip(1 - seen / context_n, 0, 1)
-    divergence += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / np.clip(1 - expected, 1e-12, 1)), 0)
-    stays = divergence >= DIVERGENCE
-    p = np.maximum(n - DISCOUNT, 0) / context_n[of]
-    place = np.cumsum(stays) - 1
-    inside = stays[of]
-    tree.left.append((1 - np.bincount(of, p, len(contexts)))[stays])
-    tree.contexts.append(contexts[stays])
-    tree.entries.append(place[of[inside]] * size + word[inside])
-    tree.probability.append(p[inside])
-
-
-def learn(docs: DataFrame, counts: DataFrame) -> Tree:
-    """The tree of the training rows. counts: code and n of all their tokens."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head, head_n = listed(counts, HEAD_SHARE * total)
-    tree = Tree(total, distinct, head, head_n, [], [], [], [])
-    candidates, candidate_n = np.flatnonzero(head_n >= CONTEXT_SHARE * total), head_n[head_n >= CONTEXT_SHARE * total]
-    sent = docs.sparkSession.sparkContext.broadcast
-    for depth in range(2):
-        shared = sent((tree, candidates))
-
-        def codes_of(hashes: np.ndarray, owner: np.ndarray, depth: int = depth, shared=shared) -> np.ndarray:
-            tree, candidates = shared.value
-            place = tree.places(hashes)
-            context = found(candidates, tree.context_codes(place, owner)[depth])
-            return (context * len(tree.head) + place)[(context >= 0) & (place >= 0)]
-
-        codes, n = listed(counted(docs, codes_of), ENTRY_SHARE * total)
-        extend(tree, candidates, candidate_n, codes, n)
-        pair, enough = codes, n >= CONTEXT_SHARE * total
-        ends = int(found(head, np.array([END]).view(np.int64))[0])
-        enough &= pair % max(1, len(head)) != ends  # nothing follows a text's end
-        candidates, candidate_n = candidates[pair[enough] // max(1, len(head))] * len(head) + pair[enough] % max(1, len(head)), n[enough]
-        order = np.argsort(candidates)
-        candidates, candidate_n = candidates[order], candidate_n[order]
-    return tree
-
-
-def scored(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. A null text is its end
-    alone; a row without an id has no held_out and is told apart from others by nothing, so such rows are summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class Walk:
+    """Where a block's tokens stand after the depths answered so far. ask: the codes to send (sorted by range), the range
+    of each, whether it is a hot context's, their counts in training rows and the suffix's log probabilities."""
+
+    first: np.ndarray
+    train: np.ndarray
+    lengths: np.ndarray
+    known: np.ndarray | None = None
+    base: np.ndarray | None = None
+    chance: np.ndarray | None = None
+    ask: tuple[np.ndarray, ...] = field(default_factory=tuple)
+
+
+@dataclass(frozen=True)
+class Known:
+    """What all tasks know of the tree: the training tokens and distinct words, the number of ranges, and at each depth the
+    hot contexts (sorted codes) with how many words follow each, 0 for those that are no states."""
+
+    ranges: int
+    total: int = 0
+    distinct: int = 0
+    hot: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
+
+
+def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], known: Known, tree: SuffixTree) -> Walk:
+    """Follows a block's tokens down the tree. answers: at each depth, by range, the counts of the codes that the block sent
+    there and, for each context among them, how many words follow it (0: no state)."""
+    words, tokens, lengths = np.frombuffer(full(row["words"]), np.uint64), unplaned(row["tokens"]).astype(np.int64), unplaned(row["lengths"]).astype(np.int64)
+    first = np.zeros(len(tokens), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    train = np.repeat(trains(row["docs"]), lengths)
+    out = Walk(first, train, lengths)
+    order = np.argsort(words)
+    where = ranged(words[order], known.ranges)
+    if not answers:
+        count = np.bincount(tokens, train, len(words)).astype(np.int64)[order]
+        out.ask = (words[order], where, np.zeros(len(words), bool), count, np.zeros(len(words), np.uint8))
+        return out
+    in_words = np.empty(len(words), np.int64)
+    in_words[order] = np.concatenate([answers[0][k][0] for k in sorted(answers[0])])
+    n = in_words[tokens]
+    out.known = n > 0
+    chance = (n + 1) / (known.total + known.distinct + 1)
+    out.base = np.log10(chance)
+    hashes = words[tokens]
+    end = in_words[words == END][0]
+    context, context_n = np.empty_like(hashes), np.empty_like(n)
+    context[1:], context_n[1:] = hashes[:-1], n[:-1]
+    context[first], context_n[first] = END, end
+    alive = context_n >= tree.least
+    for depth in range(1, tree.depth + 1):
+        gram = mixed(context * np.uint64(3) + hashes)
+        at = np.flatnonzero(alive)
+        code = context[at] >> WORD_BITS << WORD_BITS | gram[at] & LOW
+        codes, one, place = np.unique(code, return_index=True, return_inverse=True)
+        hot = context_n[at[one]] * known.ranges >= known.total
+        where = np.where(hot, ranged(mixed(codes), known.ranges) + known.ranges, ranged(codes, known.ranges))
+        order = np.argsort(where, kind="stable")
+        if depth == len(answers):
+            count = np.bincount(place, train[at], len(codes)).astype(np.int64)
+            suffix = np.clip(np.round(-np.log(chance[at[one]]) * NATS), 0, 255).astype(np.uint8)
+            out.ask = (codes[order], where[order], hot[order], count[order], suffix[order])
+            break
+        if not len(codes):
+            break
+        n_of, followers_of = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+        parts = [answers[depth][k] for k in sorted(answers[depth])]
+        n_of[order] = np.concatenate([p[0] for p in parts])
+        heads, followers = known.hot[depth - 1]
+        owner = codes[order] >> WORD_BITS
+        of_hot = np.searchsorted(heads, owner)
+        value = np.append(followers, 0)[np.where(hot[order], of_hot, len(followers))]
+        cold = ~hot[order]
+        if cold.any():
+            fresh = np.append(True, (owner[cold][1:] != owner[cold][:-1]))
+            value[cold] = np.concatenate([p[1] for p in parts])[np.cumsum(fresh) - 1]
+        followers_of[order] = value
+        n, kinds = n_of[place], followers_of[place]
+        state = kinds > 0
+        chance[at[state]] = (np.maximum(n - tree.discount, 0) + tree.discount * kinds * chance[at])[state] / context_n[at[state]]
+        gram_n, goes_on = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        gram_n[at], goes_on[at[state]] = n, True
+        context[1:], context_n[1:] = gram[:-1], gram_n[:-1]
+        alive = (context_n >= tree.least) & goes_on & ~first
+        alive[0] = False
+    out.chance = chance
+    return out
+
+
+def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each code; ascending with it."""
+    return ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def walked(rows: DataFrame, known: Known, tree: SuffixTree, out: object, schema: str) -> DataFrame:
+    """`out` of each block's row and walk, over blocks with all answers there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        known_n = np.append(tree.head_n, 0)
-        for part in (p for b in batches for p in steps(b)):
-            raw = texts(part["text"])
-            hashes, owner = token_hashes(raw)
-            place = tree.places(hashes)
-            frequent = place >= 0
-            add = lambda x: np.bincount(owner, x, len(raw))
-            rest = hashes[~frequent].view(np.int64)
-            ends = np.searchsorted(owner[~frequent], np.arange(len(raw) + 1))
-            columns = [
-                pa.array(np.bincount(owner, minlength=len(raw)).astype(np.int64)),
-                pa.array(add(frequent).astype(np.int64)),
-                pa.array(add(np.log10((known_n[place] + 1) / tree.mass))),
-                pa.array(add(np.log10(tree.chances(place, owner)))),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest)),
-            ]
-            yield pa.record_batch([part["doc_id"], *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest array<long>")
-    sums = ("n_tokens", "n_known", "base_score", "score")
-    each = rows.select("doc_id", *sums, F.posexplode_outer("rest").alias("at", "code"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    each = each.select("doc_id", *(F.when(first, F.col(c)).alias(c) for c in sums), F.col("code").isNotNull().alias("is_word"), F.coalesce("code", F.xxhash64("doc_id")).alias("code"))
-    n = F.when(F.col("is_word"), F.coalesce("n", F.lit(0))).otherwise(0)
-    joined = each.join(counts, "code", "left")
-    extra = F.log10(n + 1)
-    summed = joined.groupBy("doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum((n > 0).cast("long"))).alias("n_known"),
-        (F.sum("base_score") + F.sum(extra)).alias("base_score"),
-        (F.sum("score") + F.sum(extra)).alias("score"),
-    )
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                answers: list[dict] = []
+                for a in sorted(row.get("answers") or [], key=lambda a: (a["depth"], a["range"])):
+                    while len(answers) <= a["depth"]:
+                        answers.append({})
+                    answers[a["depth"]][a["range"]] = (unplaned(a["counts"]).astype(np.int64), unplaned(a["followers"]).astype(np.int64))
+                answers += [{}] * (1 + len(known.hot) - len(answers)) if known.total else []
+                yield out(batch.slice(k, 1), row, walk(row, answers, known, tree))
+
+    return rows.mapInArrow(run, schema)
+
+
+ASKED = "range int, block long, hot boolean, codes binary, counts binary, suffix binary"
+ANSWERED = "block long, depth int, range int, counts binary, followers binary, context long, n long, kinds long, gain double, states long"
+
+
+def asked(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
+    """The runs that a block sends, one to each range."""
+    codes, where, hot, count, suffix = at.ask
+    cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, int)
+    parts = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(where)])]
+    return pa.record_batch(
+        [
+            pa.array([int(where[p.start]) for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([bool(hot[p.start]) for p in parts], pa.bool_()),
+            pa.array([planes(np.diff(codes[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([planes(count[p]) for p in parts], pa.binary()), pa.array([squeezed(suffix[p].tobytes()) for p in parts], pa.binary()),
+        ],
+        ["range", "block", "hot", "codes", "counts", "suffix"],
+    )
+
+
+def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
+    """What each range answers to each block; and rows without a block: the sums of a hot context's part, and how many
+    states the range found (at depth 0: words, with their number of tokens in n)."""
+    names = [c.split()[0] for c in ANSWERED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, ["range"]):
+            rows = group.to_pylist()
+            parts = [np.cumsum(unplaned(r["codes"])) for r in rows]
+            codes, place = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(place, np.concatenate([unplaned(r["counts"]) for r in rows]), len(codes)).astype(np.int64)
+            hot, out = rows[0]["hot"], []
+            kinds_of = states = None
+            if depth:
+                suffix = np.empty(len(codes))
+                suffix[place] = np.concatenate([np.frombuffer(full(r["suffix"]), np.uint8) for r in rows]) / -NATS
+                owner = codes >> WORD_BITS
+                head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                context_n, follow = np.add.reduceat(n, head), np.add.reduceat((n > 0).astype(np.int64), head)
+                gain = np.add.reduceat(n * (np.log(np.maximum(n, 1)) - suffix), head)
+                if hot:
+                    out += [(None, depth, None, None, None, c, m, k, g, None) for c, m, k, g in zip(owner[head].astype(np.int64).tolist(), context_n.tolist(), follow.tolist(), gain.tolist())]
+                else:
+                    state = passes(context_n, follow, gain, tree)
+                    kinds_of = np.repeat(np.where(state, follow, 0), np.diff(np.append(head, len(codes))))
+                    states = int(state.sum())
+            else:
+                states = int((n > 0).sum())
+            at = 0
+            for r, part in zip(rows, parts):
+                mine = place[at : at + len(part)]
+                at += len(part)
+                followers = np.empty(0, np.int64)
+                if kinds_of is not None:
+                    owner = part >> WORD_BITS
+                    followers = kinds_of[mine[np.append(True, owner[1:] != owner[:-1])]]
+                out.append((r["block"], depth, r["range"], planes(n[mine]), planes(followers), None, None, None, None, None))
+            out.append((None, depth, None, None, None, None, int(n.sum()), None, None, states))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return runs.repartition("range").sortWithinPartitions("range", "block").mapInArrow(run, ANSWERED)
+
+
+def passes(n: np.ndarray, kinds: np.ndarray, gain: np.ndarray, tree: SuffixTree) -> np.ndarray:
+    """The divergence test. gain: sums of n * log(n / suffix's chance) over the next words."""
+    return (kinds > 0) & (gain - n * np.log(np.maximum(n, 1)) > tree.gain * kinds + 1e-6)
+
+
+def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    A null text is its end alone. Each row is its own, whether or not its doc_id repeats; a row without an id is learnt
+    from and has a null held_out. An empty table gives no rows."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    state = blocks(docs, tree)
+    tokens = state.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    known = Known(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tree.range)))
+    answers: DataFrame | None = None
+    for depth in range(tree.depth + 1):
+        runs = walked(with_answers(state, answers), known, tree, asked, ASKED)
+        new = saved(answered(runs, depth, tree), "answers")
+        if not depth:
+            known = Known(known.ranges, *new.where("states is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("states"), F.lit(0))).first())
+            found = known.distinct
+        else:
+            sums = new.where("context is not null").groupBy("context").agg(F.sum("n"), F.sum("kinds"), F.sum("gain")).orderBy("context").collect()  # as many as ranges at most
+            context, n, kinds, gain = (np.array([r[k] for r in sums]) for k in range(4))
+            hot = passes(n, kinds, gain, tree) if len(sums) else np.empty(0, bool)
+            known = Known(known.ranges, known.total, known.distinct, (*known.hot, (context.astype(np.uint64), np.where(hot, kinds, 0).astype(np.int64) if len(sums) else np.empty(0, np.int64))))
+            found = int(hot.sum()) + (new.agg(F.sum("states")).first()[0] or 0)
+        answers = new if answers is None else answers.unionByName(new)
+        if not found:
+            break
+
+    def out(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
+        begin = np.cumsum(at.lengths) - at.lengths
+        sums = [np.add.reduceat(x, begin) if len(begin) else np.empty(0) for x in (at.known.astype(np.int64), at.base, np.log10(at.chance))]
+        return pa.record_batch([batch["docs"].flatten(), pa.array(at.lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = walked(with_answers(state, answers), known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return summed.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def with_answers(state: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """The blocks, each with all its answers; only answers are shuffled."""
+    if answers is None:
+        return state
+    mine = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("depth", "range", "counts", "followers")).alias("answers"))
+    return state.join(mine.hint("merge"), "block", "left")
 
 
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = saved(counted(docs, lambda hashes, owner: hashes), "word-counts")
-    return scored(docs, counts, learn(docs, counts))
+    return scored(table(spark, sf_dir, "documents"))

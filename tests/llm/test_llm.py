@@ -220,33 +220,58 @@ def test_components(spark):
     assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
-def test_language_model(spark, docs, rows, nothing):
-    def scores(frame):
-        counts = suffix_tree_lm.saved(suffix_tree_lm.counted(frame, lambda h, owner: h), "counts")
-        return suffix_tree_lm.scored(frame, counts, suffix_tree_lm.learn(frame, counts)).collect()
-
-    tokens = {i: [*plain(t).encode().lower().split(), None] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    counts = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+def plain_tree(texts, tree):
+    """Each text's log10 probability by a suffix tree in dictionaries. texts: words of each and whether it is learnt from."""
+    tokens = [([None, *t, None], train) for t, train in texts]
+    counts = Counter(w for t, train in tokens if train for w in t[1:])
+    mass = sum(counts.values()) + len(counts) + 1
+    after = {}
+    for t, train in tokens:
+        for i in range(1, len(t)):
+            for d in range(1, min(i, tree.depth) + 1):
+                if train:
+                    after.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    states = {}
+
+    def chance(context, w):
+        p = (counts[w] + 1) / mass
+        for d in range(1, len(context) + 1):
+            c = context[len(context) - d :]
+            if c not in states:
+                return p
+            n, kinds = states[c]
+            p = (max(after[c][w] - tree.discount, 0) + tree.discount * kinds * p) / n
+        return p
+
+    for d in range(1, tree.depth + 1):
+        new = {}
+        for c, f in after.items():
+            n = sum(f.values())
+            if len(c) == d and n >= tree.least and (d == 1 or c[1:] in states):
+                gain = sum(k * (np.log(k / n) + round(-np.log(chance(c[1:], w)) * 8) / 8) for w, k in f.items())
+                if gain > tree.gain * len(f) + 1e-6:
+                    new[c] = (n, len(f))
+        states |= new
+    return [sum(np.log10(chance(tuple(t[max(0, i - tree.depth) : i]), t[i])) for i in range(1, len(t))) for t, _ in tokens], Counter(map(len, states))
+
+
+@pytest.mark.parametrize("tree", [suffix_tree_lm.SuffixTree(block=150, range=400), suffix_tree_lm.SuffixTree(least=2, depth=3)])
+def test_language_model(spark, rows, nothing, tree):
+    rows = [*rows, *rows[3:9], (None, "the of the of"), (None, None), (2, "another text under that id"), *((100 + k, "p a b q p a b q r a b s r a b s c b t c b t") for k in range(9))]
+    docs = spark.createDataFrame([(i, t, "en", 0.5, 1, b"") for i, t in rows], KIND).repartition(3)
+    tokens = [plain(t).encode().lower().split() for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    counts = Counter(w for t, h in zip(tokens, held) if not h for w in [*t, None])
     n, v = sum(counts.values()), len(counts)
-    for r in scores(docs):
-        t = tokens[r.doc_id]
-        base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in t)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(w in counts for w in t), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
-    assert scores(nothing) == []
-
-
-def test_suffix_tree_is_a_distribution(spark, docs):
-    counts = suffix_tree_lm.saved(suffix_tree_lm.counted(docs, lambda h, owner: h), "counts")
-    tree = suffix_tree_lm.learn(docs, counts)
-    size = len(tree.head)
-    assert size == tree.distinct and sum(map(len, tree.contexts))
-    after = np.arange(size)
-    for place in range(0, size, 17):
-        both = np.stack([np.full(size, place), after], 1).ravel()
-        p = tree.chances(both, np.repeat(np.arange(size), 2))[1::2]
-        assert p.sum() + 1 / tree.mass == pytest.approx(1, abs=2e-3)
+    scores, states = plain_tree([(t, not h) for t, h in zip(tokens, held)], tree)
+    assert states[1] and states[2] and states[3]
+    want = sorted((i is None, i or 0, len(t) + 1, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in [*t, None]), 6), round(s, 6), sum(w in counts for w in [*t, None]), h) for (i, _), t, h, s in zip(rows, tokens, held, scores))
+    out = suffix_tree_lm.scored(docs, tree)
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "boolean", "bigint", "bigint", "bigint", "double", "double"]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 6), round(r.score, 6), r.n_known, bool(r.held_out)) for r in out.collect())
+    assert all(np.allclose(a[:5], b[:5], atol=2e-6) and a[5:] == b[5:] for a, b in zip(got, want, strict=True))
+    assert out.select("train_tokens").distinct().collect() == [(n,)]
+    assert suffix_tree_lm.scored(nothing, tree).collect() == []
 
 
 def test_cross_polytope(spark):
