@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import by_group, planes, saved, scratch, squeezed, steps, table, texts, full, unplaned
+from tapeweave.llm.common import by_group, planes, scratch, squeezed, steps, table, texts, full, unplaned
 from tapeweave.llm.words import mixed, word_hashes
 
 #: The hash of the token that ends each text and stands before each text's first word.
@@ -44,7 +44,7 @@ class SuffixTree:
     of a block; range: tokens for each range of contexts."""
 
     least: int = 4
-    depth: int = 6
+    depth: int = 5
     gain: float = 1.0
     discount: float = 0.75
     block: int = 1_000_000
@@ -99,10 +99,17 @@ def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
         if held:
             yield flush()
 
-    spark, name = docs.sparkSession, f"token_blocks_{uuid.uuid4().hex}"
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
-    rows.write.bucketBy(buckets, "block").option("path", scratch(spark, "token-blocks")).saveAsTable(name)
+    return by_block(docs.select("doc_id", "text").mapInArrow(run, schema))
+
+
+def buckets(spark: SparkSession) -> int:
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    """The rows written as a table bucketed by block in the shared folder, and read again."""
+    spark, name = rows.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets(spark), "block").option("path", scratch(spark, "suffix-tree")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -161,7 +168,7 @@ def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], kno
         gram = mixed(context * np.uint64(3) + hashes)
         at = np.flatnonzero(alive)
         code = context[at] >> WORD_BITS << WORD_BITS | gram[at] & LOW
-        codes, one, place = np.unique(code, return_index=True, return_inverse=True)
+        codes, one, place = distinct(code)
         hot = context_n[at[one]] * known.ranges >= known.total
         where = np.where(hot, ranged(mixed(codes), known.ranges) + known.ranges, ranged(codes, known.ranges))
         order = np.argsort(where, kind="stable")
@@ -196,6 +203,17 @@ def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], kno
     return out
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values, ascending; where one of each stands; and each value's place among them."""
+    order = np.argsort(x)
+    x = x[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return x[fresh], order[fresh], place
+
+
 def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each code; ascending with it."""
     return ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -203,24 +221,20 @@ def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
 
 def walked(rows: DataFrame, known: Known, tree: SuffixTree, out: object, schema: str) -> DataFrame:
     """`out` of each block's row and walk, over blocks with all answers there are."""
+    depths = sum(c.startswith("answers") for c in rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1).to_pylist()[0]
-                answers: list[dict] = []
-                for a in sorted(row.get("answers") or [], key=lambda a: (a["depth"], a["range"])):
-                    while len(answers) <= a["depth"]:
-                        answers.append({})
-                    answers[a["depth"]][a["range"]] = (unplaned(a["counts"]).astype(np.int64), unplaned(a["followers"]).astype(np.int64))
-                answers += [{}] * (1 + len(known.hot) - len(answers)) if known.total else []
+                answers = [{a["range"]: (unplaned(a["counts"]).astype(np.int64), unplaned(a["followers"]).astype(np.int64)) for a in row[f"answers{d}"] or []} for d in range(depths)]
                 yield out(batch.slice(k, 1), row, walk(row, answers, known, tree))
 
     return rows.mapInArrow(run, schema)
 
 
 ASKED = "range int, block long, hot boolean, codes binary, counts binary, suffix binary"
-ANSWERED = "block long, depth int, range int, counts binary, followers binary, context long, n long, kinds long, gain double, states long"
+ANSWERED = "block long, range int, counts binary, followers binary, context long, n long, kinds long, gain double, states long"
 
 
 def asked(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
@@ -238,10 +252,10 @@ def asked(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
 
 
 def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
-    """What each range answers to each block; and rows without a block: the sums of a hot context's part, and how many
-    states the range found (at depth 0: words, with their number of tokens in n)."""
+    """block and answers: what each range answers to each block; and under negative numbers the sums of hot contexts'
+    parts and how many states each range found (at depth 0: words, with their number of tokens in n). Bucketed by block."""
     names = [c.split()[0] for c in ANSWERED.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["range"]):
@@ -249,7 +263,7 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
             parts = [np.cumsum(unplaned(r["codes"])) for r in rows]
             codes, place = np.unique(np.concatenate(parts), return_inverse=True)
             n = np.bincount(place, np.concatenate([unplaned(r["counts"]) for r in rows]), len(codes)).astype(np.int64)
-            hot, out = rows[0]["hot"], []
+            hot, sums, out = rows[0]["hot"], -1 - rows[0]["range"], []
             kinds_of = states = None
             if depth:
                 suffix = np.empty(len(codes))
@@ -259,7 +273,7 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
                 context_n, follow = np.add.reduceat(n, head), np.add.reduceat((n > 0).astype(np.int64), head)
                 gain = np.add.reduceat(n * (np.log(np.maximum(n, 1)) - suffix), head)
                 if hot:
-                    out += [(None, depth, None, None, None, c, m, k, g, None) for c, m, k, g in zip(owner[head].astype(np.int64).tolist(), context_n.tolist(), follow.tolist(), gain.tolist())]
+                    out += [(sums, None, None, None, c, m, k, g, None) for c, m, k, g in zip(owner[head].astype(np.int64).tolist(), context_n.tolist(), follow.tolist(), gain.tolist())]
                 else:
                     state = passes(context_n, follow, gain, tree)
                     kinds_of = np.repeat(np.where(state, follow, 0), np.diff(np.append(head, len(codes))))
@@ -274,11 +288,12 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
                 if kinds_of is not None:
                     owner = part >> WORD_BITS
                     followers = kinds_of[mine[np.append(True, owner[1:] != owner[:-1])]]
-                out.append((r["block"], depth, r["range"], planes(n[mine]), planes(followers), None, None, None, None, None))
-            out.append((None, depth, None, None, None, None, int(n.sum()), None, None, states))
+                out.append((r["block"], r["range"], planes(n[mine]), planes(followers), None, None, None, None, None))
+            out.append((sums, None, None, None, None, int(n.sum()), None, None, states))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return runs.repartition("range").sortWithinPartitions("range", "block").mapInArrow(run, ANSWERED)
+    parts = runs.repartition("range").sortWithinPartitions("range", "block").mapInArrow(run, ANSWERED)
+    return by_block(parts.repartition(buckets(runs.sparkSession), "block").groupBy("block").agg(F.collect_list(F.struct(*names[1:])).alias("answers")))
 
 
 def passes(n: np.ndarray, kinds: np.ndarray, gain: np.ndarray, tree: SuffixTree) -> np.ndarray:
@@ -295,20 +310,19 @@ def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
     state = blocks(docs, tree)
     tokens = state.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     known = Known(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tree.range)))
-    answers: DataFrame | None = None
     for depth in range(tree.depth + 1):
-        runs = walked(with_answers(state, answers), known, tree, asked, ASKED)
-        new = saved(answered(runs, depth, tree), "answers")
+        answers = answered(walked(state, known, tree, asked, ASKED), depth, tree)
+        sums = answers.where("block < 0").select(F.inline("answers"))
         if not depth:
-            known = Known(known.ranges, *new.where("states is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("states"), F.lit(0))).first())
+            known = Known(known.ranges, *sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("states"), F.lit(0))).first())
             found = known.distinct
         else:
-            sums = new.where("context is not null").groupBy("context").agg(F.sum("n"), F.sum("kinds"), F.sum("gain")).orderBy("context").collect()  # as many as ranges at most
-            context, n, kinds, gain = (np.array([r[k] for r in sums]) for k in range(4))
-            hot = passes(n, kinds, gain, tree) if len(sums) else np.empty(0, bool)
-            known = Known(known.ranges, known.total, known.distinct, (*known.hot, (context.astype(np.uint64), np.where(hot, kinds, 0).astype(np.int64) if len(sums) else np.empty(0, np.int64))))
-            found = int(hot.sum()) + (new.agg(F.sum("states")).first()[0] or 0)
-        answers = new if answers is None else answers.unionByName(new)
+            hot = sums.where("context is not null").groupBy("context").agg(F.sum("n"), F.sum("kinds"), F.sum("gain")).orderBy("context").collect()  # as many as ranges at most
+            context, n, kinds = (np.array([r[k] for r in hot], np.int64) for k in range(3))
+            state_of = passes(n, kinds, np.array([r[3] for r in hot], float), tree)
+            known = Known(known.ranges, known.total, known.distinct, (*known.hot, (context.astype(np.uint64), np.where(state_of, kinds, 0))))
+            found = int(state_of.sum()) + (sums.agg(F.sum("states")).first()[0] or 0)
+        state = state.join(answers.withColumnRenamed("answers", f"answers{depth}").hint("merge"), "block", "left")
         if not found:
             break
 
@@ -317,18 +331,10 @@ def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
         sums = [np.add.reduceat(x, begin) if len(begin) else np.empty(0) for x in (at.known.astype(np.int64), at.base, np.log10(at.chance))]
         return pa.record_batch([batch["docs"].flatten(), pa.array(at.lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    rows = walked(with_answers(state, answers), known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rows = walked(state, known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def with_answers(state: DataFrame, answers: DataFrame | None) -> DataFrame:
-    """The blocks, each with all its answers; only answers are shuffled."""
-    if answers is None:
-        return state
-    mine = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("depth", "range", "counts", "followers")).alias("answers"))
-    return state.join(mine.hint("merge"), "block", "left")
-
-
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))
