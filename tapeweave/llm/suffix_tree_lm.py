@@ -47,7 +47,7 @@ class SuffixTree:
     depth: int = 5
     gain: float = 1.0
     discount: float = 0.75
-    block: int = 1_000_000
+    block: int = 500_000
     range: int = 2_000_000
 
 
