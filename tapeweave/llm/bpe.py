@@ -243,6 +243,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+#: Leaves of a tree beyond which a word is merged alone.
+ALONE = 2048
+
+
 class SegmentTreeBPE(Remembering):
     """Byte-level BPE with a segment tree over pair ranks."""
 
@@ -262,6 +266,7 @@ class SegmentTreeBPE(Remembering):
         order = np.argsort(codes, kind="stable")
         self.codes, self.ranks = codes[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.merged_list, self.rank_of = self.merged.tolist(), None
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = [x.lower().encode() for x in self.special]
         self.bytes_of = {i: bytes(self.byte_of[c] for c in token) for token, i in vocab.items() if all(c in self.byte_of for c in token)}
@@ -300,6 +305,10 @@ class SegmentTreeBPE(Remembering):
         leaves = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         for width in np.unique(leaves).tolist():
             rows = np.flatnonzero(leaves == width)
+            if width > ALONE:
+                for k in rows.tolist():
+                    out[k] = self._merge_alone(words[k], width)
+                continue
             most = max(1, 2_000_000 // width)
             for at in range(0, len(rows), most):
                 self._merge_equal([words[k] for k in rows[at : at + most]], rows[at : at + most], width, out)
@@ -352,6 +361,46 @@ class SegmentTreeBPE(Remembering):
             out[k] = flat[start:end]
             start = end
 
+    def _merge_alone(self, word: bytes, width: int) -> bytes:
+        """A long word by the same tree in lists: one merge after another, a logarithmic update each."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.codes.tolist(), self.ranks.tolist()))
+        rank_of, merged, n = self.rank_of, self.merged_list, len(word)
+        symbol = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [NONE] * (2 * width)
+
+        def key(k: int, nxt: int) -> int:
+            rank = rank_of.get(symbol[k] << 32 | symbol[nxt]) if nxt < n else None
+            return NONE if rank is None else rank * width + k
+
+        def put(k: int, value: int) -> None:
+            node = k + width
+            tree[node] = value
+            while node > 1:
+                value = min(tree[node], tree[node ^ 1])
+                node >>= 1
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        for k in range(n):
+            tree[width + k] = key(k, k + 1)
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        while (top := tree[1]) != NONE:
+            k = top % width
+            gone, symbol[k] = after[k], merged[top // width]
+            nxt, prv = after[gone], before[k]
+            symbol[gone], after[k] = -1, nxt
+            if nxt < n:
+                before[nxt] = k
+            put(gone, NONE)
+            put(k, key(k, nxt))
+            if prv >= 0:
+                put(prv, key(prv, k))
+        return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
+
     @staticmethod
     def _set(tree: np.ndarray, row: np.ndarray, leaf: np.ndarray, width: int, with_pair: np.ndarray, rank: np.ndarray) -> None:
         """New keys of leaves: none, but for `with_pair`, which have these ranks."""

@@ -211,7 +211,7 @@ def _sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             values = np.array([stats_of(x) for x in texts(part["text"])], float).reshape(-1, len(STATS))
             yield pa.record_batch([part["doc_id"], part["label"], *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], ["doc_id", "label", *STATS])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{x} double" for x in STATS)).toPandas()
+    got = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, " + ", ".join(f"{x} double" for x in STATS)).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return got[list(STATS)].to_numpy(float), (got["label"].to_numpy() == 1).astype(float)
 

@@ -103,17 +103,40 @@ def test_token_orc(spark, docs, rows, nothing, tmp_path):
     assert token_orc.digest(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_telephony(docs, rows, nothing):
-    got = {r.doc_id: r for r in telephony.digest(telephony.stored(docs)).collect()}
+def test_telephony(spark, docs, rows, nothing):
+    rows = [*rows, (500, "three blocks " * 120)]
+    more = spark.createDataFrame([(*rows[-1], "en", 0.5, 1, b"")], KIND)
+    media = telephony.saved(telephony.stored(docs.union(docs.where("doc_id = 3")).union(more)), "media")
+    found = telephony.digest(media).collect()
+    got = {r.doc_id: r for r in found}
+    assert Counter(r.doc_id for r in found)[3] == 2
+    pcm_of = {r.doc_id: bytes(r.pcm) for r in telephony.resampled(media).collect()}
     for i, t in rows:
         raw = plain(t).encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        wav = telephony.to_wav(payload)
-        assert got[i].media_sha256 == hashlib.sha256(wav).hexdigest() and telephony.from_wav(wav) == (telephony.MULAW, payload)
+        tag = telephony.TURNS[len(payload) // 576 % 3]
+        wav = telephony.to_wav(payload, tag)
+        assert got[i].media_sha256 == hashlib.sha256(wav).hexdigest() and telephony.from_wav(wav) == (tag, payload) and got[i].media_bytes == len(wav)
+        if tag == telephony.IMA:
+            pcm = [x for at in range(0, len(payload), 576) for x in telephony.adpcm(np.frombuffer(payload[at : at + 576], np.uint8).reshape(1, -1))[:, 0].tolist()]
+        else:
+            pcm = [int((telephony.mulaw_table() if tag == telephony.MULAW else telephony.alaw_table())[x]) for x in payload]
+        wide = [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for x in (a, (a + b) >> 1)]
+        assert np.frombuffer(pcm_of[i], "<i2").tolist() == wide
+        turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        assert got[i].feature == f"format={tag} power={sum(x * x for x in pcm) // len(pcm)} turns={turns} pcm16k={zlib.crc32(pcm_of[i]):08x}"
+    assert {got[i].feature.split()[0] for i, _ in rows} == {"format=6", "format=7", "format=17"}
     assert telephony.digest(telephony.stored(nothing)).count() == 0
-    media = telephony.resampled(telephony.stored(docs)).select("media", "pcm").first()
-    assert len(media.pcm) == 4 * len(telephony.from_wav(bytes(media.media))[1])
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(8)
+    tokenizer, mine = Tokenizer.from_file(BYTE), bpe.SegmentTreeBPE(BYTE)
+    for n in (bpe.ALONE - 1, bpe.ALONE + 1, 30_000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é日x"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert np.frombuffer(mine.encode_batch([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_expansion_tables_and_adpcm():
