@@ -84,3 +84,27 @@ def significant(x: Column, digits: int) -> Column:
 
 def pseudonym(x: Column, prefix: str = "ID-") -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(x.cast("string"), 256), 1, 10))
+
+
+def rounded_to(amount: Column) -> Column:
+    """How many decimals an amount has, up to two, within 1e-9."""
+    out = F.when(F.abs(amount - F.round(amount, 0)) < 1e-9, "unit")
+    for digits, name in ((1, "one"), (2, "two")):
+        out = out.when(F.abs(amount - F.round(amount, digits)) < 1e-9, name)
+    return out.otherwise("more")
+
+
+def zero_bound(hits: Column, n: Column, alpha: float = 0.05) -> Column:
+    """The upper bound of a share of which nothing was seen in n trials; null if something was."""
+    return F.when(hits == 0, 1 - F.pow(F.lit(alpha), F.lit(1.0) / n))
+
+
+def is_base58(x: Column, least: int, most: int) -> Column:
+    """Whether a text is so many letters of the base-58 alphabet, which leaves out 0, O, I and l."""
+    return F.rlike(x, F.lit(f"^[1-9A-HJ-NP-Za-km-z]{{{least},{most}}}$"))
+
+
+def hmac_sha256(x: Column, key: bytes) -> Column:
+    """The keyed hash of a text, in hexadecimal, from two plain ones. Keys are 64 bytes at most."""
+    inner, outer = (F.lit(bytes(b ^ pad for b in key.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, x.cast("binary")), 256))), 256)

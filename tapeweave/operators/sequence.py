@@ -13,15 +13,24 @@ def gap_clusters(events: DataFrame, by: list[str], gap: int, order: list[str]) -
     return events.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], value: str) -> DataFrame:
-    """left (by, ts, id) with the value of right's (by, ts) last row at or before ts; before the first row, the first's."""
-    both = left.select(*by, "ts", "id", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("kind")).unionByName(
-        right.select(*by, "ts", F.lit(None).cast(left.schema["id"].dataType).alias("id"), value, F.lit(0).alias("kind"))
+def as_of(left: DataFrame, right: DataFrame, by: list[str], value: str, width: int = 86_400) -> DataFrame:
+    """left (by, ts, id) with the value of right's (by, ts) last row at or before ts; before the first row, the first's.
+    Values are not null.
+
+    Rows are dealt out by bins of `width` in time, so that one key fills many tasks; what a bin takes over from those
+    before it comes from one row for each bin."""
+    bin = F.floor(F.col("ts") / width).alias("bin")
+    both = left.select(*by, "ts", "id", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("kind"), bin).unionByName(
+        right.select(*by, "ts", F.lit(None).cast(left.schema["id"].dataType).alias("id"), value, F.lit(0).alias("kind"), bin)
     )
-    w = Window.partitionBy(*by).orderBy("ts", "kind")
-    past = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("found", F.coalesce(past, first)).where(F.col("kind") == 1).select(*by, "ts", "id", F.col("found").alias(value))
+    inside = Window.partitionBy(*by, "bin").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    bins = both.groupBy(*by, "bin").agg(F.max_by(value, F.when(F.col("kind") == 0, F.col("ts"))).alias("newest"))
+    earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*by, "bin", F.last("newest", ignorenulls=True).over(earlier).alias("carried"))
+    first = right.groupBy(*by).agg(F.min_by(value, "ts").alias("first"))
+    rows = both.withColumn("found", F.last(value, ignorenulls=True).over(inside)).where(F.col("kind") == 1)
+    rows = rows.join(carried, [*by, "bin"]).join(first, by, "left")
+    return rows.select(*by, "ts", "id", F.coalesce("found", "carried", "first").alias(value))
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], value: str, tolerance: int) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int, least: int) -> list[list[int]]:
     """Positions of each cluster's events. In order of amounts, each event not yet in a cluster gathers later ones of
-    other wallets within the tolerance above its amount and the window around its time, one for each wallet; they become
-    a cluster if `least` wallets take part, else all stay free."""
+    wallets other than its own within the tolerance above its amount and the window around its time; they become a
+    cluster if `least` wallets take part, else all stay free."""
     order = sorted(range(len(events)), key=lambda k: events[k][0])
     free = [True] * len(events)
     out = []
@@ -17,14 +18,13 @@ def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int,
         if not free[seed]:
             continue
         amount, ts, wallet = events[seed]
-        taken, wallets = [seed], {wallet}
+        taken = [seed]
         for k in order[at + 1 :]:
-            if events[k][0] > amount * (1 + tolerance):
+            if events[k][0] - amount > amount * tolerance:
                 break
-            if free[k] and abs(events[k][1] - ts) <= window and events[k][2] not in wallets:
+            if free[k] and abs(events[k][1] - ts) <= window and events[k][2] != wallet:
                 taken.append(k)
-                wallets.add(events[k][2])
-        if len(wallets) >= least:
+        if len({events[k][2] for k in taken}) >= least:
             for k in taken:
                 free[k] = False
             out.append(taken)
@@ -32,18 +32,26 @@ def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int,
 
 
 def split_clusters(events: DataFrame, label: str, tolerance: float = 1e-4, window: int = 3600, least: int = 3) -> DataFrame:
-    """label, amount, n_wallets, wallets, first_ts and span_seconds of each cluster. events: label, wallet, amount, ts and
-    seq, which settles ties. A label is one investigated group, held by one task."""
+    """label, amount (to nine decimals), n_wallets, wallets, first_ts, span_seconds and date of each cluster. events: label,
+    wallet, amount, ts and seq, which settles ties.
+
+    A label is cut where neighbouring amounts differ by more than the tolerance, which no cluster spans; the pieces are
+    searched apart."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
         rows = list(zip(pdf["amount"], pdf["ts"], pdf["wallet"]))
         out = []
         for c in greedy(rows, tolerance, window, least):
-            times = [rows[k][1] for k in c]
-            out.append((pdf[label].iloc[0], rows[c[0]][0], len(c), sorted(rows[k][2] for k in c), min(times), max(times) - min(times)))
-        return pd.DataFrame(out, columns=[label, "amount", "n_wallets", "wallets", "first_ts", "span_seconds"])
+            times, wallets = [rows[k][1] for k in c], sorted({rows[k][2] for k in c})
+            out.append((pdf[label].iloc[0], round(rows[c[0]][0], 9), len(wallets), wallets, min(times), max(times) - min(times), pd.Timestamp(min(times), unit="s").strftime("%Y-%m-%d")))
+        return pd.DataFrame(out, columns=[label, "amount", "n_wallets", "wallets", "first_ts", "span_seconds", "date"])
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"{label} {kinds[label]}, amount double, n_wallets int, wallets array<{kinds['wallet']}>, first_ts long, span_seconds long"
-    return events.select(label, "wallet", "amount", "ts", "seq").groupBy(label).applyInPandas(run, schema)
+    schema = f"{label} {kinds[label]}, amount double, n_wallets int, wallets array<{kinds['wallet']}>, first_ts long, span_seconds long, date string"
+    w = Window.partitionBy(label).orderBy("amount", "seq")
+    before = F.lag("amount").over(w)
+    cut = F.coalesce((F.col("amount") - before > before * tolerance).cast("int"), F.lit(0))
+    pieces = events.select(label, "wallet", "amount", "ts", "seq", cut.alias("cut")).withColumn("piece", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.count("*").over(Window.partitionBy(label, "piece"))
+    return pieces.withColumn("size", size).where(F.col("size") >= least).groupBy(label, "piece").applyInPandas(run, schema)

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeweave.operators.sequence import co_occurrence
+
 
 def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
@@ -61,6 +63,33 @@ def exact_tests(tables: DataFrame) -> DataFrame:
     return tables.select("key", "a", "b", "c", "d").mapInPandas(run, "key string, p_greater double, p_two_sided double, low double, high double")
 
 
+def pair_significance(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """Pairs of items, the groups they share, and the chance p that independent items share as many or more."""
+    distinct = members.select(group, item).distinct()
+    total = distinct.agg(F.countDistinct(group).alias("total"))
+    sizes = distinct.groupBy(item).agg(F.count("*").alias("n"))
+    a, b = (sizes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = co_occurrence(members, group, item, most).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))  # one row
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            x["p"] = [hypergeometric_tail(s, n, t, m) for s, n, t, m in zip(x["shared"], x["n_a"], x["total"], x["n_b"])]
+            yield x[["a", "b", "shared", "p"]]
+
+    return pairs.mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, shared long, p double")
+
+
+def mantel_haenszel_chi_square() -> Column:
+    """The continuity-corrected statistic over strata with counts a, b, c, d."""
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    n = a + b + c + d
+    some = n > 1
+    gap = F.sum(F.when(some, a - (a + b) * (a + c) / n))
+    spread = F.sum(F.when(some, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))))
+    return F.pow(F.abs(gap) - 0.5, F.lit(2)) / spread
+
+
 def congruential(seed: int, skip: int, count: int) -> np.ndarray:
     """Draws skip + 1 to skip + count of s <- (1103515245 s + 12345) mod 2**31."""
     a, c, m = 1103515245, 12345, 1 << 31
@@ -78,7 +107,8 @@ def congruential(seed: int, skip: int, count: int) -> np.ndarray:
 
 def bootstrap_mean_of_groups(groups: DataFrame, seed: int = 999, replicates: int = 2000) -> DataFrame:
     """estimate, low and high (95 %) of the mean of group means, drawing groups with replacement; replicates are spread
-    over tasks, each jumping to its place in the sequence of draws. groups: id and mean, a bounded table of groups."""
+    over tasks, each jumping to its place in the sequence of draws. groups: id and mean, a bounded table of groups; one or two have no
+    interval."""
     spark = groups.sparkSession
     values = np.array([r.mean for r in groups.orderBy("id").collect()], float)
     n = len(values)
@@ -87,8 +117,8 @@ def bootstrap_mean_of_groups(groups: DataFrame, seed: int = 999, replicates: int
         for p in parts:
             yield pd.DataFrame({"estimate": [float(values[congruential(seed, int(r) * n, n) % n].mean()) for r in p["id"]]})
 
-    if not n:
-        return spark.createDataFrame([], "estimate double, low double, high double")
+    if n < 3:
+        return spark.createDataFrame([(float(values.mean()), None, None)] if n else [], "estimate double, low double, high double")
     drawn = spark.range(replicates).mapInPandas(run, "estimate double").agg(F.sort_array(F.collect_list("estimate")).alias("e"))
     at = [int(q * (replicates - 1)) for q in (0.025, 0.975)]
     return drawn.select(F.lit(float(values.mean())).alias("estimate"), F.get("e", F.lit(at[0])).alias("low"), F.get("e", F.lit(at[1])).alias("high"))

@@ -58,13 +58,25 @@ def depth(probes: DataFrame, ticks: DataFrame, side: str, position: float, width
     return out.select("mint", "t", F.coalesce("hit.price", "worst.price").alias("price"), status.alias("status"))
 
 
-def market_mark(probes: DataFrame, ticks: DataFrame, widths: tuple[int, ...] = (30, 60, 120)) -> DataFrame:
-    """mint, t and the median price of the shortest window that has ticks; null if none has."""
-    near = in_window(probes, ticks, max(widths), closed=False)
+def market_mark(probes: DataFrame, ticks: DataFrame, widths: tuple[int, ...] = (30, 60, 120), floor: float = 0.0) -> DataFrame:
+    """mint, t and the median price of the shortest window that has ticks of the floor or more; null if none has."""
+    near = in_window(probes, ticks.where(F.col("sol") >= floor) if floor else ticks, max(widths), closed=False)
     medians = near.groupBy("mint", "t").agg(*(F.median(F.when(F.col("ts") < F.col("t") + w, F.col("price"))).alias(f"m{w}") for w in widths))
     return probes.join(medians, ["mint", "t"], "left").select("mint", "t", F.coalesce(*(F.col(f"m{w}") for w in widths)).alias("mark"))
 
 
+def entry_gate(probes: DataFrame, ticks: DataFrame, position: float, width: int, widths: tuple[int, ...], least: float) -> DataFrame:
+    """mint, t, the first of the ordered reasons against an entry (or ok), and the price of an entry: the higher of mark
+    and ask. An exit needs `width` after it, and a minute besides."""
+    ended = ticks.groupBy("mint").agg(F.max("ts").alias("ended"))
+    volume = in_window(probes, ticks, width, closed=False).groupBy("mint", "t").agg(F.sum("sol").alias("volume"))
+    ask = depth(probes, ticks.where("side = 'buy' and price is not null"), "ask", position, width).select("mint", "t", F.col("price").alias("ask_price"), F.col("status").alias("ask"))
+    x = probes.join(ended, "mint").join(market_mark(probes, ticks, widths), ["mint", "t"]).join(volume, ["mint", "t"], "left").join(ask, ["mint", "t"])
+    reason = F.when(F.col("t") >= F.col("ended") - width // 2, "after_end").when(F.col("mark").isNull(), "no_price").when(F.coalesce("volume", F.lit(0.0)) < least, "thin_volume")
+    reason = reason.when(F.col("ask") != "ok", "no_ask").when(F.col("ended") - width < F.col("t") + 60, "no_room").otherwise("ok")
+    return x.select("mint", "t", reason.alias("gate"), F.when(reason == "ok", F.greatest("mark", "ask_price")).alias("entry"))
+
+
 def trailing_stop(path: DataFrame, drop: float) -> DataFrame:
     """mint and the first k at which the price is `drop` under the highest before it; it executes at k + 1."""
     before = Window.partitionBy("mint").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,12 +86,13 @@ def trailing_stop(path: DataFrame, drop: float) -> DataFrame:
 
 def first_exit(path: DataFrame, take: float, stop: float) -> DataFrame:
     """mint, the first k at which the price is `take` times the entry's (k = 0) or falls to `stop` times it, and which;
-    taking profit comes first within a k."""
+    taking profit comes first within a k. The exit is priced at k + 1; pnl is null if the path ends before."""
     start = path.where(F.col("k") == 0).select("mint", F.col("price").alias("entry"))
-    at = path.where(F.col("k") > 0).join(start, "mint")
+    ahead = path.withColumn("exit", F.lead("price").over(Window.partitionBy("mint").orderBy("k")))
+    at = ahead.where(F.col("k") > 0).join(start, "mint")
     which = F.when(F.col("price") >= F.col("entry") * take, 0).when(F.col("price") <= F.col("entry") * stop, 1)
-    first = at.where(which.isNotNull()).groupBy("mint").agg(F.min(F.struct("k", which.alias("which"), "price", "entry")).alias("x"))
-    return first.select("mint", F.col("x.k").alias("fires"), F.when(F.col("x.which") == 0, "take").otherwise("stop").alias("reason"), round_trip(F.col("x.entry"), F.col("x.price")).alias("pnl"))
+    first = at.where(which.isNotNull()).groupBy("mint").agg(F.min_by(F.struct("k", which.alias("which"), "exit", "entry"), "k").alias("x"))
+    return first.select("mint", F.col("x.k").alias("fires"), F.when(F.col("x.which") == 0, "take").otherwise("stop").alias("reason"), round_trip(F.col("x.entry"), F.col("x.exit")).alias("pnl"))
 
 
 def staged_exit(path: Column, ladder: tuple[tuple[float, float], ...]) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +9,10 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
 from tapeweave.operators import sequence, splits, statistics, tape
+from tapeweave.plans import ledger  # noqa: F401  (registers its queries)
+from tapeweave.plans.registry import QUERIES, SQL, query
 from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -35,9 +22,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """The session's checkpoint folder; a temporary one only where none is named, as in tests."""
+    """The checkpoint folder that the session names; without one there is none that all executors share."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tapeweave-"))
+        if not (named := spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named)
 
 
 LINES = """lines as (select l_partkey as mint, cast(epoch(l_shipdate) as bigint) as ts, l_orderkey * 8 + l_linenumber as seq, l_suppkey as trader,
@@ -104,10 +93,10 @@ def shortest_window_90(spark, sf_dir):
 
 
 def fx(spark, sf_dir):
-    return event_tape(spark, sf_dir).where("side = 'buy' and seq % 10 = 0").groupBy("mint", "ts").agg(F.max("price").alias("rate"))
+    return event_tape(spark, sf_dir).where("side = 'buy'").groupBy("mint", "ts").agg(F.max("price").alias("rate"))
 
 
-FX = "fx as (select mint, ts, max(price) as rate from ticks where side = 'buy' and seq % 10 = 0 group by 1, 2)"
+FX = "fx as (select mint, ts, max(price) as rate from ticks where side = 'buy' group by 1, 2)"
 SELLS = "sells as (select mint, ts, seq as id from ticks where side = 'sell')"
 
 
@@ -125,11 +114,11 @@ def nearest_within(spark, sf_dir):
     return sequence.nearest(sells, fx(spark, sf_dir), ["mint"], "rate", 5400)
 
 
-PROBES = "probes as (select distinct mint, ts as t from ticks where seq % 20 = 1)"
+PROBES = "probes as (select distinct mint, ts as t from ticks)"
 
 
 def probes(spark, sf_dir):
-    return event_tape(spark, sf_dir).where("seq % 20 = 1").select("mint", F.col("ts").alias("t")).distinct()
+    return event_tape(spark, sf_dir).select("mint", F.col("ts").alias("t")).distinct()
 
 
 @query(f"""with {TICKS}, {PROBES} select p.mint, p.t, count(*) as trades, sum(sol) as volume from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 group by 1, 2""")
@@ -161,50 +150,27 @@ def market_mark(spark, sf_dir):
     return tape.market_mark(probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200))
 
 
-def uncut(name: str) -> str:
-    """The SQL of a query over a subset, without its filter."""
-    return SQL[name].replace(" and seq % 10 = 0", "").replace(" where seq % 20 = 1", "")
-
-
-def all_fx(spark, sf_dir):
-    return event_tape(spark, sf_dir).where("side = 'buy'").groupBy("mint", "ts").agg(F.max("price").alias("rate"))
-
-
-def all_probes(spark, sf_dir):
-    return event_tape(spark, sf_dir).select("mint", F.col("ts").alias("t")).distinct()
-
-
-@query(uncut("as_of_clamped"))
-def as_of_clamped_all(spark, sf_dir):
-    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
-    return sequence.as_of(sells, all_fx(spark, sf_dir), ["mint"], "rate")
-
-
-@query(uncut("nearest_within"))
-def nearest_within_all(spark, sf_dir):
-    sells = event_tape(spark, sf_dir).where("side = 'sell'").select("mint", "ts", F.col("seq").alias("id"))
-    return sequence.nearest(sells, all_fx(spark, sf_dir), ["mint"], "rate", 5400)
-
-
-@query(uncut("interval_volume"))
-def interval_volume_all(spark, sf_dir):
-    near = tape.in_window(all_probes(spark, sf_dir), event_tape(spark, sf_dir), 7200, closed=False)
-    return near.groupBy("mint", "t").agg(F.count("*").alias("trades"), F.sum("sol").alias("volume"))
+for _name in ("as_of_clamped", "nearest_within", "interval_volume", "depth_bid", "depth_ask", "market_mark"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]  # an earlier name, from when some took part of their tables
 
 
-@query(uncut("depth_bid"))
-def depth_bid_all(spark, sf_dir):
-    return tape.depth(all_probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'sell' and price is not null"), "bid", 6, 7200)
+def sql_of(name: str) -> str:
+    return f"({SQL[name]})"
 
 
-@query(uncut("depth_ask"))
-def depth_ask_all(spark, sf_dir):
-    return tape.depth(all_probes(spark, sf_dir), event_tape(spark, sf_dir).where("side = 'buy' and price is not null"), "ask", 6, 7200)
+@query(f"""with {TICKS}, {PROBES}, last as (select mint, max(ts) as ended from ticks group by 1), g as (select p.mint, p.t, m.mark, coalesce(v.volume, 0) as volume, a.status as ask, a.price as ask_price, ended from probes p join last on last.mint = p.mint
+  left join {sql_of("market_mark")} m on m.mint = p.mint and m.t = p.t left join {sql_of("interval_volume")} v on v.mint = p.mint and v.t = p.t left join {sql_of("depth_ask")} a on a.mint = p.mint and a.t = p.t)
+select mint, t, case when t >= ended - 3600 then 'after_end' when mark is null then 'no_price' when volume < 40 then 'thin_volume' when ask <> 'ok' then 'no_ask' when ended - 7200 < t + 60 then 'no_room' else 'ok' end as gate,
+  case when t < ended - 7260 and mark is not null and volume >= 40 and ask = 'ok' then greatest(mark, ask_price) end as entry from g""")
+def entry_gate(spark, sf_dir):
+    ticks, at = event_tape(spark, sf_dir), probes(spark, sf_dir)
+    return tape.entry_gate(at, ticks, 6, 7200, (600, 1800, 7200), 40)
 
 
-@query(uncut("market_mark"))
-def market_mark_all(spark, sf_dir):
-    return tape.market_mark(all_probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200))
+@query(f"""with {TICKS}, {PROBES}, n as (select p.mint, p.t, median(price) filter (where k.ts < p.t + 600) as a, median(price) filter (where k.ts < p.t + 1800) as b, median(price) as c
+  from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 where k.sol >= 4 group by 1, 2) select p.mint, p.t, coalesce(a, b, c) as mark from probes p left join n on p.mint = n.mint and p.t = n.t""")
+def large_mark(spark, sf_dir):
+    return tape.market_mark(probes(spark, sf_dir), event_tape(spark, sf_dir), (600, 1800, 7200), floor=4)
 
 
 PATH = "path as (select l_partkey as mint, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) - 1 as k, l_extendedprice as price from lineitem)"
@@ -223,9 +189,9 @@ def trailing_stop(spark, sf_dir):
     return tape.trailing_stop(path(spark, sf_dir), 0.3)
 
 
-@query(f"""with {PATH}, e as (select mint, price as entry from path where k = 0), h as (select mint, k, price, entry, case when price >= entry * 2.0 then 0 when price <= entry * 0.5 then 1 end as which from path join e using (mint) where k > 0),
+@query(f"""with {PATH}, e as (select mint, price as entry from path where k = 0), n as (select *, lead(price) over (partition by mint order by k) as after from path), h as (select mint, k, after, entry, case when price >= entry * 2.0 then 0 when price <= entry * 0.5 then 1 end as which from n join e using (mint) where k > 0),
 x as (select mint, min(k) as k from h where which is not null group by 1)
-select h.mint, h.k as fires, case which when 0 then 'take' else 'stop' end as reason, h.price * (1 - 0.01) * (1 - 0.02) / (entry * (1 + 0.01) * (1 + 0.02)) - 1 as pnl from h join x on h.mint = x.mint and h.k = x.k""".replace("(1 - 0.01)", "0.99::double").replace("(1 - 0.02)", "0.98::double").replace("(1 + 0.01)", "1.01::double").replace("(1 + 0.02)", "1.02::double"))
+select h.mint, h.k as fires, case which when 0 then 'take' else 'stop' end as reason, h.after * (1 - 0.01) * (1 - 0.02) / (entry * (1 + 0.01) * (1 + 0.02)) - 1 as pnl from h join x on h.mint = x.mint and h.k = x.k""".replace("(1 - 0.01)", "0.99::double").replace("(1 - 0.02)", "0.98::double").replace("(1 + 0.01)", "1.01::double").replace("(1 + 0.02)", "1.02::double"))
 def take_or_stop(spark, sf_dir):
     return tape.first_exit(path(spark, sf_dir), 2.0, 0.5)
 
@@ -262,18 +228,21 @@ def hub_ubiquity(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("hub")).agg(F.countDistinct("l_partkey").alias("tokens")).orderBy(F.desc("tokens"), "hub").limit(15)
 
 
-@query("""with recursive e as (select distinct o_custkey as a, o_custkey * 7 % 1000 + 1 as b from orders where o_totalprice > 250000), s as (select a, b from e where a <> b union select b, a from e where a <> b),
-r(id, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.id) select id, min(c) as component from r group by 1""")
+@query()
 def components(spark, sf_dir):
     with_checkpoints(spark)
-    edges = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b"))
-    return sequence.components(edges)
+    return sequence.components(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b")))
+
+
+QUERIES["components_all"] = components
 
 
 @query()
-def components_all(spark, sf_dir):
+def hub_components(spark, sf_dir):
+    """size and count of components of parts that share two orders or more, orders of over 200 parts left out."""
     with_checkpoints(spark)
-    return sequence.components(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b")))
+    edges = sequence.co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 200).where("shared >= 2")
+    return sequence.components(edges.select("a", "b")).groupBy("component").agg(F.count("*").alias("size"))
 
 
 PAID = "paid as (select o_custkey % 20 as label, o_custkey as wallet, o_totalprice as amount, cast(epoch(o_orderdate) as bigint) as ts, o_orderkey as seq from orders)"

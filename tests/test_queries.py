@@ -40,18 +40,75 @@ def test_query(spark, duck, name):
         assert got == want and got
 
 
+def plain_splits(events, tolerance, window, least):
+    """The reference rule once more, in its simplest form: (amount, ts, wallet) in order of amounts."""
+    events, used, out = sorted(events, key=lambda e: e[0]), set(), []
+    for i, (amount, ts, wallet) in enumerate(events):
+        if i not in used:
+            near = [k for k in range(i + 1, len(events)) if k not in used and events[k][0] - amount <= amount * tolerance and events[k][2] != wallet and abs(events[k][1] - ts) <= window]
+            group = [i, *near]
+            if len({events[k][2] for k in group}) >= least:
+                used.update(group)
+                times = [events[k][1] for k in group]
+                out.append((round(amount, 9), tuple(sorted({events[k][2] for k in group})), min(times), max(times) - min(times)))
+    return sorted(out)
+
+
 def test_greedy_splits_and_the_set_form(spark):
     assert splits.greedy([(2.9768156, 100, "w1"), (2.9768156, 250, "w2"), (2.9768156, 400, "w3"), (5.0, 300, "l")], 1e-4, 3600, 3) == [[0, 1, 2]]
     assert splits.greedy([(2.0, 0, "a"), (2.0, 1, "b")], 1e-4, 3600, 3) == []
     shadow = [(1.0, 0, "w1"), (1.00002, 3500, "w2"), (1.00004, 5000, "w3"), (1.00006, 5500, "w4")]
     assert splits.greedy(shadow, 1e-4, 3600, 3) == [[1, 2, 3]]
+    assert splits.greedy([(1.0, t, w) for t, w in ((0, "A"), (10, "B"), (20, "B"), (30, "C"), (3610, "D"), (3615, "E"))], 1e-4, 3600, 3) == [[0, 1, 2, 3]]
     rng, rows = random.Random(20), []
     for label in range(120):
-        for k in range(rng.randint(2, 8)):
+        for k in range(rng.randint(2, 14)):
             rows.append((label, f"w{rng.randint(0, 5)}", 1 + rng.uniform(-3e-4, 3e-4), rng.randint(0, 8000), label * 100 + k))
-    frame = spark.createDataFrame(rows, "label long, wallet string, amount double, ts long, seq long")
-    some = {r.label for r in splits.split_clusters(frame, "label").collect()}
-    assert {r.label: r.split for r in sequence.split_exists(frame, "label", 1e-4, 3600, 3).collect()} == {k: k in some for k in range(120)} and some
+    frame = spark.createDataFrame(rows, "label long, wallet string, amount double, ts long, seq long").repartition(3)
+    got: dict = {}
+    for r in splits.split_clusters(frame, "label").collect():
+        assert r.n_wallets == len(r.wallets) and r.date == "1970-01-01"
+        got.setdefault(r.label, []).append((r.amount, tuple(r.wallets), r.first_ts, r.span_seconds))
+    for label in range(120):
+        assert sorted(got.get(label, [])) == plain_splits([(a, t, w) for x, w, a, t, _ in rows if x == label], 1e-4, 3600, 3)
+    assert {r.label: r.split for r in sequence.split_exists(frame, "label", 1e-4, 3600, 3).collect()} == {k: k in got for k in range(120)} and len(got) > 20
+
+
+def test_as_of_over_bins(spark):
+    rng = random.Random(3)
+    right = {(k, rng.randrange(400)): rng.random() for k in "ab" for _ in range(30)}
+    left = [(rng.choice("abc"), rng.randrange(-50, 500), i) for i in range(200)]
+    l, r = spark.createDataFrame(left, "mint string, ts long, id long"), spark.createDataFrame([(*k, v) for k, v in right.items()], "mint string, ts long, rate double")
+    for x in sequence.as_of(l, r, ["mint"], "rate", width=7).collect():
+        times = sorted(t for k, t in right if k == x.mint)
+        past = [t for t in times if t <= x.ts]
+        assert x.rate == (right[x.mint, (past or times[:1])[-1]] if times else None)
+
+
+def test_hub_components(spark, duck):
+    pairs = duck.sql("with d as (select distinct l_orderkey g, l_partkey i from lineitem) select a.i, b.i from d a join d b using (g) where a.i < b.i group by 1, 2 having count(*) >= 2").fetchall()
+    root: dict = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want: dict = {}
+    for v in list(root):
+        want[find(v)] = want.get(find(v), 0) + 1
+    assert {r.component: r.size for r in catalog.QUERIES["hub_components"](spark, SF).collect()} == want and want
+
+
+def test_keyed_hash_equals_the_library(spark):
+    import hashlib
+    import hmac
+
+    got = spark.createDataFrame([("text",), ("",), ("é" * 90,)], "x string").select("x", columns.hmac_sha256(F.col("x"), b"k").alias("h")).collect()
+    assert all(r.h == hmac.new(b"k", r.x.encode(), hashlib.sha256).hexdigest() for r in got)
 
 
 def test_statistics(spark):
