@@ -36,14 +36,22 @@ class MinHash:
     under: int = 100
     coordinates: int = 64
     seed: int = 99
+    #: Coordinates of the signatures compared within clusters, of one byte each.
+    skip: int = 256
+    #: A shingle is common if more than one class in so many has it, and more than `few` have.
+    common: int = 1000
+    few: int = 64
     #: Shingles of the sets in one block, and classes in it.
     weight: int = 200_000
     block: int = 256
 
+    def least_of(self, coordinates: int) -> int:
+        s = self.over / self.under
+        return max(1, math.floor(coordinates * s - 5 * math.sqrt(coordinates * s * (1 - s))))
+
     @property
     def least(self) -> int:
-        s = self.over / self.under
-        return max(1, math.floor(self.coordinates * s - 5 * math.sqrt(self.coordinates * s * (1 - s))))
+        return self.least_of(self.coordinates)
 
     def shingles(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingles of each text, sorted, and how many it has. A text of fewer words is one shingle of all
@@ -65,12 +73,13 @@ class MinHash:
         fresh[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
         return code[fresh], np.bincount(owner[fresh], minlength=len(raw))
 
-    def signatures(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def signatures(self, code: np.ndarray, count: np.ndarray, coordinates: int = 0) -> np.ndarray:
         """A row of 32-bit values for each text with shingles."""
+        coordinates = coordinates or self.coordinates
         start = (np.cumsum(count) - count)[count > 0]
-        out = np.empty((len(start), self.coordinates), np.uint32)
+        out = np.empty((len(start), coordinates), np.uint32)
         rng = np.random.default_rng(self.seed)
-        factors = rng.integers(0, 1 << 63, self.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        factors = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for k, factor in enumerate(factors):
             if len(start):
                 out[:, k] = np.minimum.reduceat((code ^ np.uint64(factor >> np.uint64(7))) * factor >> np.uint64(32), start)
@@ -116,12 +125,55 @@ def candidates(classes: DataFrame, minhash: MinHash) -> DataFrame:
     own = pairs.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("size", "pair"))).alias("pairs"))  # at most `coordinates`
     posted = F.size("pairs") - (minhash.least - 1)
     posts = own.where(posted > 0).select("rep", F.explode(F.slice("pairs", F.lit(1), posted)).alias("at")).select("rep", "at.pair")
-    posts = saved(posts, "posts")
+    return sharing(saved(posts, "posts"))
+
+
+def sharing(posts: DataFrame) -> DataFrame:
+    """rep and cluster of what shares a pair with others, directly or through others. posts: rep and pair."""
     first = posts.groupBy("pair").agg(F.min("rep").alias("first"))
     links = posts.join(first, "pair").where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
     return components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 
 
+def common_shingles(members: DataFrame, minhash: MinHash) -> np.ndarray:
+    """Shingles that more than one class in `common` has; at most `common` times the classes' mean size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = np.unique(np.frombuffer(b"".join(batch["set"].to_pylist()), np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(code), pa.array(n)], ["code", "n"])
+
+    counts = members.select("set").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    least = max(minhash.few, members.count() / minhash.common)
+    return np.sort(np.array([r.code for r in counts.where(F.col("n") > least).select("code").collect()], np.int64))
+
+
+def clustered(members: DataFrame, minhash: MinHash) -> DataFrame:
+    """The members that share a shingle of their prefixes with others, with their clusters."""
+    shared = members.sparkSession.sparkContext.broadcast(common_shingles(members, minhash))
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            of, posted = [], []
+            for k, raw in enumerate(batch["set"].to_pylist()):
+                code = np.frombuffer(raw, np.int64)
+                prefix = len(code) - -(-len(code) * minhash.over // minhash.under) + 1
+                late = np.zeros(len(code), bool)
+                if len(common):
+                    late = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] == code
+                code = np.concatenate([code[~late], code[late]])[:prefix]
+                posted.append(code)
+                of.append(np.full(len(code), k))
+            if posted:
+                yield pa.record_batch([batch["rep"].take(pa.array(np.concatenate(of))), pa.array(np.concatenate(posted))], ["rep", "pair"])
+
+    posts = members.select("rep", "set").mapInArrow(run, f"rep {kind}, pair long")
+    many = posts.groupBy("pair").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("pair")
+    return members.join(sharing(saved(posts.join(many, "pair"), "prefixes")), "rep")
+
+
 def bands(minhash: MinHash) -> Column:
     """Sets whose sizes' ratio allows the similarity asked for lie in the same band or in neighbours."""
     return F.floor(F.log(F.col("n")) / math.log(minhash.under / minhash.over) * (1 - 1e-9))
@@ -169,7 +221,7 @@ def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray,
     """Links that connect what the meeting's links connect. side: 0 or 1 where two blocks meet and only pairs across
     count; all 0 for a block that meets itself."""
     size = np.array([len(s) for s in sets])
-    joined, out = Joined(len(sets)), []
+    joined, out, least = Joined(len(sets)), [], minhash.least_of(signatures.shape[1])
     across = bool(side.any())
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, len(sets))
@@ -180,7 +232,7 @@ def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray,
         if not len(j):
             continue
         match = (signatures[j] == signatures[i]).sum(1)
-        j, match = j[match >= minhash.least], match[match >= minhash.least]
+        j, match = j[match >= least], match[match >= least]
         for k in j[np.argsort(-match, kind="stable")].tolist():
             if joined.root(i) == joined.root(k):
                 continue
@@ -196,8 +248,7 @@ def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray,
 def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
     """a, b: links between classes' smallest doc_ids; between those that aren't listed and are linked there is a path of
     links listed."""
-    clusters = candidates(classes, minhash)
-    wanted = classes.select("rep", *CLASS).join(clusters, "rep")
+    wanted = classes.select("rep", *CLASS).join(candidates(classes, minhash).select("rep"), "rep")
     kind = classes.schema["rep"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +256,7 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
             code, count = minhash.shingles(texts(part["text"]))
             names = np.stack(named(code, count), 1)
             keep = (names == np.stack([np.asarray(part[c]) for c in CLASS], 1)).all(1)  # not of another text under that id
-            rows = iter(minhash.signatures(code, count))
+            rows = iter(minhash.signatures(code, count, minhash.skip).astype(np.uint8))
             end = np.cumsum(count)
             out = [(code[e - n : e].tobytes(), next(rows).tobytes()) for e, n in zip(end.tolist(), count.tolist())]
             part = part.drop_columns(["text"]).filter(pa.array(keep))
@@ -213,8 +264,8 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
             yield pa.record_batch([*part.columns, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], [*part.schema.names, "set", "signature"])
 
     texts_of = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    members = texts_of.select("rep", "cluster", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, cluster {kind}, n long, one long, two long, set binary, signature binary")
-    members = saved(members.dropDuplicates(["rep"]), "members")
+    members = texts_of.select("rep", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, n long, one long, two long, set binary, signature binary")
+    members = clustered(saved(members.dropDuplicates(["rep"]), "members"), minhash)
     met = meetings(members.select("rep", "cluster", "n", "set", "signature"), minhash)
     met = met.select("meeting", "rep", ((F.col("band") != F.col("meeting.band")) | (F.col("block") != F.col("meeting.block"))).alias("side"), "set", "signature")
     met = met.repartition("meeting").sortWithinPartitions("meeting", "rep")
@@ -223,7 +274,7 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
         for group in by_group(batches, ["key"]):
             rep = group["rep"].to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(len(rep), -1)
+            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(rep), -1)
             got = confirmed(np.array(group["side"].to_pylist(), int), sets, signatures, minhash)
             if got:
                 yield pa.record_batch([pa.array([rep[i] for i, _ in got], group["rep"].type), pa.array([rep[k] for _, k in got], group["rep"].type)], ["a", "b"])

@@ -233,6 +233,30 @@ def test_near_duplicates(spark, rows, nothing, minhash):
     assert near_dup.near_duplicates(nothing, minhash).count() == 0
 
 
+def test_boilerplate_does_not_chain_documents(spark):
+    template = [f"line{j}" for j in range(160)]
+    rng = random.Random(2)
+    texts = [" ".join([*template, *(f"own{k}x{rng.randrange(9**9)}" for _ in range(41))]) for k in range(600)]
+    texts += [t + " end" for t in texts[:30]]
+    frame = spark.createDataFrame([(i, t, "x", 0.0, 1, b"") for i, t in enumerate(texts)], KIND)
+    minhash = near_dup.MinHash()
+    described = near_dup.saved(near_dup.described(frame, minhash), "described")
+    classes = described.groupBy(*near_dup.CLASS).agg(near_dup.F.min("doc_id").alias("rep"), near_dup.F.any_value("signature").alias("signature"))
+    assert near_dup.candidates(classes, minhash).count() > 500  # by coordinates alone nearly all are chained
+    members = frame.selectExpr("doc_id as rep", "text")
+
+    def sets_of(batches):
+        for b in batches:
+            code, count = minhash.shingles([x.encode() for x in b["text"].to_pylist()])
+            end = np.cumsum(count)
+            yield near_dup.pa.record_batch([b["rep"], near_dup.pa.array([code[e - n : e].tobytes() for e, n in zip(end.tolist(), count.tolist())])], ["rep", "set"])
+
+    left = near_dup.clustered(members.mapInArrow(sets_of, "rep long, set binary"), minhash)
+    assert {r.rep for r in left.collect()} == {*range(30), *range(600, 630)}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, minhash).collect()}
+    assert got == {i: i - 600 if i >= 600 else i for i in range(630)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(12)]
