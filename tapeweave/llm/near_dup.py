@@ -149,7 +149,7 @@ def common_shingles(members: DataFrame, minhash: MinHash) -> np.ndarray:
 
 
 def clustered(members: DataFrame, minhash: MinHash) -> DataFrame:
-    """The members that share a shingle of their prefixes with others, with their clusters."""
+    """The members that share a shingle of their prefixes with others of their cluster, with the clusters of those alone."""
     shared = members.sparkSession.sparkContext.broadcast(common_shingles(members, minhash))
     kind = members.schema["rep"].dataType.simpleString()
 
@@ -157,6 +157,7 @@ def clustered(members: DataFrame, minhash: MinHash) -> DataFrame:
         common = shared.value
         for batch in batches:
             of, posted = [], []
+            salt = mixed(np.asarray(batch["salt"]).view(np.uint64))
             for k, raw in enumerate(batch["set"].to_pylist()):
                 code = np.frombuffer(raw, np.int64)
                 prefix = len(code) - -(-len(code) * minhash.over // minhash.under) + 1
@@ -164,14 +165,14 @@ def clustered(members: DataFrame, minhash: MinHash) -> DataFrame:
                 if len(common):
                     late = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] == code
                 code = np.concatenate([code[~late], code[late]])[:prefix]
-                posted.append(code)
+                posted.append(mixed(code.view(np.uint64) ^ salt[k]).view(np.int64))
                 of.append(np.full(len(code), k))
             if posted:
                 yield pa.record_batch([batch["rep"].take(pa.array(np.concatenate(of))), pa.array(np.concatenate(posted))], ["rep", "pair"])
 
-    posts = members.select("rep", "set").mapInArrow(run, f"rep {kind}, pair long")
+    posts = members.select("rep", "set", F.xxhash64("cluster").alias("salt")).mapInArrow(run, f"rep {kind}, pair long")
     many = posts.groupBy("pair").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("pair")
-    return members.join(sharing(saved(posts.join(many, "pair"), "prefixes")), "rep")
+    return members.drop("cluster").join(sharing(saved(posts.join(many, "pair"), "prefixes")), "rep")
 
 
 def bands(minhash: MinHash) -> Column:
@@ -248,7 +249,7 @@ def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray,
 def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
     """a, b: links between classes' smallest doc_ids; between those that aren't listed and are linked there is a path of
     links listed."""
-    wanted = classes.select("rep", *CLASS).join(candidates(classes, minhash).select("rep"), "rep")
+    wanted = classes.select("rep", *CLASS).join(candidates(classes, minhash), "rep")
     kind = classes.schema["rep"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
             yield pa.record_batch([*part.columns, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], [*part.schema.names, "set", "signature"])
 
     texts_of = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    members = texts_of.select("rep", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, n long, one long, two long, set binary, signature binary")
+    members = texts_of.select("rep", "cluster", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, cluster {kind}, n long, one long, two long, set binary, signature binary")
     members = clustered(saved(members.dropDuplicates(["rep"]), "members"), minhash)
     met = meetings(members.select("rep", "cluster", "n", "set", "signature"), minhash)
     met = met.select("meeting", "rep", ((F.col("band") != F.col("meeting.band")) | (F.col("block") != F.col("meeting.block"))).alias("side"), "set", "signature")

@@ -251,7 +251,7 @@ def test_boilerplate_does_not_chain_documents(spark):
             end = np.cumsum(count)
             yield near_dup.pa.record_batch([b["rep"], near_dup.pa.array([code[e - n : e].tobytes() for e, n in zip(end.tolist(), count.tolist())])], ["rep", "set"])
 
-    left = near_dup.clustered(members.mapInArrow(sets_of, "rep long, set binary"), minhash)
+    left = near_dup.clustered(members.mapInArrow(sets_of, "rep long, set binary").selectExpr("*", "1 as cluster"), minhash)
     assert {r.rep for r in left.collect()} == {*range(30), *range(600, 630)}
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, minhash).collect()}
     assert got == {i: i - 600 if i >= 600 else i for i in range(630)}
