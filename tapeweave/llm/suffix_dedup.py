@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ RUN, SUFFIXES = 1_000_000, 200_000
 class Spans:
     span: int = 50
     gram: int = 16
+    #: Numbers of texts that stand for one document, if several texts have its id: number div texts_of_id is the document.
+    texts_of_id: int = 1
 
     @property
     def before(self) -> int:
@@ -141,7 +143,7 @@ def by_document(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, li
         yield int(doc[a]), [c[a:b] for c in columns]
 
 
-def shared_anchors(runs: DataFrame) -> DataFrame:
+def shared_anchors(runs: DataFrame, spans: Spans) -> DataFrame:
     """doc_id and places (32-bit integers) of anchors whose hash more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,8 @@ def shared_anchors(runs: DataFrame) -> DataFrame:
                 continue
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             size = np.diff(np.append(first, len(code)))
-            many = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), size)
+            own = doc // spans.texts_of_id
+            many = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
             rows = [(d, p.astype("<i4").tobytes()) for d, (p,) in by_document(doc[many], place[many])]
             if rows:
                 yield pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["doc_id", "places"])
@@ -189,9 +192,9 @@ def suffix_runs(docs: DataFrame, spans: Spans, ranges: int) -> DataFrame:
             last = None
             for x in held:
                 if x[:3] == last:
-                    if x[3] != kept[-1][3]:
+                    if x[3] // spans.texts_of_id != kept[-1][3] // spans.texts_of_id:
                         repeats.append((x[3], x[4] - len(x[2]), x[4] + len(x[1]) - spans.span))
-                    elif x[4] != kept[-1][4]:  # another place of the same document: an earlier one may be in another run
+                    elif x[3:] != kept[-1][3:]:  # another place of the same document: an earlier one may be in another run
                         kept.append(x)
                 else:
                     kept.append(x)
@@ -338,7 +341,8 @@ def repeated(runs: DataFrame, spans: Spans) -> DataFrame:
             size, lead = (np.concatenate([s[k] for s in sizes])[take] for k in (0, 1))
             family = np.cumsum(np.array(known) < gram)
             first = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
-            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            own = doc // spans.texts_of_id
+            many = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
             keep = np.flatnonzero(many[family - family[0]])
             found: list[np.ndarray] = []
             # whole families at once, of about so many suffixes
@@ -358,7 +362,7 @@ def repeated(runs: DataFrame, spans: Spans) -> DataFrame:
                 code = mixed(code[i, j] ^ mixed(family[rows_of[i]].astype(np.uint64)))
                 order = np.argsort(code, kind="stable")
                 head = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
-                owner = doc[rows_of[i[order]]]
+                owner = own[rows_of[i[order]]]
                 least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(order))))
                 late = order[owner > least]
                 found.append(np.stack([doc[rows_of[i[late]]], place[rows_of[i[late]]] - j[late]], 1))
@@ -392,13 +396,20 @@ def removed(docs: DataFrame, spans: Spans = Spans(), carry: tuple[str, ...] = ()
     start in a document with a smaller doc_id too; null if there are none.
 
     A null text is empty. A row without an id has no starts and gives none to others. Rows that repeat an id and its text
-    share their starts; of other texts under the same id, one takes part and the rest have no starts."""
+    share their starts; other texts under the same id are parts of the same document, which repeat nothing of each other."""
     spark = docs.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     whole_id = docs.schema["doc_id"].dataType == T.LongType()
     columns = [F.col("doc_id") if whole_id else F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else [])]
     known = docs.where(F.col("doc_id").isNotNull()).select(*columns)
     known = known.withColumn("tag", F.xxhash64("text"))
+    several = known.select("doc_id", "tag").distinct().groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    if several > 1:
+        most = known.agg(F.max(F.abs("doc_id"))).first()[0]
+        if (most + 1) * several >= 1 << 63:
+            raise ValueError(f"ids up to {most} are too large to number {several} texts under one")
+        number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("tag")) - 1
+        known, spans = known.withColumn("number", number).withColumn("doc_id", F.col("doc_id") * several + F.col("number")).drop("number"), replace(spans, texts_of_id=several)
     narrow = known.select("doc_id", F.struct("tag", F.xxhash64(F.lit(1), "text").alias("tag2"), F.octet_length("text").alias("size")).alias("name"))
     one = narrow.groupBy("doc_id").agg(F.min("name").alias("name"))
     equal = one.groupBy("name").agg(F.min("doc_id").alias("least"))
@@ -406,7 +417,7 @@ def removed(docs: DataFrame, spans: Spans = Spans(), carry: tuple[str, ...] = ()
     of = ["doc_id", "tag"]
     firsts = named.where(F.col("least") == F.col("doc_id"))
     runs = hash_runs(known.join(firsts.select(of), of).select("doc_id", "text"), spans, ranges)
-    places = shared_anchors(runs).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = shared_anchors(runs, spans).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     asked = firsts.select(of).join(places, "doc_id")
     suffixes = suffix_runs(known.join(asked, of).select("doc_id", "text", "places"), spans, ranges)
     starts = repeated(suffixes, spans).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
@@ -414,6 +425,8 @@ def removed(docs: DataFrame, spans: Spans = Spans(), carry: tuple[str, ...] = ()
     whole = F.array(F.concat(F.lit(bytes(4)), little_endian(last)))
     spans_of = named.join(starts, "doc_id", "left").select(*of, F.when(F.col("least") < F.col("doc_id"), whole).otherwise(F.col("starts")).alias("starts"))
     rows = known.join(spans_of, of, "left").drop("tag")
+    if several > 1:
+        rows = rows.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {several})) div {several}"))
     strays = docs.where(F.col("doc_id").isNull()).select(*columns, F.lit(None).cast("array<binary>").alias("starts"))
     return rows.unionByName(strays)
 

@@ -195,6 +195,23 @@ def test_suffix_dedup_of_a_passage_twice_in_one_document(spark):
     assert got == want
 
 
+def test_suffix_dedup_of_several_texts_under_one_id(spark):
+    rng = random.Random(6)
+    q, z = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (90, 70))
+    rows = [(1, q), (2, q), (2, q[:60] + z), (2, z + "!"), (-3, z[:55]), (4, "x" + z), (4, "x" + z), (None, q)]
+    gone = {}
+    for i, t in rows:
+        cut = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if i is not None and any(j is not None and j < i and t[k : k + 50] in u for j, u in rows):
+                cut[k : k + 50] = b"\1" * 50
+        gone.setdefault((i, len(t)), []).append(sum(cut))
+    got = {}
+    for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault((r.doc_id, r.n_bytes), []).append(r.n_removed)
+    assert got == gone and gone[2, 130] == [115] and gone[2, 90] == [90]
+
+
 def test_loser_tree_merges_with_prefixes():
     rng = random.Random(2)
     for _ in range(200):
