@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or that the session has been given. Without either there is none that
-    all executors share, which is an error."""
+    """The folder that spark.checkpoint.dir names, or that the session has been given. Without either: a temporary one in
+    local mode, as in tests; on a cluster there is none that all executors share, which is an error."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         base = found
         if not context.getCheckpointDir():
             context.setCheckpointDir(base)
     elif not (base := context.getCheckpointDir()):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tapeweave-")
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
