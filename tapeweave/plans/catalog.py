@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """The checkpoint folder that the session names; without one there is none that all executors share."""
-    if not spark.sparkContext.getCheckpointDir():
-        if not (named := spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+    """The checkpoint folder that the session names. Without one: a temporary one in local mode, as in tests; on a cluster
+    there is none that all executors share, which is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeweave-"))
 
 
 LINES = """lines as (select l_partkey as mint, cast(epoch(l_shipdate) as bigint) as ts, l_orderkey * 8 + l_linenumber as seq, l_suppkey as trader,
