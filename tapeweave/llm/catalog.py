@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeweave.llm import near_dup, suffix_dedup
 from tapeweave.llm.bpe_codec import op6_bpe_codec
 from tapeweave.llm.cross_polytope import op1_cross_polytope
 from tapeweave.llm.near_dup import op9_minhash_near_dedup
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express: learned models, tokenizers, approximate search and file formats it can't."""
+    return {"op3_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_minhash_near_dedup": near_dup.ORACLE_SQL}

@@ -5,8 +5,9 @@ Documents with equal sets of shingles form one class, whose smallest doc_id stan
 a pair within the rarest coordinates - least + 1 pairs of each, so only those are posted, and pairs that one class alone
 has are posted nowhere. Classes that share postings form candidate clusters. Within a cluster, classes are dealt into
 blocks by size band (two sets of the similarity asked for lie in the same band or in neighbours) and hash; blocks of
-bounded weight meet two by two, where collisions of signatures are counted, pairs under `least` are skipped, pairs
-already connected are skipped, and the others are confirmed on the full sets.
+bounded weight meet two by two. There collisions are counted by merging posting lists: a class's shortest lists, one more
+than it can do without, are merged; what they hold is looked up in its long lists until it can't reach `least` any more.
+Pairs already connected are skipped, and the others are confirmed on the full sets.
 
 `least` is five standard deviations below the matches expected at the similarity asked for.
 """
@@ -36,7 +37,7 @@ class MinHash:
     under: int = 100
     coordinates: int = 64
     seed: int = 99
-    #: Coordinates of the signatures compared within clusters, of one byte each.
+    #: Coordinates of the signatures posted within clusters, of two bytes each.
     skip: int = 256
     #: A shingle is common if more than one class in so many has it, and more than `few` have.
     common: int = 1000
@@ -218,22 +219,56 @@ class Joined:
         self.parent[self.root(a)] = self.root(b)
 
 
+class Postings:
+    """The members of a meeting under each (coordinate, value) pair of their signatures."""
+
+    def __init__(self, signatures: np.ndarray, least: int) -> None:
+        self.signatures, self.least = signatures, least
+        self.members = np.argsort(signatures.T, axis=1, kind="stable")
+        value = np.take_along_axis(signatures.T, self.members, 1)
+        opens = np.ones(value.shape, bool)
+        opens[:, 1:] = value[:, 1:] != value[:, :-1]
+        closes = np.ones(value.shape, bool)
+        closes[:, :-1] = opens[:, 1:]
+        place = np.arange(value.shape[1])
+        first = np.maximum.accumulate(np.where(opens, place, 0), axis=1)
+        last = np.minimum.accumulate(np.where(closes, place, len(place))[:, ::-1], axis=1)[:, ::-1]
+        self.first, self.length = np.empty_like(first), np.empty_like(first)
+        np.put_along_axis(self.first, self.members, first, 1)
+        np.put_along_axis(self.length, self.members, last - first + 1, 1)
+
+    def meets(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members after i that agree with it in `least` coordinates or more, and in how many."""
+        coordinates, members = self.members.shape
+        short_first = np.argsort(self.length[:, i], kind="stable")
+        prefix, rest = np.split(short_first, [max(0, coordinates - self.least + 1)])
+        n = self.length[prefix, i]
+        at = np.repeat(self.first[prefix, i] + prefix * members - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        count = np.bincount(self.members.ravel()[at], minlength=members)
+        count[: i + 1] = 0
+        j = np.flatnonzero(count)
+        count, left = count[j], len(rest)
+        for lists in np.array_split(rest, 4):
+            count = count + (self.signatures[np.ix_(j, lists)] == self.signatures[i, lists]).sum(1)
+            left -= len(lists)
+            able = count + left >= self.least
+            j, count = j[able], count[able]
+        return j, count
+
+
 def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, minhash: MinHash) -> list[tuple[int, int]]:
     """Links that connect what the meeting's links connect. side: 0 or 1 where two blocks meet and only pairs across
     count; all 0 for a block that meets itself."""
     size = np.array([len(s) for s in sets])
-    joined, out, least = Joined(len(sets)), [], minhash.least_of(signatures.shape[1])
+    joined, out, postings = Joined(len(sets)), [], Postings(signatures, minhash.least_of(signatures.shape[1]))
     across = bool(side.any())
     for i in range(len(sets) - 1):
-        j = np.arange(i + 1, len(sets))
-        if across:
-            j = j[side[j] != side[i]]
+        j, match = postings.meets(i)
         low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
-        j = j[low * minhash.under >= high * minhash.over]
-        if not len(j):
-            continue
-        match = (signatures[j] == signatures[i]).sum(1)
-        j, match = j[match >= least], match[match >= least]
+        able = low * minhash.under >= high * minhash.over
+        if across:
+            able &= side[j] != side[i]
+        j, match = j[able], match[able]
         for k in j[np.argsort(-match, kind="stable")].tolist():
             if joined.root(i) == joined.root(k):
                 continue
@@ -257,7 +292,7 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
             code, count = minhash.shingles(texts(part["text"]))
             names = np.stack(named(code, count), 1)
             keep = (names == np.stack([np.asarray(part[c]) for c in CLASS], 1)).all(1)  # not of another text under that id
-            rows = iter(minhash.signatures(code, count, minhash.skip).astype(np.uint8))
+            rows = iter(minhash.signatures(code, count, minhash.skip).astype(np.uint16))
             end = np.cumsum(count)
             out = [(code[e - n : e].tobytes(), next(rows).tobytes()) for e, n in zip(end.tolist(), count.tolist())]
             part = part.drop_columns(["text"]).filter(pa.array(keep))
@@ -275,7 +310,7 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
         for group in by_group(batches, ["key"]):
             rep = group["rep"].to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(rep), -1)
+            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(rep), -1)
             got = confirmed(np.array(group["side"].to_pylist(), int), sets, signatures, minhash)
             if got:
                 yield pa.record_batch([pa.array([rep[i] for i, _ in got], group["rep"].type), pa.array([rep[k] for _, k in got], group["rep"].type)], ["a", "b"])
@@ -309,5 +344,15 @@ def one_of_each(docs: DataFrame, minhash: MinHash = MinHash(words=5, over=80)) -
     return rows.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs of documents that share a shingle, and what their links reach.
+ORACLE_SQL = rf"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end) as g from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)), e as (select a, b from l union all select b, a from l),
+r as (select doc_id as pos, doc_id as seen from d union select e.b, r.seen from r join e on e.a = r.pos)
+select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c as kept from d left join n using (doc_id) join (select pos, min(seen) as c from r group by 1) on pos = d.doc_id"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -498,5 +498,14 @@ def digest(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
     return removed(docs, spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+#: Every 50-byte string of every text, as hexadecimal digits cut from overlapping blocks of 200 places.
+ORACLE_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), b as (select doc_id, o, substr(h, o * 2 + 1, 498) as h from (select doc_id, h, unnest(range(0, len(h) // 2, 200)) as o from d)),
+g as (select doc_id, o + i as pos, substr(h, i * 2 + 1, 100) as g from (select *, unnest(range(0, least(200, len(h) // 2 - 49))) as i from b)), f as (select g, min(doc_id) as f from g group by 1), m as (select doc_id, pos from g join f using (g) where f < doc_id),
+o as (select *, case when pos - lag(pos) over w <= 50 then 0 else 1 end as new from m window w as (partition by doc_id order by pos)), c as (select *, sum(new) over (partition by doc_id order by pos) as run from o),
+r as (select doc_id, run, min(pos) as a, max(pos) + 50 as b from c group by 1, 2), k as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as after from r),
+x as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, after * 2 + 1, (a - after) * 2), '' order by a) as kept, max(b) as last from k join d using (doc_id) group by 1)
+select doc_id, len(h) // 2 as n_bytes, coalesce(cast(n_removed as bigint), 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substr(h, last * 2 + 1), h))) as kept_sha256 from d left join x using (doc_id)"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))

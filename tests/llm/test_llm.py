@@ -5,14 +5,17 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tapeweave.llm import catalog as llm_catalog
 from tapeweave.llm import bpe, bpe_codec, components, cross_polytope, near_dup, packing, quality, suffix_dedup, suffix_tree_lm, telephony, token_orc, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, score double, rank int, ids binary"
 
 
@@ -250,6 +253,57 @@ def test_near_duplicates(spark, rows, nothing, minhash):
     assert near_dup.near_duplicates(nothing, minhash).count() == 0
 
 
+def test_posting_lists_are_merged_with_prefix_and_skip():
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 6, (90, 40)).astype(np.uint16)
+    signatures[:, :9] = 1  # one value that all have
+    for k in range(0, 90, 3):  # near copies
+        signatures[k + 1] = np.where(rng.random(40) < 0.3, signatures[k + 1], signatures[k])
+    for least in (1, 15, 28, 40):
+        postings = near_dup.Postings(signatures, least)
+        for i in range(90):
+            match = (signatures == signatures[i]).sum(1)
+            want = [j for j in range(i + 1, 90) if match[j] >= least]
+            got, count = postings.meets(i)
+            assert got.tolist() == want and count.tolist() == match[want].tolist()
+
+
+@pytest.mark.parametrize("name", sorted(llm_catalog.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = llm_catalog.queries()[name](spark, SF)
+    want = con.sql(f"select {', '.join(got.columns)} from ({llm_catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+CONTRACT = {
+    "op1_cross_polytope": "query_id bigint, rank int, vec_id bigint, score double",
+    "op2_suffix_tree_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op3_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op4_telephony": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op5_token_orc": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op6_bpe_codec": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op7_rule_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_bigru_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op10_harmonic_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_queries_keep_to_their_contract(spark, name):
+    got = llm_catalog.queries()[name](spark, SF)
+    kinds = dict(got.dtypes)
+    assert all(kinds[c] == kind for c, kind in (x.split() for x in CONTRACT[name].split(", ")))
+    ids = Counter(r[0] for r in got.select(got.columns[0]).collect())
+    if name == "op1_cross_polytope":
+        assert set(ids.values()) == {5}
+    else:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        assert len(ids) == docs.count() and (name == "op10_harmonic_packing" or set(ids.values()) == {1})
+
+
 def test_boilerplate_does_not_chain_documents(spark):
     template = [f"line{j}" for j in range(160)]
     rng = random.Random(2)
