@@ -194,24 +194,25 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most
     Rows without an id or a label take no part."""
     chosen = labels.where(fold & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most rows at most
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most labels at most
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Rules:
     """Learns from labels of rows whose crc32(doc_id as text) mod 4 is not 2."""
     rows = sample_of(docs, labels, "quality", remainder("doc_id", 4) != 2, most)
-    return fit(*_sample(rows))
+    return fit(*_sample(rows, most))
 
 
-def _sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the sample, in the order of ids."""
+def _sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of the sample, `most` rows at most where ids repeat, in the order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in steps(b)):
             values = np.array([stats_of(x) for x in texts(part["text"])], float).reshape(-1, len(STATS))
             yield pa.record_batch([part["doc_id"], part["label"], *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], ["doc_id", "label", *STATS])
 
-    got = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, " + ", ".join(f"{x} double" for x in STATS)).toPandas()
+    got = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, " + ", ".join(f"{x} double" for x in STATS))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATS).limit(most).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return got[list(STATS)].to_numpy(float), (got["label"].to_numpy() == 1).astype(float)
 

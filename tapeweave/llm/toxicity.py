@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeweave.llm.common import remainder, steps, table, texts
 
 #: Labelled rows of each label that the network is trained on, at most: those with the smallest hashes of their ids.
 SAMPLE = 2_000
+#: Bytes of a labelled text that the network is trained on, at most (longer ones are left out of training), and of all.
+LONGEST, BYTES = 1 << 18, 1 << 25
 THRESHOLD = 0.5
 WINDOW, STRIDE = 64, 48
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 14, 1 << 12, 12, 8, 8
@@ -309,12 +311,15 @@ def filtered(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Weights:
     """Learns from labels of rows whose crc32(doc_id as text) mod 5 is not 0. Rows without an id or a label take no
-    part."""
+    part. Rows that repeat an id all count towards the sample's bounds."""
     fold: Column = remainder("doc_id", 5) != 0
     known = labels.where(fold & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * most rows at most
-    got = sorted(rows.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect())
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    order = [F.xxhash64("doc_id"), "doc_id", "toxic", "text"]
+    rows = whole.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy(*order).limit(2 * most)  # 2 * most labels at most
+    bytes_so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = sorted(rows.withColumn("bytes", bytes_so_far).where(F.col("bytes") <= BYTES).select("doc_id", "toxic", "text").collect())
     return train_network([(x.text.encode(), x.toxic) for x in got])
 
 
