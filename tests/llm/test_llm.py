@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeweave.llm import catalog as llm_catalog
@@ -444,6 +445,22 @@ def test_classifiers_on_held_out_rows(spark, nothing):
     assert toxicity.scored(nothing, toxicity.train(nothing, labels)).count() == 0
 
 
+def test_training_samples_are_bounded(spark, monkeypatch):
+    """Rows that repeat an id don't grow the sample beyond its bound, and huge texts take no part in training."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train_network", lambda rows: seen.append(rows))
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"word{i} again {k}") for i in (1, 3, 4) for k in range(20)] + [(i, "x" * (toxicity.LONGEST + 1)) for i in (1, 3, 4)] + [(1, None), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.train(docs, labels, most=3)
+    assert len(seen[0]) == 6
+    assert all(len(text) <= toxicity.LONGEST for text, _ in seen[0])
+    monkeypatch.setattr(toxicity, "BYTES", 40)
+    toxicity.train(docs, labels, most=3)
+    assert 0 < sum(len(text) for text, _ in seen[1]) <= 40
+    assert len(quality._sample(quality.sample_of(docs, labels, "quality", F.lit(True), 5), 5)[1]) == 5
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     weights = {k: v.astype(np.float64) for k, v in toxicity.fresh().items()}
