@@ -146,7 +146,7 @@ def odd_texts():
 
 @pytest.mark.parametrize("step", [2_000_000, 300])
 def test_alignment_against_loops(spark, odd_texts, monkeypatch, step):
-    monkeypatch.setattr(token_alignment.steps, "__defaults__", ("text", step))
+    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", step)
     docs = frame(spark, list(enumerate(odd_texts)))
     got = {r.doc_id: r for r in token_alignment.alignment(docs, BYTE, PIECE).collect()}
     want = plain_alignment(odd_texts)
