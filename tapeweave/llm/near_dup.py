@@ -5,11 +5,11 @@ Documents with equal sets of shingles form one class, whose smallest doc_id stan
 a pair within the rarest coordinates - least + 1 pairs of each, so only those are posted, and pairs that one class alone
 has are posted nowhere. Classes that share postings form candidate clusters. Within a cluster, classes are dealt into
 blocks by size band (two sets of the similarity asked for lie in the same band or in neighbours) and hash; blocks of
-bounded weight meet two by two. There collisions are counted by merging posting lists: a class's shortest lists, one more
-than it can do without, are merged; what they hold is looked up in its long lists until it can't reach `least` any more.
-Pairs already connected are skipped, and the others are confirmed on the full sets.
+bounded weight meet two by two. There the classes are posted under their shingles and what they share is counted exactly:
+a class's shortest lists, one more than a link can do without, are merged; only if they hold a class that may be linked,
+the long lists are merged too.
 
-`least` is five standard deviations below the matches expected at the similarity asked for.
+Only the first count is by chance: `least` is five standard deviations below the matches expected at the similarity asked for.
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ class MinHash:
     under: int = 100
     coordinates: int = 64
     seed: int = 99
-    #: Coordinates of the signatures posted within clusters, of two bytes each.
-    skip: int = 256
     #: A shingle is common if more than one class in so many has it, and more than `few` have.
     common: int = 1000
     few: int = 64
@@ -46,13 +44,10 @@ class MinHash:
     weight: int = 200_000
     block: int = 256
 
-    def least_of(self, coordinates: int) -> int:
-        s = self.over / self.under
-        return max(1, math.floor(coordinates * s - 5 * math.sqrt(coordinates * s * (1 - s))))
-
     @property
     def least(self) -> int:
-        return self.least_of(self.coordinates)
+        s = self.over / self.under
+        return max(1, math.floor(self.coordinates * s - 5 * math.sqrt(self.coordinates * s * (1 - s))))
 
     def shingles(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingles of each text, sorted, and how many it has. A text of fewer words is one shingle of all
@@ -220,62 +215,48 @@ class Joined:
 
 
 class Postings:
-    """The members of a meeting under each (coordinate, value) pair of their signatures."""
-
-    def __init__(self, signatures: np.ndarray, least: int) -> None:
-        self.signatures, self.least = signatures, least
-        self.members = np.argsort(signatures.T, axis=1, kind="stable")
-        value = np.take_along_axis(signatures.T, self.members, 1)
-        opens = np.ones(value.shape, bool)
-        opens[:, 1:] = value[:, 1:] != value[:, :-1]
-        closes = np.ones(value.shape, bool)
-        closes[:, :-1] = opens[:, 1:]
-        place = np.arange(value.shape[1])
-        first = np.maximum.accumulate(np.where(opens, place, 0), axis=1)
-        last = np.minimum.accumulate(np.where(closes, place, len(place))[:, ::-1], axis=1)[:, ::-1]
-        self.first, self.length = np.empty_like(first), np.empty_like(first)
-        np.put_along_axis(self.first, self.members, first, 1)
-        np.put_along_axis(self.length, self.members, last - first + 1, 1)
-
-    def meets(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The members after i that agree with it in `least` coordinates or more, and in how many."""
-        coordinates, members = self.members.shape
-        short_first = np.argsort(self.length[:, i], kind="stable")
-        prefix, rest = np.split(short_first, [max(0, coordinates - self.least + 1)])
-        n = self.length[prefix, i]
-        at = np.repeat(self.first[prefix, i] + prefix * members - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        count = np.bincount(self.members.ravel()[at], minlength=members)
-        count[: i + 1] = 0
-        j = np.flatnonzero(count)
-        count, left = count[j], len(rest)
-        for lists in np.array_split(rest, 4):
-            count = count + (self.signatures[np.ix_(j, lists)] == self.signatures[i, lists]).sum(1)
-            left -= len(lists)
-            able = count + left >= self.least
-            j, count = j[able], count[able]
-        return j, count
-
-
-def confirmed(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, minhash: MinHash) -> list[tuple[int, int]]:
+    """The members of a meeting under each shingle that more than one of them has, and exact counts of what they share."""
+
+    def __init__(self, sets: list[np.ndarray], minhash: MinHash) -> None:
+        self.size, self.minhash = np.array([len(s) for s in sets], np.int64), minhash
+        _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.length = held[place]  # of each member's lists, member by member
+        self.begin = (np.cumsum(held) - held)[place]
+        self.members = np.repeat(np.arange(len(sets)), self.size)[np.argsort(place, kind="stable")]
+        self.end = np.cumsum(self.size)
+
+    def merged(self, lists: np.ndarray) -> np.ndarray:
+        """How many of these lists hold each member."""
+        n = self.length[lists]
+        at = np.repeat(self.begin[lists] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.members[at], minlength=len(self.size))
+
+    def linked(self, i: int, fit: np.ndarray) -> np.ndarray:
+        """The members after i, of those that fit, that it is linked with. A link needs so many shared shingles that the
+        lists beyond them hold one; the shortest are merged first, the others if those hold any that may be linked."""
+        m, n = self.minhash, int(self.size[i])
+        own = np.arange(self.end[i] - n, self.end[i])
+        own = own[np.argsort(self.length[own], kind="stable")]
+        prefix = n - -(-n * m.over // m.under) + 1
+        count = self.merged(own[:prefix])
+        low, high = np.minimum(self.size, n), np.maximum(self.size, n)
+        able = (count > 0) & fit & (low * m.under >= high * m.over)
+        able[: i + 1] = False
+        if not able.any():
+            return np.empty(0, np.int64)
+        count += self.merged(own[prefix:])
+        return np.flatnonzero(able & (count * m.under >= (self.size + n - count) * m.over))
+
+
+def confirmed(side: np.ndarray, sets: list[np.ndarray], minhash: MinHash) -> list[tuple[int, int]]:
     """Links that connect what the meeting's links connect. side: 0 or 1 where two blocks meet and only pairs across
     count; all 0 for a block that meets itself."""
-    size = np.array([len(s) for s in sets])
-    joined, out, postings = Joined(len(sets)), [], Postings(signatures, minhash.least_of(signatures.shape[1]))
+    joined, out, postings = Joined(len(sets)), [], Postings(sets, minhash)
     across = bool(side.any())
     for i in range(len(sets) - 1):
-        j, match = postings.meets(i)
-        low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
-        able = low * minhash.under >= high * minhash.over
-        if across:
-            able &= side[j] != side[i]
-        j, match = j[able], match[able]
-        for k in j[np.argsort(-match, kind="stable")].tolist():
-            if joined.root(i) == joined.root(k):
-                continue
-            a, b = (sets[i], sets[k]) if size[i] < size[k] else (sets[k], sets[i])
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            common = int((b[at] == a).sum())
-            if common * minhash.under >= (len(a) + len(b) - common) * minhash.over:
+        fit = side != side[i] if across else np.ones(len(sets), bool)
+        for k in postings.linked(i, fit).tolist():
+            if joined.root(i) != joined.root(k):
                 joined.join(i, k)
                 out.append((i, k))
     return out
@@ -292,30 +273,27 @@ def links(docs: DataFrame, classes: DataFrame, minhash: MinHash) -> DataFrame:
             code, count = minhash.shingles(texts(part["text"]))
             names = np.stack(named(code, count), 1)
             keep = (names == np.stack([np.asarray(part[c]) for c in CLASS], 1)).all(1)  # not of another text under that id
-            rows = iter(minhash.signatures(code, count, minhash.skip).astype(np.uint16))
             end = np.cumsum(count)
-            out = [(code[e - n : e].tobytes(), next(rows).tobytes()) for e, n in zip(end.tolist(), count.tolist())]
+            out = [code[e - n : e].tobytes() for e, n, k in zip(end.tolist(), count.tolist(), keep) if k]
             part = part.drop_columns(["text"]).filter(pa.array(keep))
-            out = [x for x, k in zip(out, keep) if k]
-            yield pa.record_batch([*part.columns, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], [*part.schema.names, "set", "signature"])
+            yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "set"])
 
     texts_of = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    members = texts_of.select("rep", "cluster", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, cluster {kind}, n long, one long, two long, set binary, signature binary")
+    members = texts_of.select("rep", "cluster", *CLASS, "text").mapInArrow(sets_of, f"rep {kind}, cluster {kind}, n long, one long, two long, set binary")
     members = clustered(saved(members.dropDuplicates(["rep"]), "members"), minhash)
-    met = meetings(members.select("rep", "cluster", "n", "set", "signature"), minhash)
-    met = met.select("meeting", "rep", ((F.col("band") != F.col("meeting.band")) | (F.col("block") != F.col("meeting.block"))).alias("side"), "set", "signature")
+    met = meetings(members.select("rep", "cluster", "n", "set"), minhash)
+    met = met.select("meeting", "rep", ((F.col("band") != F.col("meeting.band")) | (F.col("block") != F.col("meeting.block"))).alias("side"), "set")
     met = met.repartition("meeting").sortWithinPartitions("meeting", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["key"]):
             rep = group["rep"].to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(rep), -1)
-            got = confirmed(np.array(group["side"].to_pylist(), int), sets, signatures, minhash)
+            got = confirmed(np.array(group["side"].to_pylist(), int), sets, minhash)
             if got:
                 yield pa.record_batch([pa.array([rep[i] for i, _ in got], group["rep"].type), pa.array([rep[k] for _, k in got], group["rep"].type)], ["a", "b"])
 
-    keyed = met.select(F.to_json("meeting").alias("key"), "rep", "side", "set", "signature")
+    keyed = met.select(F.to_json("meeting").alias("key"), "rep", "side", "set")
     return keyed.mapInArrow(run, f"a {kind}, b {kind}")
 
 

@@ -255,24 +255,28 @@ def test_near_duplicates(spark, rows, nothing, minhash):
 
 
 def test_posting_lists_are_merged_with_prefix_and_skip():
-    rng = np.random.default_rng(3)
-    signatures = rng.integers(0, 6, (90, 40)).astype(np.uint16)
-    signatures[:, :9] = 1  # one value that all have
-    for k in range(0, 90, 3):  # near copies
-        signatures[k + 1] = np.where(rng.random(40) < 0.3, signatures[k + 1], signatures[k])
-    for least in (1, 15, 28, 40):
-        postings = near_dup.Postings(signatures, least)
-        for i in range(90):
-            match = (signatures == signatures[i]).sum(1)
-            want = [j for j in range(i + 1, 90) if match[j] >= least]
-            got, count = postings.meets(i)
-            assert got.tolist() == want and count.tolist() == match[want].tolist()
-
-
-@pytest.mark.parametrize("name", sorted(llm_catalog.oracle_sql()))
+    """Exact counts: every pair at or over the similarity is found, at its very edge too, and no other."""
+    rng = np.random.default_rng(7)
+    sets = [np.arange(120)]
+    for k in range(80):
+        gone = rng.choice(120, rng.integers(0, 20), replace=False)
+        sets.append(np.sort(np.concatenate([np.setdiff1d(np.arange(120), gone), 1000 + rng.choice(60, rng.integers(0, 20), replace=False)])))
+    sets += [np.concatenate([np.arange(102), 5000 + np.arange(n)]) for n in (0, 1, 18, 19)] + [np.arange(9000, 9003)]  # 102 of 120
+    sets = [x.astype(np.uint64) for x in sets]
+    minhash, found = near_dup.MinHash(), 0
+    postings = near_dup.Postings(sets, minhash)
+    for i in range(len(sets)):
+        common = np.array([len(np.intersect1d(sets[i], x)) for x in sets])
+        want = [k for k in range(i + 1, len(sets)) if common[k] * 100 >= (len(sets[i]) + len(sets[k]) - common[k]) * 85]
+        assert postings.linked(i, np.ones(len(sets), bool)).tolist() == want
+        found += len(want)
+    assert 100 < found < len(sets) ** 2 // 3 and len(postings.linked(0, np.zeros(len(sets), bool))) == 0
+
+
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for view in ("documents", "embeddings"):
+        con.sql(f"create view {view} as select * from '{SF}/{view}.parquet'")
     got = llm_catalog.queries()[name](spark, SF)
     want = con.sql(f"select {', '.join(got.columns)} from ({llm_catalog.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
