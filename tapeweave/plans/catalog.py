@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
 from tapeweave.operators import sequence, splits, statistics, tape
-from tapeweave.plans import ledger  # noqa: F401  (registers its queries)
-from tapeweave.plans.registry import QUERIES, SQL, query
+from tapeweave.plans import ledger, streams  # noqa: F401  (register their queries)
+from tapeweave.plans.registry import QUERIES, SQL, checkpoints, query
 from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,17 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """The checkpoint folder that the session names. Without one: a temporary one in local mode, as in tests; on a cluster
-    there is none that all executors share, which is an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeweave-"))
-
-
 LINES = """lines as (select l_partkey as mint, cast(epoch(l_shipdate) as bigint) as ts, l_orderkey * 8 + l_linenumber as seq, l_suppkey as trader,
   case when l_returnflag = 'R' then 'sell' else 'buy' end as side, l_quantity as tokens, l_extendedprice as sol, l_extendedprice / l_quantity as price from lineitem)"""
 TICKS = """ticks as (select event_type as mint, cast(floor(epoch(ts)) as bigint) as ts, event_id as seq, user_id as trader,
@@ -234,7 +222,7 @@ def hub_ubiquity(spark, sf_dir):
 
 @query()
 def components(spark, sf_dir):
-    with_checkpoints(spark)
+    checkpoints(spark)
     return sequence.components(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1).alias("b")))
 
 
@@ -244,7 +232,7 @@ QUERIES["components_all"] = components
 @query()
 def hub_components(spark, sf_dir):
     """size and count of components of parts that share two orders or more, orders of over 200 parts left out."""
-    with_checkpoints(spark)
+    checkpoints(spark)
     edges = sequence.co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 200).where("shared >= 2")
     return sequence.components(edges.select("a", "b")).groupBy("component").agg(F.count("*").alias("size"))
 
@@ -332,7 +320,7 @@ def bootstrap_groups(spark, sf_dir):
 
 @query()
 def null_model(spark, sf_dir):
-    with_checkpoints(spark)
+    checkpoints(spark)
     events = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("wallet"), F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("sig"), F.col("l_extendedprice").alias("amount"), epoch("l_shipdate").alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
     )

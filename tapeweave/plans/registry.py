@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,15 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Without one: a temporary one in local mode, as in tests; on a cluster
+    there is none that all executors share, which is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeweave-"))
+    return named or context.getCheckpointDir()

@@ -129,7 +129,7 @@ def test_statistics(spark):
 
 
 def test_null_model_against_loops(spark):
-    catalog.with_checkpoints(spark)
+    catalog.checkpoints(spark)
     rng, rows = random.Random(9), []
     for k in range(160):
         rows.append((rng.randrange(50), rng.randrange(400), rng.randrange(1500), 100 * (1 + rng.randrange(30) * 1e-5) + rng.randrange(8), rng.randrange(9000), k))
