@@ -90,40 +90,6 @@ def mantel_haenszel_chi_square() -> Column:
     return F.pow(F.abs(gap) - 0.5, F.lit(2)) / spread
 
 
-def congruential(seed: int, skip: int, count: int) -> np.ndarray:
-    """Draws skip + 1 to skip + count of s <- (1103515245 s + 12345) mod 2**31."""
-    a, c, m = 1103515245, 12345, 1 << 31
-    step_a, step_c, n = a, c, skip
-    while n:
-        if n & 1:
-            seed = (step_a * seed + step_c) % m
-        step_a, step_c, n = step_a * step_a % m, (step_a * step_c + step_c) % m, n >> 1
-    out = np.empty(count, np.int64)
-    for k in range(count):
-        seed = (a * seed + c) % m
-        out[k] = seed
-    return out
-
-
-def bootstrap_mean_of_groups(groups: DataFrame, seed: int = 999, replicates: int = 2000) -> DataFrame:
-    """estimate, low and high (95 %) of the mean of group means, drawing groups with replacement; replicates are spread
-    over tasks, each jumping to its place in the sequence of draws. groups: id and mean, a bounded table of groups; one or two have no
-    interval."""
-    spark = groups.sparkSession
-    values = np.array([r.mean for r in groups.orderBy("id").collect()], float)
-    n = len(values)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"estimate": [float(values[congruential(seed, int(r) * n, n) % n].mean()) for r in p["id"]]})
-
-    if n < 3:
-        return spark.createDataFrame([(float(values.mean()), None, None)] if n else [], "estimate double, low double, high double")
-    drawn = spark.range(replicates).mapInPandas(run, "estimate double").agg(F.sort_array(F.collect_list("estimate")).alias("e"))
-    at = [int(q * (replicates - 1)) for q in (0.025, 0.975)]
-    return drawn.select(F.lit(float(values.mean())).alias("estimate"), F.get("e", F.lit(at[0])).alias("low"), F.get("e", F.lit(at[1])).alias("high"))
-
-
 def drawn_groups(wallets: DataFrame, sizes: tuple[int, ...], draws: int, seed: int) -> DataFrame:
     """wallet and round (the size's place times draws, plus the draw) of seeded draws without replacement; sizes beyond
     the number of wallets are left out. Draws are of places in the sorted wallets, joined to them by place."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
-from tapeweave.operators import sequence, splits, statistics, tape
+from tapeweave.operators import order, resample, sequence, splits, statistics, tape
 from tapeweave.plans import ledger, streams  # noqa: F401  (register their queries)
 from tapeweave.plans.registry import QUERIES, SQL, checkpoints, query
 from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
@@ -28,6 +28,17 @@ TICKS = """ticks as (select event_type as mint, cast(floor(epoch(ts)) as bigint)
 DAY = 86_400
 
 
+def lcg_sql(seed: int, rows: str, estimate: str, point: str, replicates: int = 2000) -> str:
+    """The interval of an estimate over congruential draws of rows (id, v): a draw's state after t steps is the fold of the
+    steps' maps for the bits of t."""
+    return f"""with recursive p as (select row_number() over (order by id) - 1 as place, v from {rows}), n as (select count(*) as n from p),
+w as (select 0 as b, 1103515245::bigint as a, 12345::bigint as c union all select b + 1, a * a % 2147483648, (a * c + c) % 2147483648 from w where b < 39),
+d as (select 0 as b, t, {seed}::bigint as s from (select unnest(range(1, {replicates} * n + 1)) as t from n) union all
+  select d.b + 1, t, case when (t >> d.b) & 1 = 1 then (w.a * s + w.c) % 2147483648 else s end from d join w on w.b = d.b),
+e as (select (t - 1) // n as r, {estimate}(v) as e from d, n, p where d.b = 40 and p.place = s % n group by 1), o as (select e, row_number() over (order by e) - 1 as k from e)
+select (select {point}(v) from p) as estimate, (select e from o where k = {int(0.025 * (replicates - 1))}) as low, (select e from o where k = {int(0.975 * (replicates - 1))}) as high"""
+
+
 @query(f"with {LINES} select mint, count(*) as trades, count(distinct trader) as traders, min(ts) as first_ts, max(ts) as last_ts, max(ts) - min(ts) as span from lines group by mint")
 def corpus_census(spark, sf_dir):
     t = tape.clean(line_tape(spark, sf_dir))
@@ -50,9 +61,9 @@ def robust_price(spark, sf_dir):
 select event_type, s[cast(round_even(0.1 * (len(s) - 1), 0) as int) + 1] as q10, s[cast(round_even(0.9 * (len(s) - 1), 0) as int) + 1] as q90,
   s[cast(floor(0.75 * (len(s) - 1)) as int) + 1] as floor75, s[cast(floor(len(s) / 2) as int) + 1] as upper_median from v""")
 def quantile_conventions(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("s"))
-    s = F.col("s")
-    return v.select("event_type", C.nearest_rank(s, 0.1).alias("q10"), C.nearest_rank(s, 0.9).alias("q90"), C.floor_rank(s, 0.75).alias("floor75"), C.upper_median(s).alias("upper_median"))
+    checkpoints(spark)
+    places = {"q10": order.nearest(0.1), "q90": order.nearest(0.9), "floor75": order.floor_of(0.75), "upper_median": F.floor(F.col("total") / 2)}
+    return order.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", places).drop("total")
 
 
 @query("""with b as (select cast(floor(o_totalprice / 50000) as bigint) as band, count(*) as n, count(*) filter (where o_orderstatus = 'F') as hits from orders group by 1 having count(*) >= 5),
@@ -81,7 +92,8 @@ def user_sessions(spark, sf_dir):
 @query(f"""with {TICKS}, r as (select trader, ts, row_number() over (partition by trader order by ts) as i, count(*) over (partition by trader) as n from ticks),
 k as (select *, greatest(1, cast(floor(n * 0.9) as bigint)) as k from r) select a.trader, min(b.ts - a.ts) as span from k a join k b on a.trader = b.trader and b.i = a.i + a.k - 1 group by 1""")
 def shortest_window_90(spark, sf_dir):
-    return event_tape(spark, sf_dir).groupBy("trader").agg(sequence.shortest_window(F.collect_list("ts"), 0.9).alias("span"))
+    checkpoints(spark)
+    return order.shortest_windows(event_tape(spark, sf_dir), "trader", "ts", 0.9)
 
 
 def fx(spark, sf_dir):
@@ -312,10 +324,29 @@ def exact_tests(spark, sf_dir):
     return statistics.exact_tests(t.crossJoin(F.broadcast(total)).select("key", "a", "b", (F.col("ta") - F.col("a")).alias("c"), (F.col("tb") - F.col("b")).alias("d")))  # one row
 
 
-@query()
+@query(lcg_sql(999, "(select date_trunc('day', ts) as id, avg(value) as v from events where value is not null group by 1)", "avg", "avg"))
 def bootstrap_groups(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("id")).agg(F.avg("value").alias("mean")).where("mean is not null")
-    return statistics.bootstrap_mean_of_groups(g)
+    checkpoints(spark)
+    g = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("id")).agg(F.avg("value").alias("mean"))
+    return resample.group_interval(g)
+
+
+@query(lcg_sql(12345, "(select s_suppkey as id, s_acctbal as v from supplier where s_acctbal is not null)", "median", "median"))
+def bootstrap_median(spark, sf_dir):
+    checkpoints(spark)
+    return resample.median_interval(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal")
+
+
+@query()
+def bootstrap_median_mersenne(spark, sf_dir):
+    checkpoints(spark)
+    return resample.median_interval(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", replicates=4000, mersenne=True)
+
+
+@query()
+def bootstrap_pooled(spark, sf_dir):
+    checkpoints(spark)
+    return resample.pooled_interval(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "day", "value")
 
 
 @query()
@@ -380,30 +411,32 @@ def set_operations(spark, sf_dir):
 @query("""with r as (select o_orderpriority as g, o_totalprice as v, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as r, count(*) over (partition by o_orderpriority) as n from orders)
 select g, cast(least(9, (r - 1) // greatest(1, n // 10)) as bigint) as decile, count(*) as n, min(v) as low, max(v) as high from r group by 1, 2""")
 def deciles(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority")
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count("*").over(w).alias("n"))
-    decile = F.least(F.lit(9), F.floor((F.col("r") - 1) / F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).cast("bigint")
-    return r.groupBy("g", decile.alias("decile")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    checkpoints(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.struct(F.col("o_totalprice").alias("v"), "o_orderkey").alias("row"))
+    r = order.value_ranks(rows, ["g"], "row").select("g", "row.v", "n", "start", "total")
+    decile = F.least(F.lit(9), F.floor(F.col("start") / F.greatest(F.lit(1), F.floor(F.col("total") / 10)))).cast("bigint")
+    return r.groupBy("g", decile.alias("decile")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 @query("""with x as (select o_orderkey, o_totalprice as v, o_orderdate as d from orders) select case when grouping(month) = 0 then 'month' when grouping(quarter) = 0 then 'quarter' else 'all' end as level,
   coalesce(month, quarter) as period, count(*) as n, median(v) as median_value, max(v) as high from (select v, strftime(d, '%Y-%m') as month, year(d) || '-Q' || quarter(d) as quarter from x) group by grouping sets ((month), (quarter), ())""")
 def period_tables(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate")).alias("quarter"))
-    level = F.when(F.grouping("month") == 0, "month").when(F.grouping("quarter") == 0, "quarter").otherwise("all")
-    sets = o.groupingSets([["month"], ["quarter"], []], "month", "quarter")
-    return sets.agg(level.alias("level"), F.count("*").alias("n"), F.median("v").alias("median_value"), F.max("v").alias("high")).select("level", F.coalesce("month", "quarter").alias("period"), "n", "median_value", "high")
+    checkpoints(spark)
+    levels = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), period.alias("period")) for level, period in (
+        ("month", F.date_format("o_orderdate", "yyyy-MM")), ("quarter", F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate"))), ("all", F.lit(None).cast("string"))))))
+    o = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"), levels.alias("x")).select("v", "x.level", "x.period")
+    places = {**order.middle(), "most": F.col("total") - 1}
+    return order.order_statistics(o, ["level", "period"], "v", places).select("level", "period", F.col("total").alias("n"), ((F.col("low") + F.col("high")) / 2).alias("median_value"), F.col("most").alias("high"))
 
 
 @query("""with s as (select l_partkey as mint, list_sort(list(l_quantity)) as q, count(*) as n from lineitem group by 1 having count(*) >= 4)
 select mint, q[cast(floor(0.25 * (n + 1)) as int)] + (0.25 * (n + 1) - floor(0.25 * (n + 1)))::double * (q[cast(floor(0.25 * (n + 1)) as int) + 1] - q[cast(floor(0.25 * (n + 1)) as int)]) as q1,
   q[least(n, cast(round_even(n * 0.9, 0) as int) + 1)] as at90, q[n // 4 + 1] as quarter_slice from s""")
 def exclusive_quartiles(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("mint")).agg(F.collect_list("l_quantity").alias("q"), F.count("*").alias("n")).where("n >= 4")
-    q = F.col("q")
-    return s.select("mint", C.exclusive_quantile(q, 0.25).alias("q1"), C.count_rank(q, 0.9).alias("at90"), C.slice_rank(q, 4).alias("quarter_slice"))
+    checkpoints(spark)
+    lines, total = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("mint"), "l_quantity"), F.col("total")
+    more = {"at90": F.least(total - 1, F.bround(F.lit(0.9) * total, 0).cast("long")), "quarter_slice": F.floor(total / 4)}
+    return order.exclusive(lines, ["mint"], "l_quantity", 0.25, more).where("total >= 4").select("mint", F.col("quantile").alias("q1"), *more)
 
 
 @query("""with g as (select l_orderkey as g, l_suppkey as i from lineitem group by 1, 2), t as (select count(distinct g) as total from g), n as (select i, count(*) as n from g group by 1), f as (select g from g group by 1 having count(*) between 2 and 200),
@@ -444,13 +477,17 @@ h as (select mint, arg_max(price, (age, price)) filter (where age <= 90) as h90,
 select horizon, count(p) as n, median(p) as seen, median(coalesce(p, 0)) as all_mints, median(p) filter (where whole) as matched from (select mint, unnest(['h90', 'h365', 'later']) as horizon, unnest([h90, h365, later]) as p,
   h90 is not null and h365 is not null and later is not null as whole from h) group by 1""")
 def horizon_panels(spark, sf_dir):
+    checkpoints(spark)
     lines = tape.clean(line_tape(spark, sf_dir))
     x = lines.join(lines.groupBy("mint").agg(F.min("ts").alias("born")), "mint").select("mint", ((F.col("ts") - F.col("born")) / 86400).alias("age"), "price")
     last = lambda test: F.max_by(F.when(test, F.col("price")), F.when(test, F.struct("age", "price")))
     age = F.col("age")
     h = x.groupBy("mint").agg(last(age <= 90).alias("h90"), last((age <= 365) & (age > 90)).alias("h365"), last(age > 365).alias("later"))
     long = h.withColumn("whole", F.expr("h90 is not null and h365 is not null and later is not null")).unpivot(["mint", "whole"], ["h90", "h365", "later"], "horizon", "p")
-    return long.groupBy("horizon").agg(F.count("p").alias("n"), F.median("p").alias("seen"), F.median(F.coalesce("p", F.lit(0.0))).alias("all_mints"), F.median(F.when(F.col("whole"), F.col("p"))).alias("matched"))
+    kinds = long.unpivot(["horizon"], [F.col("p").alias("seen"), F.coalesce("p", F.lit(0.0)).alias("all_mints"), F.when(F.col("whole"), F.col("p")).alias("matched")], "kind", "v")
+    medians = order.medians(kinds, ["horizon", "kind"], "v")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(kind)
+    return medians.groupBy("horizon").agg(of("seen", "total").alias("n"), *(of(kind, "median") for kind in ("seen", "all_mints", "matched")))
 
 
 @query("""with x as (select user_id, event_id, event_type, ts from events), b as (select user_id, min(ts) filter (where event_type = 'click') as t0 from x group by 1)

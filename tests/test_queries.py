@@ -119,7 +119,6 @@ def test_statistics(spark):
     assert one == pytest.approx(17 / 70) and two == pytest.approx(34 / 70)
     assert statistics.hypergeometric_tail(1, 2, 4, 2) == pytest.approx(5 / 6)
     assert statistics.clopper_pearson(0, 10)[1] == pytest.approx(1 - 0.025 ** 0.1, rel=1e-6)
-    assert statistics.congruential(12345, 1000, 3).tolist() == statistics.congruential(12345, 0, 1003)[1000:].tolist()
     values = spark.createDataFrame([([4.0, 3.0, 2.0, 1.0],), ([5.0, None, 1.0, None],)], "v array<double>")
     assert [r[0] for r in values.select(columns.nearest_rank(F.col("v"), 0.0)).collect()] == [1, 1]
     few = spark.createDataFrame([([4.0, 3.0, None, 2.0, 1.0],)], "v array<double>").select(columns.exclusive_quantile(F.col("v"), 0.25), columns.count_rank(F.col("v"), 1.0), columns.slice_rank(F.col("v"), 4)).first()
