@@ -25,6 +25,20 @@ def parties(deltas: DataFrame) -> DataFrame:
     )
 
 
+def wallet_view(transactions: DataFrame, unit: float) -> DataFrame:
+    """tx, the subject's own delta, and the other party: the sender (the account with the lowest delta, ties to the earlier
+    place) where the subject gained, the recipient (the highest) where it lost. transactions: tx, subject, err and arrays
+    keys, pre and post that belong together by position. Failed ones, and those without the subject, are left out."""
+    mine = (F.array_position("keys", F.col("subject")) - 1).cast("int")
+    delta = lambda a: (a["post"] - a["pre"]) / unit
+    rows = transactions.where(F.col("err").isNull() & F.array_contains("keys", F.col("subject"))).select("tx", mine.alias("mine"), F.arrays_zip("keys", "pre", "post").alias("a"))
+    other = F.filter(F.transform("a", lambda a, i: F.struct(delta(a).alias("delta"), i.alias("at"), (-i).alias("back"), a["keys"].alias("key"))), lambda x: x["at"] != F.col("mine"))
+    seen = rows.select("tx", delta(F.get("a", F.col("mine"))).alias("delta"), other.alias("other"))
+    low = F.array_min(F.transform("other", lambda x: F.struct(x["delta"], x["at"], x["key"].alias("key"))))["key"]
+    high = F.array_max(F.transform("other", lambda x: F.struct(x["delta"], x["back"], x["key"].alias("key"))))["key"]
+    return seen.select("tx", "delta", F.when(F.col("delta") > 0, low).alias("sender"), F.when(F.col("delta") < 0, high).alias("recipient"))
+
+
 def token_deltas(pre: DataFrame, post: DataFrame, how: str) -> DataFrame:
     """tx, idx, owner and delta of token balances before and after. how: left keeps accounts that have a balance after;
     full also those that were emptied. A missing balance is 0."""
@@ -59,17 +73,22 @@ def shared(events: DataFrame, label: str, key: str, least: int) -> DataFrame:
     return keys.groupBy(label).agg(F.count_if(F.col("n") >= least).alias("shared")).withColumn("fires", F.col("shared") > 0)
 
 
-def trace(roots: DataFrame, payments: DataFrame, levels: int, most: int) -> DataFrame:
+def trace(roots: DataFrame, payments: DataFrame, levels: int, most: int, known: DataFrame | None = None) -> DataFrame:
     """root, node and level: payers of payers of each root, up to so many levels, over the `most` largest payers of each
-    payee (ties to smaller payers). payments: payer, payee, units."""
+    payee (ties to smaller payers). payments: payer, payee, units. known: nodes (node) whose payers aren't followed.
+
+    A level goes on from nodes that no earlier one has seen; each is checkpointed."""
     sums = payments.where("payer <> payee").groupBy("payer", "payee").agg(F.sum("units").alias("units"))
     rank = F.row_number().over(Window.partitionBy("payee").orderBy(F.desc("units"), "payer"))
-    top = sums.withColumn("rank", rank).where(F.col("rank") <= most).select("payee", "payer")
-    at = [roots.select("root", F.col("root").alias("node"))]
-    for _ in range(levels):
-        at.append(at[-1].join(top, F.col("node") == F.col("payee")).select("root", F.col("payer").alias("node")).distinct())
-    rows = reduce(DataFrame.union, (x.withColumn("level", F.lit(k)) for k, x in enumerate(at)))
-    return rows.groupBy("root", "node").agg(F.min("level").alias("level"))
+    top = sums.withColumn("rank", rank).where(F.col("rank") <= most).select("payee", "payer").checkpoint()
+    at = roots.select("root", F.col("root").alias("node")).distinct().withColumn("level", F.lit(0)).checkpoint()
+    seen = at
+    for k in range(1, levels + 1):
+        from_ = at if known is None else at.join(known.select("node").distinct(), "node", "left_anti")
+        paid = from_.join(top, F.col("node") == F.col("payee")).select("root", F.col("payer").alias("node")).distinct()
+        at = paid.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(k)).checkpoint()
+        seen = seen.unionByName(at)
+    return seen
 
 
 def reconciled(a: DataFrame, b: DataFrame, key: str, tolerance: float) -> DataFrame:

@@ -14,18 +14,21 @@ from tapeweave.operators.sequence import as_of
 def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n (its rows), start (the rank of the first of them within its group, from 0) and total (the group's rows).
     Nulls have no rank: n is 0 and start is that of the least value."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("n", F.when(F.col(value).isNotNull(), F.col("n")).otherwise(0))
-    ranged = counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()).checkpoint()
-    held = ranged.groupBy("part", *by).agg(F.sum("n").alias("held"))  # a row for each range and group in it
-    of_group = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("held").over(of_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = held.select(F.col("part").alias("of_part"), *(F.col(c).alias(f"of_{c}") for c in by), before.alias("before"), F.sum("held").over(of_group).alias("total"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    here = ranged.withColumn("inside", inside)
-    same = here["part"] == ends["of_part"]
-    for c in by:
-        same &= here[c].eqNullSafe(ends[f"of_{c}"])
-    return here.join(ends, same).select(*by, value, "n", (F.col("before") + F.col("inside")).alias("start"), "total")
+    keys = [f"_by{k}" for k in range(len(by))]  # whatever the columns are called
+    named = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).alias("_v"))
+    counts = named.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_n", F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
+    ranged = counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()).checkpoint()
+    held = ranged.groupBy("_part", *keys).agg(F.sum("_n").alias("_held"))  # a row for each range and group in it
+    of_group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_held").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = held.select(F.col("_part").alias("_of"), *(F.col(k).alias(f"_of{k}") for k in keys), before.alias("_before"), F.sum("_held").over(of_group).alias("_total"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = ranged.withColumn("_inside", inside)
+    same = here["_part"] == ends["_of"]
+    for k in keys:
+        same &= here[k].eqNullSafe(ends[f"_of{k}"])
+    shown = [F.col(k).alias(c) for c, k in zip(by, keys)]
+    return here.join(ends, same).select(*shown, F.col("_v").alias(value), F.col("_n").alias("n"), (F.col("_before") + F.col("_inside")).alias("start"), F.col("_total").alias("total"))
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:

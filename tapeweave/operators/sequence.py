@@ -67,15 +67,22 @@ def jaccard(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
     return joined.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 
 
-def lift(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
-    """Pairs of items with the groups they share, the number expected of independent items, and their ratio."""
+def independent(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """Pairs of items with shared, n_a, n_b (groups of either) and total, all over the groups that co_occurrence counts: those
+    of up to `most` items."""
     distinct = members.select(group, item).distinct()
-    total = distinct.agg(F.countDistinct(group).alias("total"))
-    sizes = distinct.groupBy(item).agg(F.count("*").alias("n"))
+    hubs = distinct.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > most).select(group)
+    kept = distinct.join(hubs, group, "left_anti")
+    total = kept.agg(F.countDistinct(group).alias("total"))
+    sizes = kept.groupBy(item).agg(F.count("*").alias("n"))
     a, b = (sizes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    joined = co_occurrence(members, group, item, most).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))  # one row
+    return co_occurrence(members, group, item, most).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))  # one row
+
+
+def lift(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """Pairs of items with the groups they share, the number expected of independent items, and their ratio."""
     expected = F.col("n_a") * F.col("n_b") / F.col("total")
-    return joined.select("a", "b", "shared", expected.alias("expected"), (F.col("shared") / expected).alias("lift"))
+    return independent(members, group, item, most).select("a", "b", "shared", expected.alias("expected"), (F.col("shared") / expected).alias("lift"))
 
 
 def components(edges: DataFrame) -> DataFrame:

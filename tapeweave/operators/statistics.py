@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.operators.sequence import co_occurrence
+from tapeweave.functions.special import hypergeometric_tail as hypergeometric_tail_of
+from tapeweave.operators.sequence import independent
 
 
 def log_choose(n: int, k: int) -> float:
@@ -65,19 +66,8 @@ def exact_tests(tables: DataFrame) -> DataFrame:
 
 def pair_significance(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
     """Pairs of items, the groups they share, and the chance p that independent items share as many or more."""
-    distinct = members.select(group, item).distinct()
-    total = distinct.agg(F.countDistinct(group).alias("total"))
-    sizes = distinct.groupBy(item).agg(F.count("*").alias("n"))
-    a, b = (sizes.select(F.col(item).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = co_occurrence(members, group, item, most).join(a, "a").join(b, "b").crossJoin(F.broadcast(total))  # one row
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            x["p"] = [hypergeometric_tail(s, n, t, m) for s, n, t, m in zip(x["shared"], x["n_a"], x["total"], x["n_b"])]
-            yield x[["a", "b", "shared", "p"]]
-
-    return pairs.mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, shared long, p double")
+    p = hypergeometric_tail_of(F.col("shared"), F.col("n_a"), F.col("total"), F.col("n_b"))
+    return independent(members, group, item, most).select("a", "b", "shared", p.alias("p"))
 
 
 def mantel_haenszel_chi_square() -> Column:
@@ -85,9 +75,9 @@ def mantel_haenszel_chi_square() -> Column:
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     n = a + b + c + d
     some = n > 1
-    gap = F.sum(F.when(some, a - (a + b) * (a + c) / n))
-    spread = F.sum(F.when(some, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))))
-    return F.pow(F.abs(gap) - 0.5, F.lit(2)) / spread
+    gap = F.sum(F.when(some, a - F.try_divide((a + b) * (a + c), n)))
+    spread = F.sum(F.when(some, F.try_divide((a + b) * (c + d) * (a + c) * (b + d), n * n * (n - 1))))
+    return F.try_divide(F.pow(F.abs(gap) - 0.5, F.lit(2)), spread)
 
 
 def drawn_groups(wallets: DataFrame, sizes: tuple[int, ...], draws: int, seed: int) -> DataFrame:

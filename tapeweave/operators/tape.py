@@ -65,16 +65,25 @@ def market_mark(probes: DataFrame, ticks: DataFrame, widths: tuple[int, ...] = (
     return probes.join(medians, ["mint", "t"], "left").select("mint", "t", F.coalesce(*(F.col(f"m{w}") for w in widths)).alias("mark"))
 
 
-def entry_gate(probes: DataFrame, ticks: DataFrame, position: float, width: int, widths: tuple[int, ...], least: float) -> DataFrame:
-    """mint, t, the first of the ordered reasons against an entry (or ok), and the price of an entry: the higher of mark
-    and ask. An exit needs `width` after it, and a minute besides."""
+def entry_gate(probes: DataFrame, ticks: DataFrame, position: float, width: int, large: float, depth_least: float, margin: int) -> DataFrame:
+    """mint, t, the first of the ordered reasons against an entry (or ok), the price of an entry (the higher of price and
+    ask), safe (the last time of an exit) and timeout (the time of the last bucket's exit).
+
+    Price and volume are the median price and the sum of swaps of `large` or more in the bucket of `width` from t. Asks are
+    sales of `depth_least` or more in it; a thin one takes the worst price, only none at all is a reason. safe is `margin`
+    before the mint's last tick, and an entry needs a minute before it."""
     ended = ticks.groupBy("mint").agg(F.max("ts").alias("ended"))
-    volume = in_window(probes, ticks, width, closed=False).groupBy("mint", "t").agg(F.sum("sol").alias("volume"))
-    ask = depth(probes, ticks.where("side = 'buy' and price is not null"), "ask", position, width).select("mint", "t", F.col("price").alias("ask_price"), F.col("status").alias("ask"))
-    x = probes.join(ended, "mint").join(market_mark(probes, ticks, widths), ["mint", "t"]).join(volume, ["mint", "t"], "left").join(ask, ["mint", "t"])
-    reason = F.when(F.col("t") >= F.col("ended") - width // 2, "after_end").when(F.col("mark").isNull(), "no_price").when(F.coalesce("volume", F.lit(0.0)) < least, "thin_volume")
-    reason = reason.when(F.col("ask") != "ok", "no_ask").when(F.col("ended") - width < F.col("t") + 60, "no_room").otherwise("ok")
-    return x.select("mint", "t", reason.alias("gate"), F.when(reason == "ok", F.greatest("mark", "ask_price")).alias("entry"))
+    near = in_window(probes, ticks.where(F.col("sol") >= large), width, closed=False).groupBy("mint", "t").agg(F.median("price").alias("price"), F.sum("sol").alias("volume"))
+    asks = ticks.where((F.col("side") == "sell") & (F.col("sol") >= depth_least) & F.col("price").isNotNull())
+    ask = depth(probes, asks, "ask", position, width).select("mint", "t", F.col("price").alias("ask"))
+    x = probes.join(ended, "mint").join(near, ["mint", "t"], "left").join(ask, ["mint", "t"])
+    safe = F.col("ended") - margin
+    reason = F.when(F.col("t") >= F.col("ended"), "after_end").when(F.col("price").isNull(), "no_price").when(F.col("volume") < position, "thin_volume")
+    reason = reason.when(F.col("ask").isNull(), "no_ask").when(safe < F.col("t") + 60, "no_room").otherwise("ok")
+    buckets = F.greatest(F.lit(1), F.floor((safe - F.col("t")) / width))
+    entry = lambda c: F.when(F.col("gate") == "ok", c)
+    out = x.select("mint", "t", reason.alias("gate"), F.greatest("price", "ask").alias("entry"), safe.alias("safe"), F.least(F.col("t") + width * buckets, safe).alias("timeout"))
+    return out.select("mint", "t", "gate", *(entry(F.col(c)).alias(c) for c in ("entry", "safe", "timeout")))
 
 
 def trailing_stop(path: DataFrame, drop: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
 from tapeweave.operators import order, resample, sequence, splits, statistics, tape
-from tapeweave.plans import ledger, streams  # noqa: F401  (register their queries)
+from tapeweave.plans import evidence, ledger, streams  # noqa: F401  (register their queries)
 from tapeweave.plans.registry import QUERIES, SQL, checkpoints, query
 from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
 
@@ -162,13 +162,17 @@ def sql_of(name: str) -> str:
     return f"({SQL[name]})"
 
 
-@query(f"""with {TICKS}, {PROBES}, last as (select mint, max(ts) as ended from ticks group by 1), g as (select p.mint, p.t, m.mark, coalesce(v.volume, 0) as volume, a.status as ask, a.price as ask_price, ended from probes p join last on last.mint = p.mint
-  left join {sql_of("market_mark")} m on m.mint = p.mint and m.t = p.t left join {sql_of("interval_volume")} v on v.mint = p.mint and v.t = p.t left join {sql_of("depth_ask")} a on a.mint = p.mint and a.t = p.t)
-select mint, t, case when t >= ended - 3600 then 'after_end' when mark is null then 'no_price' when volume < 40 then 'thin_volume' when ask <> 'ok' then 'no_ask' when ended - 7200 < t + 60 then 'no_room' else 'ok' end as gate,
-  case when t < ended - 7260 and mark is not null and volume >= 40 and ask = 'ok' then greatest(mark, ask_price) end as entry from g""")
+@query(f"""with {TICKS}, {PROBES}, last as (select mint, max(ts) as ended from ticks group by 1),
+n as (select p.mint, p.t, median(price) as price, sum(sol) as volume from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 where k.sol >= 4 group by 1, 2),
+k as (select p.mint, p.t, k.price, row_number() over w as step, sum(sol) over w as total from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200
+  where side = 'sell' and sol >= 2 and price is not null window w as (partition by p.mint, p.t order by k.price, k.ts, k.seq rows unbounded preceding)),
+a as (select mint, t, coalesce(arg_min(price, step) filter (where total >= 6), arg_max(price, step)) as ask from k group by 1, 2),
+g as (select p.mint, p.t, ended - 7200 as safe, price, ask, case when p.t >= ended then 'after_end' when price is null then 'no_price' when volume < 6 then 'thin_volume' when ask is null then 'no_ask' when ended - 7200 < p.t + 60 then 'no_room' else 'ok' end as gate
+  from probes p join last on last.mint = p.mint left join n on n.mint = p.mint and n.t = p.t left join a on a.mint = p.mint and a.t = p.t)
+select mint, t, gate, case when gate = 'ok' then greatest(price, ask) end as entry, case when gate = 'ok' then safe end as safe,
+  case when gate = 'ok' then least(t + 7200 * greatest(1, (safe - t) // 7200), safe) end as timeout from g""")
 def entry_gate(spark, sf_dir):
-    ticks, at = event_tape(spark, sf_dir), probes(spark, sf_dir)
-    return tape.entry_gate(at, ticks, 6, 7200, (600, 1800, 7200), 40)
+    return tape.entry_gate(probes(spark, sf_dir), event_tape(spark, sf_dir), 6, 7200, 4, 2, 7200)
 
 
 @query(f"""with {TICKS}, {PROBES}, n as (select p.mint, p.t, median(price) filter (where k.ts < p.t + 600) as a, median(price) filter (where k.ts < p.t + 1800) as b, median(price) as c

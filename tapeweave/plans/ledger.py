@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
 from tapeweave.operators import ledger, sequence, statistics
-from tapeweave.plans.registry import SQL, query
+from tapeweave.plans.registry import SQL, checkpoints, query
 from tapeweave.sources.tapes import epoch, table
 
 ACCOUNTS = """accounts as (select l_orderkey as tx, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, cast(l_quantity * 1000 as bigint), cast(round(l_extendedprice) as bigint), l_returnflag = 'R') - 1 as pos, l_suppkey as key,
@@ -164,6 +164,7 @@ l0 as (select distinct o_custkey as root, o_custkey as node from orders where o_
 l3 as (select distinct root, payer as node from l2 join top on payee = node), a as (select *, 0 as level from l0 union all select *, 1 from l1 union all select *, 2 from l2 union all select *, 3 from l3) select root, node, min(level) as level from a group by 1, 2""")
 def funding_trace(spark, sf_dir):
     """The payers of payers, three levels up, from wallets with a large payment."""
+    checkpoints(spark)
     roots = table(spark, sf_dir, "orders").where("o_totalprice >= 400000").select(F.col("o_custkey").alias("root")).distinct()
     return ledger.trace(roots, payments(spark, sf_dir), levels=3, most=3)
 
