@@ -23,10 +23,10 @@ def rocks_db(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def closing(rows: DataFrame, late: str, last: dict[str, Column] | None = None) -> DataFrame:
-    """One row later than all others by more than the lateness allowed, so that all are passed; its other columns are null
+def closing(rows: DataFrame, late: str, last: dict[str, Column] | None = None, beyond: str = "1 day") -> DataFrame:
+    """One row later than all others by more than the lateness allowed and `beyond`, so that all are passed; its other columns are null
     but for aggregates of the rows given as `last`: a stream whose plan filters nulls needs values there."""
-    after = (F.max("time") + F.expr(f"interval {late}") + F.expr("interval 1 day")).alias("time")
+    after = (F.max("time") + F.expr(f"interval {late}") + F.expr(f"interval {beyond}")).alias("time")
     found = rows.agg(after, *((last or {}).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "time"))
     return found.where("time is not null").select(*rows.columns)
 
@@ -44,13 +44,14 @@ def run(spark: SparkSession, schema, build: Callable[[DataFrame], DataFrame], fo
         writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def replayed(rows: DataFrame, slices: list, build: Callable[[DataFrame], DataFrame], folder: str, late: str, last: dict[str, Column] | None = None) -> DataFrame:
+def replayed(rows: DataFrame, slices: list, build: Callable[[DataFrame], DataFrame], folder: str, late: str, last: dict[str, Column] | None = None, beyond: str = "1 day") -> DataFrame:
     """What a stream writes of rows that land in slices (conditions on the rows), one run each, and of a closing row
-    (see `closing`) in a last run. rows have a time; build makes the stream; the folder is new and shared by driver and executors."""
+    (see `closing`) in a last run; beyond is as long as the stream waits besides the lateness, such as the interval of a
+    join. rows have a time; build makes the stream; the folder is new and shared by driver and executors."""
     spark = rows.sparkSession
     for number, condition in enumerate(slices):
         land(rows.where(condition), folder, number)
         run(spark, rows.schema, build, folder)
-    land(closing(rows, late, last), folder, len(slices))
+    land(closing(rows, late, last, beyond), folder, len(slices))
     run(spark, rows.schema, build, folder)
     return spark.read.parquet(f"{folder}/out")
