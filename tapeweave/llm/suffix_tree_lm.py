@@ -107,10 +107,13 @@ def buckets(spark: SparkSession) -> int:
 
 
 def by_block(rows: DataFrame) -> DataFrame:
-    """The rows written as a table bucketed by block in the shared folder, and read again."""
+    """The rows written as a table bucketed by block in the shared folder, and read again. Only the write needs a name: the
+    catalog keeps none, the files stay."""
     spark, name = rows.sparkSession, f"suffix_tree_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets(spark), "block").option("path", scratch(spark, "suffix-tree")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return table
 
 
 @dataclass
