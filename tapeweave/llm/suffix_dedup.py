@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeweave.llm.common import by_group, full, planes, squeezed, steps, table, texts, unplaned
+from tapeweave.llm.common import by_group, full, planes, saved, squeezed, steps, table, texts, unplaned
 from tapeweave.llm.words import BASE, mixed, powers
 
 #: A byte's value in the hashes; unlike words' hashes, case counts.
@@ -396,18 +396,21 @@ def removed(docs: DataFrame, spans: Spans = Spans(), carry: tuple[str, ...] = ()
     start in a document with a smaller doc_id too; null if there are none.
 
     A null text is empty. A row without an id has no starts and gives none to others. Rows that repeat an id and its text
-    share their starts; other texts under the same id are parts of the same document, which repeat nothing of each other."""
+    share their starts; other texts under the same id are parts of the same document, which repeat nothing of each other.
+    Ids are of any type with an order, which for strings is that of their bytes: those that aren't whole numbers, or are too
+    large to number several texts under one, are counted off in order first."""
     spark = docs.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    whole_id = docs.schema["doc_id"].dataType == T.LongType()
-    columns = [F.col("doc_id") if whole_id else F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else [])]
+    kind = docs.schema["doc_id"].dataType
+    whole_id = isinstance(kind, T.IntegralType)
+    of_id = F.col("doc_id") if kind == T.LongType() or not whole_id else F.col("doc_id").cast("long").alias("doc_id")
+    columns = [of_id, F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("row")] if carry else [])]
     known = docs.where(F.col("doc_id").isNotNull()).select(*columns)
     known = known.withColumn("tag", F.xxhash64("text"))
     several = known.select("doc_id", "tag").distinct().groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    if counted := not whole_id or several > 1 and (known.agg(F.max(F.abs(F.col("doc_id").cast("decimal(20, 0)")))).first()[0] + 1) * several >= 1 << 63:
+        known = known.withColumnRenamed("doc_id", "id").join(counted_off(known.select(F.col("doc_id").alias("id"))), "id")
     if several > 1:
-        most = known.agg(F.max(F.abs("doc_id"))).first()[0]
-        if (most + 1) * several >= 1 << 63:
-            raise ValueError(f"ids up to {most} are too large to number {several} texts under one")
         number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("tag")) - 1
         known, spans = known.withColumn("number", number).withColumn("doc_id", F.col("doc_id") * several + F.col("number")).drop("number"), replace(spans, texts_of_id=several)
     narrow = known.select("doc_id", F.struct("tag", F.xxhash64(F.lit(1), "text").alias("tag2"), F.octet_length("text").alias("size")).alias("name"))
@@ -425,12 +428,25 @@ def removed(docs: DataFrame, spans: Spans = Spans(), carry: tuple[str, ...] = ()
     whole = F.array(F.concat(F.lit(bytes(4)), little_endian(last)))
     spans_of = named.join(starts, "doc_id", "left").select(*of, F.when(F.col("least") < F.col("doc_id"), whole).otherwise(F.col("starts")).alias("starts"))
     rows = known.join(spans_of, of, "left").drop("tag")
-    if several > 1:
+    if counted:
+        rows = rows.drop("doc_id").withColumnRenamed("id", "doc_id")
+    elif several > 1:
         rows = rows.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {several})) div {several}"))
     strays = docs.where(F.col("doc_id").isNull()).select(*columns, F.lit(None).cast("array<binary>").alias("starts"))
     return rows.unionByName(strays)
 
 
+def counted_off(ids: DataFrame) -> DataFrame:
+    """id and doc_id: how many smaller ids there are. Ranges of ids are counted apart; the driver reads a count for each."""
+    ranged = ids.distinct().repartitionByRange("id").withColumn("range", F.spark_partition_id())
+    ranged = saved(ranged, "ids")
+    sizes = dict(ranged.groupBy("range").count().collect())
+    before = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[r] for r in sorted(sizes))]).tolist()))
+    starts = ids.sparkSession.createDataFrame(list(before.items()), "range int, start long")
+    within = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(starts), "range").select("id", (F.col("start") + F.col("within")).alias("doc_id"))
+
+
 def little_endian(number: Column) -> Column:
     """A non-negative 32-bit integer's four bytes, low one first."""
     code = F.lpad(F.hex(number), 8, "0")
@@ -495,7 +511,9 @@ def digest(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.record_batch([part["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(docs, spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = removed(docs, spans)
+    of_id = T.StructType([rows.schema["doc_id"]])
+    return rows.mapInArrow(run, of_id.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string"))
 
 
 #: Every 50-byte string of every text, as hexadecimal digits cut from overlapping blocks of 200 places.

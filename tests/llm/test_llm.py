@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -379,6 +380,28 @@ def plain_tree(texts, tree):
     return [sum(np.log10(chance(tuple(t[max(0, i - tree.depth) : i]), t[i])) for i in range(1, len(t))) for t, _ in tokens], Counter(map(len, states))
 
 
+@pytest.mark.parametrize("kind, to", [("string", str), ("long", lambda i: i << 59), ("int", int), ("decimal(20, 0)", int)])
+def test_suffix_dedup_counts_off_ids(spark, kind, to):
+    """Strings stand in order of their bytes; ids too large to number texts under one, and several texts under one."""
+    rng = random.Random(9)
+    z = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    rows = [(to(i), t) for i, t in [(2, z), (10, "p" + z), (7, z[:60]), (7, "q" + z[20:]), (3, "short"), (3, "short"), (4, None), (9, "x" * 120)]] + [(None, z)]
+    want = Counter()
+    for i, t in rows:
+        cut = bytearray(len(t or ""))
+        for k in range(len(cut) - 49):
+            if i is not None and any(j is not None and j < i and t[k : k + 50] in (u or "") for j, u in rows):
+                cut[k : k + 50] = b"\1" * 50
+        want[i, len(cut), sum(cut)] += 1
+    frame = spark.createDataFrame([(None if i is None else Decimal(i) if "dec" in kind else i, t, "x") for i, t in rows], f"doc_id {kind}, text string, tag string").repartition(3)
+    out = suffix_dedup.digest(frame)
+    assert out.schema["doc_id"].dataType.simpleString().replace("bigint", "long") in (kind, "long", kind.replace(" ", ""))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in out.collect()) == want and sum(n for _, _, n in want) > 100
+    cleaned = suffix_dedup.without_repeats(frame)
+    assert cleaned.schema == frame.schema and cleaned.count() == len(rows)
+    assert suffix_dedup.digest(frame.where("doc_id is null and doc_id is not null")).count() == 0
+
+
 @pytest.mark.parametrize("tree", [suffix_tree_lm.SuffixTree(block=150, range=400), suffix_tree_lm.SuffixTree(least=2, depth=3)])
 def test_language_model(spark, rows, nothing, tree):
     rows = [*rows, *rows[3:9], (None, "the of the of"), (None, None), (2, "another text under that id"), *((100 + k, "p a b q p a b q r a b s r a b s c b t c b t") for k in range(9))]
@@ -396,6 +419,7 @@ def test_language_model(spark, rows, nothing, tree):
     assert all(np.allclose(a[:5], b[:5], atol=2e-6) and a[5:] == b[5:] for a, b in zip(got, want, strict=True))
     assert out.select("train_tokens").distinct().collect() == [(n,)]
     assert suffix_tree_lm.scored(nothing, tree).collect() == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_tree")]
 
 
 def test_cross_polytope(spark):
