@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int, least: int) -> list[list[int]]:
+def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int, least: int, floor: float = 0.0, smallest: float | None = None) -> list[list[int]]:
     """Positions of each cluster's events. In order of amounts, each event not yet in a cluster gathers later ones of
     wallets other than its own within the tolerance above its amount and the window around its time; they become a
-    cluster if `least` wallets take part, else all stay free."""
+    cluster if `least` wallets take part, else all stay free. The tolerance is no narrower than `floor`, and amounts up to
+    `smallest` gather nothing."""
     order = sorted(range(len(events)), key=lambda k: events[k][0])
     free = [True] * len(events)
     out = []
@@ -18,9 +19,11 @@ def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int,
         if not free[seed]:
             continue
         amount, ts, wallet = events[seed]
+        if smallest is not None and amount <= smallest:
+            continue
         taken = [seed]
         for k in order[at + 1 :]:
-            if events[k][0] - amount > amount * tolerance:
+            if events[k][0] - amount > max(amount * tolerance, floor):
                 break
             if free[k] and abs(events[k][1] - ts) <= window and events[k][2] != wallet:
                 taken.append(k)
@@ -31,7 +34,7 @@ def greedy(events: list[tuple[float, int, str]], tolerance: float, window: int,
     return out
 
 
-def split_clusters(events: DataFrame, label: str, tolerance: float = 1e-4, window: int = 3600, least: int = 3) -> DataFrame:
+def split_clusters(events: DataFrame, label: str, tolerance: float = 1e-4, window: int = 3600, least: int = 3, floor: float = 0.0, smallest: float | None = None) -> DataFrame:
     """label, amount (to nine decimals), n_wallets, wallets, first_ts, span_seconds and date of each cluster. events: label,
     wallet, amount, ts and seq, which settles ties.
 
@@ -42,7 +45,7 @@ def split_clusters(events: DataFrame, label: str, tolerance: float = 1e-4, windo
         pdf = pdf.sort_values("seq", kind="stable")
         rows = list(zip(pdf["amount"], pdf["ts"], pdf["wallet"]))
         out = []
-        for c in greedy(rows, tolerance, window, least):
+        for c in greedy(rows, tolerance, window, least, floor, smallest):
             times, wallets = [rows[k][1] for k in c], sorted({rows[k][2] for k in c})
             out.append((pdf[label].iloc[0], round(rows[c[0]][0], 9), len(wallets), wallets, min(times), max(times) - min(times), pd.Timestamp(min(times), unit="s").strftime("%Y-%m-%d")))
         return pd.DataFrame(out, columns=[label, "amount", "n_wallets", "wallets", "first_ts", "span_seconds", "date"])
@@ -51,7 +54,7 @@ def split_clusters(events: DataFrame, label: str, tolerance: float = 1e-4, windo
     schema = f"{label} {kinds[label]}, amount double, n_wallets int, wallets array<{kinds['wallet']}>, first_ts long, span_seconds long, date string"
     w = Window.partitionBy(label).orderBy("amount", "seq")
     before = F.lag("amount").over(w)
-    cut = F.coalesce((F.col("amount") - before > before * tolerance).cast("int"), F.lit(0))
+    cut = F.coalesce((F.col("amount") - before > F.greatest(before * tolerance, F.lit(floor))).cast("int"), F.lit(0))
     pieces = events.select(label, "wallet", "amount", "ts", "seq", cut.alias("cut")).withColumn("piece", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     size = F.count("*").over(Window.partitionBy(label, "piece"))
     return pieces.withColumn("size", size).where(F.col("size") >= least).groupBy(label, "piece").applyInPandas(run, schema)
