@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.special import hypergeometric_tail as hypergeometric_tail_of
+from tapeweave.operators.order import value_ranks
 from tapeweave.operators.sequence import independent
 
 
@@ -84,8 +85,8 @@ def drawn_groups(wallets: DataFrame, sizes: tuple[int, ...], draws: int, seed: i
     """wallet and round (the size's place times draws, plus the draw) of seeded draws without replacement; sizes beyond
     the number of wallets are left out. Draws are of places in the sorted wallets, joined to them by place."""
     spark = wallets.sparkSession
-    schema = wallets.select("wallet").schema.simpleString()[7:-1]
-    numbered = spark.createDataFrame(wallets.select("wallet").distinct().orderBy("wallet").rdd.zipWithIndex().map(lambda x: (x[0].wallet, x[1])), f"{schema}, at long").checkpoint()
+    ranks = value_ranks(wallets.where("wallet is not null").select(F.lit(0).alias("all"), "wallet").distinct(), ["all"], "wallet")
+    numbered = ranks.select("wallet", F.col("start").alias("at")).checkpoint()
     total = numbered.count()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import columns as C
 from tapeweave.operators import order, resample, sequence, splits, statistics, tape
-from tapeweave.plans import captures, evidence, ledger, streams  # noqa: F401  (register their queries)
+from tapeweave.plans import captures, cohorts, evidence, ledger, streams  # noqa: F401  (register their queries)
 from tapeweave.plans.registry import QUERIES, SQL, checkpoints, query
 from tapeweave.sources.tapes import epoch, event_tape, line_tape, table
 

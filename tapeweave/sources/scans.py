@@ -37,3 +37,21 @@ def scan(spark: SparkSession, sources: list[tuple[str, str]], schema: str, key:
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     counted = read.join(settled, "role", "left").select("role", "rows", "unreadable", none("excluded"), none("kept"))
     return kept, counted.withColumn("repeated", F.col("rows") - F.col("unreadable") - F.col("excluded") - F.col("kept"))
+
+
+def last_wins(spark: SparkSession, sources: list[tuple[str, str]], schema: str, key: str) -> DataFrame:
+    """Of captures (with an array `swaps`) that have one key, the last in order of sources, files and lines; captures without
+    swaps, and lines that can't be read, take no part."""
+    rows = rows_of(spark, sources, schema)
+    good = rows.where(F.col("_corrupt_record").isNull() & F.col(key).isNotNull() & (F.size("swaps") > 0)).drop("_corrupt_record")
+    last = good.groupBy(key).agg(F.max_by(F.struct(*(c for c in good.columns if c != key)), "place").alias("last"))
+    return last.select(key, "last.*")
+
+
+def whole(spark: SparkSession, path: str, schema: str, names: str = "*") -> DataFrame:
+    """Documents that fill a file each (an array at the top gives a row for each item), with the file. A file that can't be
+    parsed fails the read, and so does a folder without a file of such a name."""
+    read = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").option("pathGlobFilter", names).option("recursiveFileLookup", "true").json(path)
+    if not read.inputFiles():
+        raise ValueError(f"no file {names} below {path}")
+    return read.withColumn("file", F.col("_metadata.file_path"))
