@@ -78,15 +78,15 @@ def active_controls(spark, sf_dir):
 ROW = "array<struct<poison_default: boolean, q_mc_regime_ok: boolean, q_mc_plausible: boolean, o_ath_true: boolean, detect_mc: double, cluster_id: string, day: string>>"
 
 
-@query("""with r as (select p_partkey % 3 as p, coalesce(p_size % 10 = 0, false) as poison, p_size > 5 and p_size % 7 <> 0 and p_retailprice < 1800 and p_brand not like '%3' as good, case when p_size % 4 <> 0 then p_retailprice - 1000 end as mc, p_brand as cluster, p_type as day from part),
+@query("""with r as (select p_partkey % 3 as p, coalesce(p_size % 10 = 0, false) as poison, p_size > 5 and p_size % 7 <> 0 and p_retailprice < 985 and p_brand not like '%3' as good, case when p_size % 4 <> 0 then p_retailprice - 950 end as mc, p_brand as cluster, p_type as day from part),
 n as (select unnest(case when p = 0 then case when not poison then ['A_clean'] end when p = 1 and good and mc > 0 then ['B_clean', 'B_priced'] when p = 1 and good then ['B_clean'] when good then ['C_clean'] end) as population, cluster, day from r)
 select population, count(*) as n, count(distinct cluster) as clusters, count(distinct day) as days from n group by 1""")
 def populations(spark, sf_dir):
     """Parts as documents that fill a file each (arrays A, B and C of 256 parts), read back, and their clean populations."""
     size, price = F.col("p_size"), F.col("p_retailprice")
     row = F.struct(
-        (size % 10 == 0).alias("poison_default"), F.when(size % 7 != 0, size > 5).alias("q_mc_regime_ok"), (price < 1800).alias("q_mc_plausible"), (~F.endswith("p_brand", F.lit("3"))).alias("o_ath_true"),
-        F.when(size % 4 != 0, price - 1000).alias("detect_mc"), F.col("p_brand").alias("cluster_id"), F.col("p_type").alias("day"),
+        (size % 10 == 0).alias("poison_default"), F.when(size % 7 != 0, size > 5).alias("q_mc_regime_ok"), (price < 985).alias("q_mc_plausible"), (~F.endswith("p_brand", F.lit("3"))).alias("o_ath_true"),
+        F.when(size % 4 != 0, price - 950).alias("detect_mc"), F.col("p_brand").alias("cluster_id"), F.col("p_type").alias("day"),
     )
     arrays = [F.collect_list(F.when(F.col("p_partkey") % 3 == k, row)).alias(name) for k, name in enumerate("ABC")]
     each = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 256).alias("file")).agg(*arrays)  # 256 parts a document
