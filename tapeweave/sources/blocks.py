@@ -26,6 +26,6 @@ def creations(blocks: DataFrame, program: str, suffix: str, start: int, slots: i
 def tally(blocks: DataFrame, found: DataFrame, start: int, slots: int) -> DataFrame:
     """slots asked, answered, skipped (asked without an answer: no block, or no line) and found creations and mints: one row."""
     here = F.col("slot").between(start, start + slots - 1) & F.col("answer").isNotNull()
-    answered = blocks.where(here).agg(F.countDistinct("slot").alias("answered"))
-    some = found.agg(F.count("*").alias("found"), F.countDistinct("mint").alias("mints"))
-    return answered.crossJoin(some).select(F.lit(slots).cast("long").alias("slots"), "answered", (F.lit(slots) - F.col("answered")).cast("long").alias("skipped"), "found", "mints")  # one row each
+    both = blocks.where(here).select("slot", F.lit(None).cast("string").alias("mint")).unionByName(found.select(F.lit(None).cast("long").alias("slot"), "mint"))
+    answered = F.countDistinct("slot")
+    return both.agg(F.lit(slots).cast("long").alias("slots"), answered.alias("answered"), (F.lit(slots) - answered).alias("skipped"), F.count("mint").alias("found"), F.countDistinct("mint").alias("mints"))
