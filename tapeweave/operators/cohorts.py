@@ -15,9 +15,9 @@ def first_signers(touches: DataFrame, most: int, window: int) -> DataFrame:
     transaction that touches it, signed or not, in order of (ts, seq). touches: mint, ts, seq, signer (null: unknown; such a
     transaction names nobody, but may be the first). Signers are settled before they are ranked, so that a token which a third
     of all transactions touch shuffles a row for each signer, and at most `most` of each task are ranked."""
-    born = touches.groupBy("mint").agg(F.min("ts").alias("born"))
-    signers = touches.where(F.col("signer").isNotNull()).groupBy("mint", "signer").agg(F.min(F.struct("ts", "seq")).alias("first"))
-    early = signers.join(born, "mint").where(F.col("first.ts") <= F.col("born") + window)
+    signers = touches.where("ts is not null").groupBy("mint", "signer").agg(F.min(F.struct("ts", "seq")).alias("first"))
+    born = signers.groupBy("mint").agg(F.min("first.ts").alias("born"))
+    early = signers.where(F.col("signer").isNotNull()).join(born, "mint").where(F.col("first.ts") <= F.col("born") + window)
     rank = F.row_number().over(Window.partitionBy("mint").orderBy("first.ts", "first.seq", "signer"))
     return early.withColumn("rank", rank).where(F.col("rank") <= most).select("mint", "signer", "rank", "first.ts", "first.seq")
 

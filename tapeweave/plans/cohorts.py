@@ -56,10 +56,11 @@ f as (select mint, signer, ts, seq, min(ts) over (partition by mint) as born fro
 select mint, signer, rank, ts, seq from (select *, row_number() over (partition by mint order by ts, seq, signer) as rank from e where ts <= born + {500 * DAY}) where rank <= 5""")
 def first_signers(spark, sf_dir):
     """The first five signers of each part's orders within 500 days of the first of them."""
-    t = transactions(spark, sf_dir)
-    signer = F.get(F.filter(F.arrays_zip("keys", "signers"), lambda a: a["signers"]), F.lit(0))["keys"]
-    dated = t.select("tx", signer.alias("signer")).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx"), epoch("o_orderdate").alias("ts")), "tx")
-    touched = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("mint"), F.col("l_orderkey").alias("tx"))
+    l = table(spark, sf_dir, "lineitem")
+    place = F.struct("l_linenumber", "l_suppkey")
+    signed = l.groupBy(F.col("l_orderkey").alias("tx")).agg(F.min_by("l_suppkey", F.when(F.col("l_returnflag") == "R", place)).alias("signer"))
+    dated = signed.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx"), epoch("o_orderdate").alias("ts")), "tx")
+    touched = l.select(F.col("l_partkey").alias("mint"), F.col("l_orderkey").alias("tx"))
     return cohorts.first_signers(touched.join(dated, "tx").withColumnRenamed("tx", "seq"), 5, 500 * DAY)
 
 
