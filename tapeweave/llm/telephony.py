@@ -4,8 +4,9 @@ Mu-law and A-law bytes are expanded by lookup tables, IMA ADPCM blocks are decod
 batch (a Python loop runs over the samples of a block, never over blocks), and audio is stored as PCM at twice the
 telephone rate or as the codes themselves in WAV.
 
-The query stores codes, a table of WAV in the shared folder, and computes features from what it reads back. Payloads
-take turns by their number of blocks: mu-law, A-law, ADPCM.
+The query stores codes, a table of WAV in the shared folder, reads them back, stores their resampled PCM in a second
+table and computes features from the PCM that it reads back. Payloads take turns by their number of blocks: mu-law,
+A-law, ADPCM.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from pyspark.sql import types as T
 from tapeweave.llm.common import saved, steps, table, texts
 
 RATE = 8000
+PCM_BYTES = 16_000_000  # of PCM in a step
 BLOCK = 576
 ALAW, MULAW, IMA = 6, 7, 17  # format tags of WAV
 TURNS = (MULAW, ALAW, IMA)
+#: Tables of audio are large: long pages and a slower level of the codec.
+FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 # Fixed values of the IMA ADPCM format: quantizer steps, and changes of the step's index by code.
 IMA_STEPS = (
@@ -92,6 +96,21 @@ def doubled(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def lifted(pcm: np.ndarray) -> bytes:
+    """16-bit PCM of even length without loss, for codecs: the samples at even places, then by how much each of the others
+    differs, modulo 2**16, from the mean of its neighbours (the last: from the one before it)."""
+    even = pcm[::2].astype("<i2")
+    return even.tobytes() + (pcm[1::2] - doubled(even)[1::2]).astype("<i2").tobytes()
+
+
+def unlifted(raw: bytes) -> np.ndarray:
+    """The PCM that `lifted` packed."""
+    even, left = np.frombuffer(raw, "<i2").reshape(2, -1)
+    out = doubled(even)
+    out[1::2] += left
+    return out
+
+
 def to_wav(samples: bytes, tag: int = MULAW) -> bytes:
     """8-bit mono samples, or blocks of ADPCM, as WAV; of odd lengths, a zero byte follows."""
     pad = len(samples) & 1
@@ -172,37 +191,60 @@ def stored(docs: DataFrame, tags: tuple[int, ...] = TURNS) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+HELD = "n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, format int, pcm binary"
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """The codes of `stored` read back, with features: format, mean square and sign changes of the PCM, and the checksum
-    of the resampled PCM. All ADPCM blocks of a step are decoded at once."""
+def decoded(media: DataFrame) -> DataFrame:
+    """Checksums and formats of the codes of `stored`, and their PCM at 16 kHz, lifted. All ADPCM blocks of a step are
+    decoded at once; a step's rows stand by format, which packs better."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in steps(b, "media")):
             rows = []
             whole = [from_wav(x) for x in part["media"].to_pylist()]
-            decoded = expanded(IMA, b"".join(x for tag, x in whole if tag == IMA))
+            blocks = expanded(IMA, b"".join(x for tag, x in whole if tag == IMA))
             at = 0
             for media_bytes, (tag, payload), n_bytes in zip(part["media"].to_pylist(), whole, part["n_bytes"].to_pylist(), strict=True):
                 if tag == IMA:
                     n = len(payload) // BLOCK * samples_of(BLOCK)
-                    pcm, at = decoded[at : at + n], at + n
+                    pcm, at = blocks[at : at + n], at + n
                 else:
                     pcm = expanded(tag, payload)
-                wide = pcm.astype(np.int32)
-                power = int((wide * wide).sum(dtype=np.int64)) // len(pcm)
-                turns = int(np.count_nonzero((pcm[1:] ^ pcm[:-1]) < 0))
-                feature = f"format={tag} power={power} turns={turns} pcm16k={zlib.crc32(doubled(pcm)):08x}"
-                rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((n_bytes, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(media_bytes), hashlib.sha256(media_bytes).digest(), tag, lifted(doubled(pcm))))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.record_batch([part["doc_id"], *columns], ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))])
+            found = pa.record_batch([part["doc_id"], *columns], ["doc_id", *(x.split()[0] for x in HELD.split(", "))])
+            yield found.take(pa.array(np.argsort([tag for tag, _ in whole], kind="stable")))
 
     media = media.select("doc_id", "n_bytes", "media")
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
+    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {HELD}")
+
+
+def features(held: DataFrame) -> DataFrame:
+    """Features of the rows of `decoded`: format, mean square and sign changes of the PCM at the telephone rate (each
+    second sample), and the checksum of all samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in steps(b, "pcm", PCM_BYTES)):
+            found = []
+            for tag, raw in zip(part["format"].to_pylist(), part["pcm"].to_pylist(), strict=True):
+                wide = unlifted(raw)
+                pcm = np.ascontiguousarray(wide[::2])
+                power = int(np.square(pcm, dtype=np.int32).sum(dtype=np.int64)) // len(pcm)
+                turns = int(np.count_nonzero((pcm[1:] ^ pcm[:-1]) < 0))
+                found.append(f"format={tag} power={power} turns={turns} pcm16k={zlib.crc32(wide):08x}")
+            text = {c: pa.array([x.hex() for x in part[c].to_pylist()], pa.string()) for c in ("payload_sha256", "media_sha256")} | {"feature": pa.array(found, pa.string())}
+            names = ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))]
+            yield pa.record_batch([text[c] if c in text else part[c] for c in names], names)
+
+    return held.mapInArrow(run, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
+
+
+def digest(media: DataFrame) -> DataFrame:
+    """The codes of `stored` read back, with features of their PCM, which is stored too and read back."""
+    return features(saved(decoded(media), "pcm", FILES))
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(saved(stored(table(spark, sf_dir, "documents")), "media"))
+    return digest(saved(stored(table(spark, sf_dir, "documents")), "media", FILES))

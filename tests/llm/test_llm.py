@@ -135,6 +135,33 @@ def test_telephony(spark, docs, rows, nothing):
     assert telephony.digest(telephony.stored(nothing)).count() == 0
 
 
+def test_telephony_reads_its_features_from_stored_pcm(spark, docs, rows, monkeypatch):
+    seen = {}
+
+    def spoilt(df, name, *options):
+        seen[name] = telephony_saved(df, name, *options)
+        if name != "pcm":
+            return seen[name]
+        return seen[name].withColumn("pcm", F.unhex(F.repeat(F.lit("07"), F.octet_length("pcm").cast("int"))))
+
+    telephony_saved = telephony.saved
+    monkeypatch.setattr(telephony, "saved", spoilt)
+    media = telephony.saved(telephony.stored(docs), "media")
+    want = {r.doc_id: bytes(r.pcm) for r in telephony.resampled(media).collect()}
+    got = telephony.digest(media).collect()
+    assert {r.doc_id: telephony.unlifted(bytes(r.pcm)).tobytes() for r in seen["pcm"].collect()} == want
+    assert len(got) == len(rows) and all(r.feature.split()[1:3] == [f"power={0x0707**2}", "turns=0"] for r in got)
+
+
+def test_lifted_pcm():
+    rng = np.random.default_rng(1)
+    for n in (0, 2, 4, 1000):
+        pcm = rng.integers(-32768, 32768, n).astype("<i2")
+        assert telephony.unlifted(telephony.lifted(pcm)).tolist() == pcm.tolist()
+    pcm = telephony.doubled(pcm)
+    assert not any(telephony.lifted(pcm)[len(pcm) :])
+
+
 def test_long_words_equal_the_library():
     rng = random.Random(8)
     tokenizer, mine = Tokenizer.from_file(BYTE), bpe.SegmentTreeBPE(BYTE)
