@@ -12,7 +12,8 @@ the tree. Texts are written once as blocks of word numbers, in a table bucketed
 sends the distinct (context, next word) codes of its tokens as sorted, delta-coded runs to ranges of contexts; a range
 sums up the runs, tests its contexts and answers each block with the counts of its codes, in their order. Contexts with
 more tokens than a range should hold are dealt out by next word; there are at most as many as ranges, and their sums
-alone reach the driver. Codes are 64 bits: 40 of the context, 24 of the next word.
+alone reach the driver. Codes are 64 bits: 40 of the context's hash, 24 of the next word's. A block groups its tokens by
+the numbers that contexts and words have inside it, in the order of their hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tapeweave.llm.words import mixed, word_hashes
 #: The hash of the token that ends each text and stands before each text's first word.
 END = np.uint64(1)
 WORD_BITS = np.uint64(24)
-LOW = np.uint64((1 << 24) - 1)
+CONTEXT_BITS = np.uint64(40)
 #: Steps of a nat in which blocks send suffixes' log probabilities for the divergence test.
 NATS = 8.0
 
@@ -89,7 +90,7 @@ def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
             return pa.record_batch(arrays, ["block", "docs", "lengths", "words", "tokens", "n_tokens"])
 
         size = 0
-        for part in (p for b in batches for p in steps(b)):
+        for part in (p for b in batches for p in steps(b, most=tree.block // 2)):
             hashes, lengths = token_hashes(texts(part["text"]))
             if held and size + len(hashes) > tree.block:
                 yield flush()
@@ -118,16 +119,15 @@ def by_block(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Walk:
-    """Where a block's tokens stand after the depths answered so far. ask: the codes to send (sorted by range), the range
-    of each, whether it is a hot context's, their counts in training rows and the suffix's log probabilities."""
+    """Where a block's tokens stand after the depths answered so far. base, chance: of each token by words alone, and by its
+    longest state. ask: the codes to send (sorted by range), the range of each, whether it is a hot context's, their counts
+    in training rows and the suffix's log probabilities; none where no context goes on."""
 
-    first: np.ndarray
-    train: np.ndarray
     lengths: np.ndarray
     known: np.ndarray | None = None
     base: np.ndarray | None = None
     chance: np.ndarray | None = None
-    ask: tuple[np.ndarray, ...] = field(default_factory=tuple)
+    ask: tuple[np.ndarray, ...] = field(default_factory=lambda: tuple(np.empty(0, kind) for kind in (np.uint64, np.int64, bool, np.int64, np.uint8)))
 
 
 @dataclass(frozen=True)
@@ -148,36 +148,34 @@ def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], kno
     first = np.zeros(len(tokens), bool)
     first[np.cumsum(lengths) - lengths] = True
     train = np.repeat(trains(row["docs"]), lengths)
-    out = Walk(first, train, lengths)
+    out = Walk(lengths)
     order = np.argsort(words)
-    where = ranged(words[order], known.ranges)
     if not answers:
         count = np.bincount(tokens, train, len(words)).astype(np.int64)[order]
-        out.ask = (words[order], where, np.zeros(len(words), bool), count, np.zeros(len(words), np.uint8))
+        out.ask = (words[order], ranged(words[order], known.ranges), np.zeros(len(words), bool), count, np.zeros(len(words), np.uint8))
         return out
-    in_words = np.empty(len(words), np.int64)
+    in_words, rank = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
     in_words[order] = np.concatenate([answers[0][k][0] for k in sorted(answers[0])])
-    n = in_words[tokens]
-    out.known = n > 0
+    rank[order] = np.arange(len(words))
+    n, word = in_words[tokens], rank[tokens]
     chance = (n + 1) / (known.total + known.distinct + 1)
-    out.base = np.log10(chance)
-    hashes = words[tokens]
-    end = in_words[words == END][0]
-    context, context_n = np.empty_like(hashes), np.empty_like(n)
-    context[1:], context_n[1:] = hashes[:-1], n[:-1]
-    context[first], context_n[first] = END, end
+    out.known, out.base = n > 0, chance.copy()
+    hashes, end = words[tokens], int(rank[words == END][0])
+    context, context_n, owner = np.empty_like(hashes), np.empty_like(n), np.empty_like(n)
+    context[1:], context_n[1:], owner[1:] = hashes[:-1], n[:-1], word[:-1]
+    context[first], context_n[first], owner[first] = END, in_words[order[end]], end
     alive = context_n >= tree.least
     for depth in range(1, tree.depth + 1):
-        gram = mixed(context * np.uint64(3) + hashes)
         at = np.flatnonzero(alive)
-        code = context[at] >> WORD_BITS << WORD_BITS | gram[at] & LOW
-        codes, one, place = distinct(code)
-        hot = context_n[at[one]] * known.ranges >= known.total
+        place, one = pairs(owner[at], word[at])
+        one = at[one]
+        codes = context[one] >> WORD_BITS << WORD_BITS | hashes[one] >> CONTEXT_BITS
+        hot = context_n[one] * known.ranges >= known.total
         where = np.where(hot, ranged(mixed(codes), known.ranges) + known.ranges, ranged(codes, known.ranges))
         order = np.argsort(where, kind="stable")
         if depth == len(answers):
             count = np.bincount(place, train[at], len(codes)).astype(np.int64)
-            suffix = np.clip(np.round(-np.log(chance[at[one]]) * NATS), 0, 255).astype(np.uint8)
+            suffix = np.clip(np.round(-np.log(chance[one]) * NATS), 0, 255).astype(np.uint8)
             out.ask = (codes[order], where[order], hot[order], count[order], suffix[order])
             break
         if not len(codes):
@@ -186,35 +184,51 @@ def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], kno
         parts = [answers[depth][k] for k in sorted(answers[depth])]
         n_of[order] = np.concatenate([p[0] for p in parts])
         heads, followers = known.hot[depth - 1]
-        owner = codes[order] >> WORD_BITS
-        of_hot = np.searchsorted(heads, owner)
+        head = codes[order] >> WORD_BITS
+        of_hot = np.searchsorted(heads, head)
         value = np.append(followers, 0)[np.where(hot[order], of_hot, len(followers))]
         cold = ~hot[order]
         if cold.any():
-            fresh = np.append(True, (owner[cold][1:] != owner[cold][:-1]))
+            fresh = np.append(True, (head[cold][1:] != head[cold][:-1]))
             value[cold] = np.concatenate([p[1] for p in parts])[np.cumsum(fresh) - 1]
         followers_of[order] = value
         n, kinds = n_of[place], followers_of[place]
         state = kinds > 0
         chance[at[state]] = (np.maximum(n - tree.discount, 0) + tree.discount * kinds * chance[at])[state] / context_n[at[state]]
-        gram_n, goes_on = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        gram_n[at], goes_on[at[state]] = n, True
-        context[1:], context_n[1:] = gram[:-1], gram_n[:-1]
-        alive = (context_n >= tree.least) & goes_on & ~first
+        # what goes on: the gram before a token, where it is frequent, behind a state
+        gram = mixed(context[one] * np.uint64(3) + hashes[one])
+        goes_on, before = np.zeros(len(tokens), bool), np.full(len(tokens), -1)
+        goes_on[at[state]], before[at[n >= tree.least]] = True, place[n >= tree.least]
+        before[1:] = before[:-1]
+        alive = (before >= 0) & goes_on & ~first
         alive[0] = False
+        at = np.flatnonzero(alive)
+        used = np.flatnonzero(np.bincount(before[at], minlength=len(codes)))
+        rank = np.empty(len(codes), np.int64)
+        rank[used[np.argsort(gram[used])]] = np.arange(len(used))
+        context[at], context_n[at], owner[at] = gram[before[at]], n_of[before[at]], rank[before[at]]
     out.chance = chance
     return out
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different values, ascending; where one of each stands; and each value's place among them."""
-    order = np.argsort(x)
-    x = x[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = x[1:] != x[:-1]
-    place = np.empty(len(x), np.int64)
+def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair's place among the different pairs, ascending, and where one of each stands. Neither number is negative."""
+    n = len(a)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    of_b, of_place = int(b.max()).bit_length(), n.bit_length()
+    if int(a.max()).bit_length() + of_b + of_place < 64:  # sorting numbers takes a third of sorting their places
+        key = (a << of_b | b) << of_place | np.arange(n)
+        key.sort()
+        order, key = key & ((1 << of_place) - 1), key >> of_place
+        change = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((b, a))
+        change = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    fresh = np.append(True, change)
+    place = np.empty(n, np.int64)
     place[order] = np.cumsum(fresh) - 1
-    return x[fresh], order[fresh], place
+    return place, order[fresh]
 
 
 def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
@@ -312,7 +326,7 @@ def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     state = blocks(docs, tree)
     tokens = state.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    known = Known(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tree.range)))
+    known = Known(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tree.range)))
     for depth in range(tree.depth + 1):
         answers = answered(walked(state, known, tree, asked, ASKED), depth, tree)
         sums = answers.where("block < 0").select(F.inline("answers"))
@@ -331,7 +345,7 @@ def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
 
     def out(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
         begin = np.cumsum(at.lengths) - at.lengths
-        sums = [np.add.reduceat(x, begin) if len(begin) else np.empty(0) for x in (at.known.astype(np.int64), at.base, np.log10(at.chance))]
+        sums = [np.add.reduceat(x, begin) if len(begin) else np.empty(0) for x in (at.known.astype(np.int64), np.log10(at.base), np.log10(at.chance))]
         return pa.record_batch([batch["docs"].flatten(), pa.array(at.lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = walked(state, known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")

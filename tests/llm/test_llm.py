@@ -449,6 +449,32 @@ def test_language_model(spark, rows, nothing, tree):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_tree")]
 
 
+def test_language_model_by_block(spark, rows):
+    """However texts are dealt out to blocks, also with blocks in which no context goes on while others' do."""
+    texts = [*(t for _, t in rows), *["p a b q p a b q r a b s r a b s c b t c b t"] * 9, *["rare" + str(k) for k in range(9)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    whole, single = (sorted(suffix_tree_lm.scored(docs, suffix_tree_lm.SuffixTree(block=b)).collect()) for b in (500_000, 2))
+    assert [r[:5] for r in whole] == [r[:5] for r in single]
+    assert np.allclose([r[5:] for r in whole], [r[5:] for r in single], atol=1e-9)
+
+
+def test_language_model_fills_its_blocks(spark):
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('some words of it ', 60) as text")
+    got = sorted(r[0] for r in suffix_tree_lm.blocks(docs, suffix_tree_lm.SuffixTree()).select("n_tokens").collect())
+    assert sum(got) == 6000 * 241 and len(got) == 4 and got[1] > 450_000
+
+
+@pytest.mark.parametrize("top", [50, 2**40])
+def test_pairs(top):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, top, 300), rng.integers(0, top, 300)
+    a[150:], b[150:] = a[:150], b[150:] % 3
+    place, one = suffix_tree_lm.pairs(a, b)
+    want = sorted(set(zip(a.tolist(), b.tolist())))
+    assert list(zip(a[one].tolist(), b[one].tolist())) == want and [want[k] for k in place] == list(zip(a.tolist(), b.tolist()))
+    assert [len(x) for x in suffix_tree_lm.pairs(a[:0], b[:0])] == [0, 0]
+
+
 def test_cross_polytope(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 24)).astype(np.float32)
