@@ -452,14 +452,14 @@ def test_language_model(spark, rows, nothing, tree):
 def test_language_model_by_block(spark, rows):
     """However texts are dealt out to blocks, also with blocks in which no context goes on while others' do."""
     texts = [*(t for _, t in rows), *["p a b q p a b q r a b s r a b s c b t c b t"] * 9, *["rare" + str(k) for k in range(9)]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    whole, single = (sorted(suffix_tree_lm.scored(docs, suffix_tree_lm.SuffixTree(block=b)).collect()) for b in (500_000, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, single = (sorted(suffix_tree_lm.scored(docs.repartition(n), suffix_tree_lm.SuffixTree(block=b)).collect()) for n, b in ((2, 500_000), (70, 2)))
     assert [r[:5] for r in whole] == [r[:5] for r in single]
     assert np.allclose([r[5:] for r in whole], [r[5:] for r in single], atol=1e-9)
 
 
 def test_language_model_fills_its_blocks(spark):
-    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('some words of it ', 60) as text")
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('longer words ', 120) as text")
     got = sorted(r[0] for r in suffix_tree_lm.blocks(docs, suffix_tree_lm.SuffixTree()).select("n_tokens").collect())
     assert sum(got) == 6000 * 241 and len(got) == 4 and got[1] > 450_000
 
