@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import by_group, planes, scratch, squeezed, steps, table, texts, full, unplaned
+from tapeweave.llm.common import by_group, scratch, squeezed, steps, table, texts, full
 from tapeweave.llm.words import mixed, word_hashes
 
 #: The hash of the token that ends each text and stands before each text's first word.
@@ -62,6 +62,23 @@ def token_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, count + 1
 
 
+def thin(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, low bytes of all first, in as many bytes as the largest needs; squeezed."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return squeezed(bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def unthin(raw: bytes) -> np.ndarray:
+    """The numbers, in 32 bits where those are enough."""
+    raw = full(raw)
+    columns = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    kind = np.int32 if len(columns) < 4 else np.uint32 if len(columns) == 4 else np.uint64
+    out = columns[0].astype(kind)
+    for k in range(1, len(columns)):
+        out |= columns[k].astype(kind) << kind(8 * k)
+    return out
+
+
 def trains(doc_ids: list) -> np.ndarray:
     """Whether each row is learnt from: crc32(doc_id as text) mod 7 is not 2. Rows without an id are."""
     return np.array([x is None or zlib.crc32(str(x).encode()) % 7 != 2 for x in doc_ids], bool)
@@ -84,7 +101,7 @@ def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            columns = [[uuid.uuid4().int >> 65], None, [planes(lengths)], [squeezed(words[order].tobytes())], [planes(rank[place])], [len(hashes)]]
+            columns = [[uuid.uuid4().int >> 65], None, [thin(lengths)], [squeezed(words[order].tobytes())], [thin(rank[place])], [len(hashes)]]
             kinds = [pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if t is None else pa.array(c, t) for c, t in zip(columns, kinds)]
             return pa.record_batch(arrays, ["block", "docs", "lengths", "words", "tokens", "n_tokens"])
@@ -119,9 +136,10 @@ def by_block(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Walk:
-    """Where a block's tokens stand after the depths answered so far. base, chance: of each token by words alone, and by its
-    longest state. ask: the codes to send (sorted by range), the range of each, whether it is a hot context's, their counts
-    in training rows and the suffix's log probabilities; none where no context goes on."""
+    """Where a block's tokens stand after the depths answered so far. known, base, chance: of each token, whether it was
+    learnt, and its probability by words alone and by its longest state. ask: the codes to send (sorted by range), the range
+    of each, whether it is a hot context's, their counts in training rows and the suffix's log probabilities; none where no
+    context goes on."""
 
     lengths: np.ndarray
     known: np.ndarray | None = None
@@ -141,94 +159,124 @@ class Known:
     hot: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
 
 
-def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], known: Known, tree: SuffixTree) -> Walk:
+def walk(row: dict, answers: list[dict[int, tuple[np.ndarray, np.ndarray]]], known: Known, tree: SuffixTree, last: bool = False) -> Walk:
     """Follows a block's tokens down the tree. answers: at each depth, by range, the counts of the codes that the block sent
-    there and, for each context among them, how many words follow it (0: no state)."""
-    words, tokens, lengths = np.frombuffer(full(row["words"]), np.uint64), unplaned(row["tokens"]).astype(np.int64), unplaned(row["lengths"]).astype(np.int64)
-    first = np.zeros(len(tokens), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    train = np.repeat(trains(row["docs"]), lengths)
+    there and, for each context among them, how many words follow it (0: no state). last: nothing is asked any more, and
+    each token gets its probabilities.
+
+    What belongs to a code is worked out once for each code, not for each token; a token has places only. At a depth, `at`
+    are the tokens that are still followed, `own` their places among the codes of the depth before, and `before` the places
+    of their contexts among the contexts in use."""
+    words, tokens, lengths = np.frombuffer(full(row["words"]), np.uint64), unthin(row["tokens"]), unthin(row["lengths"]).astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
     out = Walk(lengths)
     order = np.argsort(words)
+    words = words[order]
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    word = rank[tokens]
+    train = None if last else np.repeat(trains(row["docs"]), lengths)
     if not answers:
-        count = np.bincount(tokens, train, len(words)).astype(np.int64)[order]
-        out.ask = (words[order], ranged(words[order], known.ranges), np.zeros(len(words), bool), count, np.zeros(len(words), np.uint8))
+        out.ask = (words, ranged(words, known.ranges), np.zeros(len(words), bool), np.bincount(word[train], minlength=len(words)), np.zeros(len(words), np.uint8))
         return out
-    in_words, rank = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-    in_words[order] = np.concatenate([answers[0][k][0] for k in sorted(answers[0])])
-    rank[order] = np.arange(len(words))
-    n, word = in_words[tokens], rank[tokens]
+    n = joined(answers[0], 0)
     chance = (n + 1) / (known.total + known.distinct + 1)
-    out.known, out.base = n > 0, chance.copy()
-    hashes, end = words[tokens], int(rank[words == END][0])
-    context, context_n, owner = np.empty_like(hashes), np.empty_like(n), np.empty_like(n)
-    context[1:], context_n[1:], owner[1:] = hashes[:-1], n[:-1], word[:-1]
-    context[first], context_n[first], owner[first] = END, in_words[order[end]], end
-    alive = context_n >= tree.least
+    if last:
+        out.known, out.base = (n > 0)[word], chance[word]
+        out.chance = out.base.copy()
+    # a context's hash and count, and where it stands, are its last code's: a word's at first
+    context, context_n = words, n
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[begin] = np.searchsorted(words, END)
+    at = np.flatnonzero((n >= tree.least)[before])
+    own, before = word[at], before[at]
     for depth in range(1, tree.depth + 1):
-        at = np.flatnonzero(alive)
-        place, one = pairs(owner[at], word[at])
-        one = at[one]
-        codes = context[one] >> WORD_BITS << WORD_BITS | hashes[one] >> CONTEXT_BITS
-        hot = context_n[one] * known.ranges >= known.total
-        where = np.where(hot, ranged(mixed(codes), known.ranges) + known.ranges, ranged(codes, known.ranges))
-        order = np.argsort(where, kind="stable")
-        if depth == len(answers):
-            count = np.bincount(place, train[at], len(codes)).astype(np.int64)
-            suffix = np.clip(np.round(-np.log(chance[one]) * NATS), 0, 255).astype(np.uint8)
-            out.ask = (codes[order], where[order], hot[order], count[order], suffix[order])
+        if not len(at) or last and depth == len(answers):
             break
-        if not len(codes):
+        place, one, held, follows = pairs(before, word[at], values=True)
+        head, next_word, of, suffix = context[held], words[follows], context_n[held], chance[own[one]]
+        codes = head >> WORD_BITS << WORD_BITS | next_word >> CONTEXT_BITS
+        where, hot = ranged(codes, known.ranges), of * known.ranges >= known.total
+        order = None
+        if hot.any():
+            where = np.where(hot, ranged(mixed(codes), known.ranges) + known.ranges, where)
+            order = np.argsort(where, kind="stable")
+        if depth == len(answers):
+            count = np.bincount(place[train[at]], minlength=len(codes))
+            out.ask = tuple(x if order is None else x[order] for x in (codes, where, hot, count, np.clip(np.round(-np.log(suffix) * NATS), 0, 255).astype(np.uint8)))
             break
-        n_of, followers_of = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-        parts = [answers[depth][k] for k in sorted(answers[depth])]
-        n_of[order] = np.concatenate([p[0] for p in parts])
-        heads, followers = known.hot[depth - 1]
-        head = codes[order] >> WORD_BITS
-        of_hot = np.searchsorted(heads, head)
-        value = np.append(followers, 0)[np.where(hot[order], of_hot, len(followers))]
-        cold = ~hot[order]
-        if cold.any():
-            fresh = np.append(True, (head[cold][1:] != head[cold][:-1]))
-            value[cold] = np.concatenate([p[1] for p in parts])[np.cumsum(fresh) - 1]
-        followers_of[order] = value
-        n, kinds = n_of[place], followers_of[place]
+        n, kinds = told(answers[depth], codes, hot, order, *known.hot[depth - 1])
         state = kinds > 0
-        chance[at[state]] = (np.maximum(n - tree.discount, 0) + tree.discount * kinds * chance[at])[state] / context_n[at[state]]
+        chance = np.where(state, (np.maximum(n - tree.discount, 0) + tree.discount * kinds * suffix) / of, suffix)
+        if last:
+            out.chance[at] = chance[place]
         # what goes on: the gram before a token, where it is frequent, behind a state
-        gram = mixed(context[one] * np.uint64(3) + hashes[one])
-        goes_on, before = np.zeros(len(tokens), bool), np.full(len(tokens), -1)
-        goes_on[at[state]], before[at[n >= tree.least]] = True, place[n >= tree.least]
-        before[1:] = before[:-1]
-        alive = (before >= 0) & goes_on & ~first
-        alive[0] = False
-        at = np.flatnonzero(alive)
-        used = np.flatnonzero(np.bincount(before[at], minlength=len(codes)))
-        rank = np.empty(len(codes), np.int64)
-        rank[used[np.argsort(gram[used])]] = np.arange(len(used))
-        context[at], context_n[at], owner[at] = gram[before[at]], n_of[before[at]], rank[before[at]]
-    out.chance = chance
+        goes_on = state[place]
+        gram = np.full(len(word) + 1, -1, np.int32)
+        gram[at + 1] = np.where(n >= tree.least, np.arange(len(codes), dtype=np.int32), np.int32(-1))[place]
+        gram[begin] = -1
+        at, own = at[goes_on], place[goes_on]
+        before = gram[at]
+        goes_on = before >= 0
+        at, own, before = at[goes_on], own[goes_on], before[goes_on]
+        used = np.flatnonzero(np.bincount(before, minlength=len(codes)))
+        context = mixed(head[used] * np.uint64(3) + next_word[used])
+        order = np.argsort(context)
+        context, context_n = context[order], n[used[order]]
+        rank = np.empty(len(codes), np.int32)
+        rank[used[order]] = np.arange(len(used), dtype=np.int32)
+        before = rank[before]
     return out
 
 
-def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair's place among the different pairs, ascending, and where one of each stands. Neither number is negative."""
+def joined(answer: dict[int, tuple[np.ndarray, np.ndarray]], part: int) -> np.ndarray:
+    """What all ranges answered, in their order."""
+    return np.concatenate([answer[k][part] for k in sorted(answer)]).astype(np.int64)
+
+
+def told(answer: dict[int, tuple[np.ndarray, np.ndarray]], codes: np.ndarray, hot: np.ndarray, order: np.ndarray | None, heads: np.ndarray, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code's count, and how many words follow its context (0: no state). order: in which the codes were sent, if not
+    in their own. heads, followers: the hot contexts and how many words follow them."""
+    n, kinds = joined(answer, 0), np.empty(len(codes), np.int64)
+    if order is not None:
+        sent, n = n, np.empty_like(n)
+        n[order] = sent
+        kinds[hot] = np.append(followers, 0)[np.searchsorted(heads, codes[hot] >> WORD_BITS)]
+    cold = ~hot
+    head = codes[cold] >> WORD_BITS
+    if len(head):  # cold ranges stand first, so their codes were sent in their own order
+        kinds[cold] = joined(answer, 1)[np.cumsum(np.append(True, head[1:] != head[:-1])) - 1]
+    return n, kinds
+
+
+def pairs(a: np.ndarray, b: np.ndarray, values: bool = False) -> tuple[np.ndarray, ...]:
+    """Each pair's place among the different pairs, ascending, and where one of each stands. Neither number is negative.
+    values: also the two numbers of the different pairs, which sorting has at hand."""
     n = len(a)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int32), *[np.empty(0, np.int64)] * (3 if values else 1))
     of_b, of_place = int(b.max()).bit_length(), n.bit_length()
     if int(a.max()).bit_length() + of_b + of_place < 64:  # sorting numbers takes a third of sorting their places
-        key = (a << of_b | b) << of_place | np.arange(n)
+        key = a.astype(np.int64)
+        key <<= of_b
+        key |= b
+        key <<= of_place
+        key |= np.arange(n)
         key.sort()
-        order, key = key & ((1 << of_place) - 1), key >> of_place
-        change = key[1:] != key[:-1]
+        order = key & ((1 << of_place) - 1)
+        key >>= of_place
+        fresh = np.append(True, key[1:] != key[:-1])
+        key = key[fresh]
+        found = (key >> of_b, key & ((1 << of_b) - 1))
     else:
         order = np.lexsort((b, a))
-        change = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    fresh = np.append(True, change)
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return place, order[fresh]
+        x, y = a[order], b[order]
+        fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        found = (x[fresh], y[fresh])
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return (place, order[fresh], *found) if values else (place, order[fresh])
 
 
 def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
@@ -236,7 +284,7 @@ def ranged(codes: np.ndarray, ranges: int) -> np.ndarray:
     return ((codes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def walked(rows: DataFrame, known: Known, tree: SuffixTree, out: object, schema: str) -> DataFrame:
+def walked(rows: DataFrame, known: Known, tree: SuffixTree, out: object, schema: str, last: bool = False) -> DataFrame:
     """`out` of each block's row and walk, over blocks with all answers there are."""
     depths = sum(c.startswith("answers") for c in rows.columns)
 
@@ -244,28 +292,44 @@ def walked(rows: DataFrame, known: Known, tree: SuffixTree, out: object, schema:
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1).to_pylist()[0]
-                answers = [{a["range"]: (unplaned(a["counts"]).astype(np.int64), unplaned(a["followers"]).astype(np.int64)) for a in row[f"answers{d}"] or []} for d in range(depths)]
-                yield out(batch.slice(k, 1), row, walk(row, answers, known, tree))
+                answers = [{a["range"]: (unthin(a["counts"]), unthin(a["followers"])) for a in row[f"answers{d}"] or []} for d in range(depths)]
+                yield out(batch.slice(k, 1), row, walk(row, answers, known, tree, last))
 
     return rows.mapInArrow(run, schema)
 
 
-ASKED = "range int, block long, hot boolean, codes binary, counts binary, suffix binary"
+ASKED = "range int, block long, hot boolean, heads binary, kinds binary, tails binary, counts binary, suffix binary"
 ANSWERED = "block long, range int, counts binary, followers binary, context long, n long, kinds long, gain double, states long"
 
 
 def asked(batch: pa.RecordBatch, row: dict, at: Walk) -> pa.RecordBatch:
-    """The runs that a block sends, one to each range."""
+    """The runs that a block sends, one to each range: its contexts in steps, how many words follow each, and those words'
+    bits, which don't shrink."""
     codes, where, hot, count, suffix = at.ask
-    cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, int)
-    parts = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(where)])]
-    return pa.record_batch(
-        [
-            pa.array([int(where[p.start]) for p in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([bool(hot[p.start]) for p in parts], pa.bool_()),
-            pa.array([planes(np.diff(codes[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([planes(count[p]) for p in parts], pa.binary()), pa.array([squeezed(suffix[p].tobytes()) for p in parts], pa.binary()),
-        ],
-        ["range", "block", "hot", "codes", "counts", "suffix"],
-    )
+    cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])).tolist() if len(where) else []
+    parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(where)])]
+    owner = codes >> WORD_BITS
+    first = owner[1:] != owner[:-1]
+    tails = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+    columns: list[list] = [[] for _ in range(8)]
+    for p in parts:
+        head = np.flatnonzero(np.append(True, first[p.start : p.stop - 1]))
+        run = (
+            int(where[p.start]), row["block"], bool(hot[p.start]), thin(np.diff(owner[p][head], prepend=np.uint64(0))), thin(np.diff(head, append=p.stop - p.start)),
+            tails[p].tobytes(), thin(count[p]), squeezed(suffix[p].tobytes()),
+        )
+        for column, x in zip(columns, run):
+            column.append(x)
+    names, kinds = [c.split()[0] for c in ASKED.split(", ")], [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def sent(run: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a run, and how many stand under each of its contexts."""
+    kinds = unthin(run["kinds"]).astype(np.int64)
+    tails = np.frombuffer(run["tails"], np.uint8).reshape(-1, 3).astype(np.uint64)
+    codes = np.repeat(np.cumsum(unthin(run["heads"]).astype(np.uint64)) << WORD_BITS, kinds)
+    return codes | tails[:, 0] | tails[:, 1] << np.uint64(8) | tails[:, 2] << np.uint64(16), kinds
 
 
 def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
@@ -277,9 +341,9 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["range"]):
             rows = group.to_pylist()
-            parts = [np.cumsum(unplaned(r["codes"])) for r in rows]
-            codes, place = np.unique(np.concatenate(parts), return_inverse=True)
-            n = np.bincount(place, np.concatenate([unplaned(r["counts"]) for r in rows]), len(codes)).astype(np.int64)
+            parts = [sent(r) for r in rows]
+            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([unthin(r["counts"]) for r in rows]), len(codes)).astype(np.int64)
             hot, sums, out = rows[0]["hot"], -1 - rows[0]["range"], []
             kinds_of = states = None
             if depth:
@@ -298,14 +362,11 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
             else:
                 states = int((n > 0).sum())
             at = 0
-            for r, part in zip(rows, parts):
+            for r, (part, under) in zip(rows, parts):
                 mine = place[at : at + len(part)]
                 at += len(part)
-                followers = np.empty(0, np.int64)
-                if kinds_of is not None:
-                    owner = part >> WORD_BITS
-                    followers = kinds_of[mine[np.append(True, owner[1:] != owner[:-1])]]
-                out.append((r["block"], r["range"], planes(n[mine]), planes(followers), None, None, None, None, None))
+                followers = np.empty(0, np.int64) if kinds_of is None else kinds_of[mine[np.cumsum(under) - under]]
+                out.append((r["block"], r["range"], thin(n[mine]), thin(followers), None, None, None, None, None))
             out.append((sums, None, None, None, None, int(n.sum()), None, None, states))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
@@ -348,7 +409,7 @@ def scored(docs: DataFrame, tree: SuffixTree = SuffixTree()) -> DataFrame:
         sums = [np.add.reduceat(x, begin) if len(begin) else np.empty(0) for x in (at.known.astype(np.int64), np.log10(at.base), np.log10(at.chance))]
         return pa.record_batch([batch["docs"].flatten(), pa.array(at.lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    rows = walked(state, known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rows = walked(state, known, tree, out, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double", last=True)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
 

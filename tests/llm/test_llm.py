@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from decimal import Decimal
@@ -464,6 +465,25 @@ def test_language_model_fills_its_blocks(spark):
     assert sum(got) == 6000 * 241 and len(got) == 4 and got[1] > 450_000
 
 
+def test_language_model_walks_in_little_room(spark):
+    """What a block's walk holds at once, in bytes for each token: work on codes, with places in 32 bits."""
+    rng = np.random.default_rng(3)
+    texts = [(k, " ".join(f"w{w}" for w in np.minimum(rng.zipf(1.3, 500), 20_000))) for k in range(400)]
+    tree = suffix_tree_lm.SuffixTree()
+    row = suffix_tree_lm.blocks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), tree).first().asDict()
+    known, answers = suffix_tree_lm.Known(1), []
+    for depth in range(3):
+        tracemalloc.start()
+        codes, _, hot, counts, _ = suffix_tree_lm.walk(row, answers, known, tree).ask
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(codes) > 3000 and not hot.any()
+        assert most < 110 * row["n_tokens"]
+        head = np.flatnonzero(np.append(True, codes[1:] >> np.uint64(24) != codes[:-1] >> np.uint64(24)))
+        answers.append({0: (counts, np.add.reduceat((counts > 0).astype(np.int64), head))})
+        known = suffix_tree_lm.Known(1, 10**9, int((counts > 0).sum()) if not depth else known.distinct, known.hot + ((np.empty(0, np.uint64), np.empty(0, np.int64)),) * (depth > 0))
+
+
 @pytest.mark.parametrize("top", [50, 2**40])
 def test_pairs(top):
     rng = np.random.default_rng(2)
