@@ -122,6 +122,16 @@ def union_find(edges):
     return out
 
 
+def test_components_of_a_chain(spark, capsys):
+    """A chain takes a round for each edge; what Spark takes the result's size to be stays a size, whatever the rounds."""
+    checkpoints(spark)
+    found = sequence.components(spark.createDataFrame([(k + 1, k) for k in range(9)] + [(20, 21), (5, 5)], "a long, b long"))
+    assert {r.id: r.component for r in found.collect()} == {**dict.fromkeys(range(10), 0), 20: 20, 21: 20}
+    found.explain("cost")
+    said = capsys.readouterr().out
+    assert "sizeInBytes" in said and "E+" not in said
+
+
 def test_fleets_and_hubs_left_out(spark):
     checkpoints(spark)
     rng, rows = random.Random(4), []
