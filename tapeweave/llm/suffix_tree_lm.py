@@ -342,13 +342,17 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
         for group in by_group(batches, ["range"]):
             rows = group.to_pylist()
             parts = [sent(r) for r in rows]
-            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            codes, under = np.concatenate([c for c, _ in parts]), [(len(c), (np.cumsum(u) - u).astype(np.int32)) for c, u in parts]
+            del parts
+            codes, place = np.unique(codes, return_inverse=True)
+            place = place.astype(np.int32)
             n = np.bincount(place, np.concatenate([unthin(r["counts"]) for r in rows]), len(codes)).astype(np.int64)
             hot, sums, out = rows[0]["hot"], -1 - rows[0]["range"], []
             kinds_of = states = None
             if depth:
-                suffix = np.empty(len(codes))
-                suffix[place] = np.concatenate([np.frombuffer(full(r["suffix"]), np.uint8) for r in rows]) / -NATS
+                suffix = np.empty(len(codes), np.uint8)
+                suffix[place] = np.concatenate([np.frombuffer(full(r["suffix"]), np.uint8) for r in rows])
+                suffix = suffix / -NATS
                 owner = codes >> WORD_BITS
                 head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 context_n, follow = np.add.reduceat(n, head), np.add.reduceat((n > 0).astype(np.int64), head)
@@ -362,10 +366,10 @@ def answered(runs: DataFrame, depth: int, tree: SuffixTree) -> DataFrame:
             else:
                 states = int((n > 0).sum())
             at = 0
-            for r, (part, under) in zip(rows, parts):
-                mine = place[at : at + len(part)]
-                at += len(part)
-                followers = np.empty(0, np.int64) if kinds_of is None else kinds_of[mine[np.cumsum(under) - under]]
+            for r, (length, heads) in zip(rows, under):
+                mine = place[at : at + length]
+                at += length
+                followers = np.empty(0, np.int64) if kinds_of is None else kinds_of[mine[heads]]
                 out.append((r["block"], r["range"], thin(n[mine]), thin(followers), None, None, None, None, None))
             out.append((sums, None, None, None, None, int(n.sum()), None, None, states))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
