@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.functions.columns import round_trip
+from tapeweave.operators.meetings import Met, chosen, medians, met, or_null, ranks, reached, sums
 
 
 def clean(swaps: DataFrame) -> DataFrame:
@@ -42,6 +45,14 @@ def in_window(probes: DataFrame, ticks: DataFrame, width: int, closed: bool) ->
     return spread.join(binned, ["mint", "bin"]).where((F.col("ts") >= F.col("t")) & end)
 
 
+def in_windows(probes: DataFrame, ticks: DataFrame, columns: list[str], width: int, order: list[str], more: str, measure) -> DataFrame:
+    """probes (mint, t and others) with what `measure` gives (see meetings.met) from the ticks of their mint; ticks from t to
+    t + width are among those it gets, in order of ts and `order`."""
+    asked = probes.withColumnRenamed("t", "ts")
+    found = met(asked, ticks.select("mint", "ts", *columns), ["mint"], width, (-1, 0), order, more, measure)
+    return found.withColumnRenamed("ts", "t")
+
+
 def depth(probes: DataFrame, ticks: DataFrame, side: str, position: float, width: int) -> DataFrame:
     """mint, t, price at which the position is filled and status, walking the window's ticks from the best price: thin
     if they don't suffice (the last price), unfillable if there are none. Sales walk down the bids, purchases up the
@@ -60,9 +71,14 @@ def depth(probes: DataFrame, ticks: DataFrame, side: str, position: float, width
 
 def market_mark(probes: DataFrame, ticks: DataFrame, widths: tuple[int, ...] = (30, 60, 120), floor: float = 0.0) -> DataFrame:
     """mint, t and the median price of the shortest window that has ticks of the floor or more; null if none has."""
-    near = in_window(probes, ticks.where(F.col("sol") >= floor) if floor else ticks, max(widths), closed=False)
-    medians = near.groupBy("mint", "t").agg(*(F.median(F.when(F.col("ts") < F.col("t") + w, F.col("price"))).alias(f"m{w}") for w in widths))
-    return probes.join(medians, ["mint", "t"], "left").select("mint", "t", F.coalesce(*(F.col(f"m{w}") for w in widths)).alias("mark"))
+
+    def measure(x: Met) -> list:
+        out, low = np.full(len(x.left), np.nan), x.since(0)
+        for found in medians(x.numbers("_r_price"), [(low, x.since(w)) for w in widths]):
+            out = np.where(np.isnan(out), found, out)
+        return [or_null(out)]
+
+    return in_windows(probes, ticks.where(F.col("sol") >= floor) if floor else ticks, ["price"], max(widths), [], "mark double", measure)
 
 
 def entry_gate(probes: DataFrame, ticks: DataFrame, position: float, width: int, large: float, depth_least: float, margin: int) -> DataFrame:
