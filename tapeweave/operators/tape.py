@@ -56,17 +56,22 @@ def in_windows(probes: DataFrame, ticks: DataFrame, columns: list[str], width: i
 def depth(probes: DataFrame, ticks: DataFrame, side: str, position: float, width: int) -> DataFrame:
     """mint, t, price at which the position is filled and status, walking the window's ticks from the best price: thin
     if they don't suffice (the last price), unfillable if there are none. Sales walk down the bids, purchases up the
-    asks; bids count up to the window's end."""
+    asks; bids count up to the window's end. Other columns of the probes stay in front."""
     bid = side == "bid"
-    price = F.desc("price") if bid else F.asc("price")
-    near = in_window(probes, ticks, width, closed=bid)
-    walk = Window.partitionBy("mint", "t").orderBy(price, "ts", "seq")
-    filled = near.withColumn("total", F.sum("sol").over(walk.rowsBetween(Window.unboundedPreceding, 0))).withColumn("step", F.row_number().over(walk))
-    hit = F.when(F.col("total") >= position, F.struct("step", "price"))
-    best = filled.groupBy("mint", "t").agg(F.min(hit).alias("hit"), F.max(F.struct("step", "price")).alias("worst"))
-    out = probes.join(best, ["mint", "t"], "left")
-    status = F.when(F.col("worst").isNull(), "unfillable").when(F.col("hit").isNull(), "thin").otherwise("ok")
-    return out.select("mint", "t", F.coalesce("hit.price", "worst.price").alias("price"), status.alias("status"))
+
+    def measure(x: Met) -> list:
+        low, high = x.since(0), x.since(width + 1 if bid else width)
+        price, some = x.numbers("_r_price"), high > low
+        rank, order = ranks(price, down=bid)
+        hit = reached(rank, np.nan_to_num(x.numbers("_r_sol")), low, high, position)
+        worst = np.zeros(len(low), np.int64)
+        worst[some] = chosen(rank, low[some], high[some], (high - low)[some] - 1)
+        at = np.where(hit < 0, worst, hit)
+        known = np.full(len(low), np.nan)
+        known[some] = price[order[at[some]]]
+        return [or_null(known), np.where(~some, "unfillable", np.where(hit < 0, "thin", "ok"))]
+
+    return in_windows(probes, ticks, ["price", "sol", "seq"], width, ["seq"], "price double, status string", measure)
 
 
 def market_mark(probes: DataFrame, ticks: DataFrame, widths: tuple[int, ...] = (30, 60, 120), floor: float = 0.0) -> DataFrame:

@@ -65,3 +65,25 @@ def test_cells_larger_than_a_step(spark, monkeypatch):
         assert pa.concat_tables(parts).equals(whole)
         cells = [set(zip(p["_cell"].to_pylist(), p["_by0"].to_pylist())) for p in parts]
         assert not any(a & b for a, b in zip(cells, cells[1:]))
+
+
+@pytest.mark.parametrize("side", ["bid", "ask"])
+@pytest.mark.parametrize("position", [0.3, 0.6, 2.0, 4.7])
+def test_depth_joins_no_pairs(spark, side, position):
+    """Sizes whose sums come to the position only within rounding are added in the order of the walk, as SQL does."""
+    ticks, probes = tape_of(2)
+    ticks = [x for x in ticks if x[4] is not None]
+    frame, asked = frames(spark, ticks, probes)
+    got = tape.depth(asked, frame, side, position, 30)
+    assert not pairs_joined(got)
+    found = {(r.mint, r.t): (r.price, r.status) for r in got.collect()}
+    for mint, t in probes:
+        near = sorted(((-p if side == "bid" else p, s, k, sol) for m, s, k, _, p, sol in ticks if m == mint and t <= s and (s <= t + 30 if side == "bid" else s < t + 30)))
+        total, want = 0.0, (None, "unfillable")
+        for p, _, _, sol in near:
+            total, want = total + sol, (abs(p), "thin")
+            if total >= position:
+                want = (abs(p), "ok")
+                break
+        assert found[mint, t] == want, (mint, t)
+    assert len(found) == len(probes) and {"unfillable", "ok"} <= {s for _, s in found.values()}
