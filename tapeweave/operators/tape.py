@@ -94,10 +94,16 @@ def entry_gate(probes: DataFrame, ticks: DataFrame, position: float, width: int,
     sales of `depth_least` or more in it; a thin one takes the worst price, only none at all is a reason. safe is `margin`
     before the mint's last tick, and an entry needs a minute before it."""
     ended = ticks.groupBy("mint").agg(F.max("ts").alias("ended"))
-    near = in_window(probes, ticks.where(F.col("sol") >= large), width, closed=False).groupBy("mint", "t").agg(F.median("price").alias("price"), F.sum("sol").alias("volume"))
+
+    def measure(x: Met) -> list:
+        low, high = x.since(0), x.since(width)
+        (price,) = medians(x.numbers("_r_price"), [(low, high)])
+        return [or_null(price), pa.array(sums(x.numbers("_r_sol"), low, high), mask=low == high)]
+
+    near = in_windows(probes, ticks.where(F.col("sol") >= large), ["price", "sol"], width, [], "large_price double, volume double", measure)
     asks = ticks.where((F.col("side") == "sell") & (F.col("sol") >= depth_least) & F.col("price").isNotNull())
-    ask = depth(probes, asks, "ask", position, width).select("mint", "t", F.col("price").alias("ask"))
-    x = probes.join(ended, "mint").join(near, ["mint", "t"], "left").join(ask, ["mint", "t"])
+    ask = depth(near, asks, "ask", position, width).withColumnRenamed("price", "ask").withColumnRenamed("large_price", "price")
+    x = ask.join(ended, "mint")
     safe = F.col("ended") - margin
     reason = F.when(F.col("t") >= F.col("ended"), "after_end").when(F.col("price").isNull(), "no_price").when(F.col("volume") < position, "thin_volume")
     reason = reason.when(F.col("ask").isNull(), "no_ask").when(safe < F.col("t") + 60, "no_room").otherwise("ok")

@@ -87,3 +87,24 @@ def test_depth_joins_no_pairs(spark, side, position):
                 break
         assert found[mint, t] == want, (mint, t)
     assert len(found) == len(probes) and {"unfillable", "ok"} <= {s for _, s in found.values()}
+
+
+def test_entry_gate_joins_mints_only(spark):
+    ticks, probes = tape_of(4)
+    frame, asked = frames(spark, ticks, probes)
+    got = tape.entry_gate(asked, frame, 0.5, 30, 0.25, 0.15, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with a mint's last tick
+    found = {(r.mint, r.t): r for r in got.collect()}
+    ends = {m: max(x[1] for x in ticks if x[0] == m) for m in "abc"}
+    assert set(found) == {p for p in probes if p[0] in ends}
+    for (mint, t), r in found.items():
+        near = [x for x in ticks if x[0] == mint and t <= x[1] < t + 30]
+        prices, volume = [x[4] for x in near if x[5] >= 0.25 and x[4] is not None], math.fsum(x[5] for x in near if x[5] >= 0.25)
+        ask, total = None, 0.0
+        for p, _, _, sol in sorted((x[4], x[1], x[2], x[5]) for x in near if x[3] == "sell" and x[5] >= 0.15 and x[4] is not None):
+            ask, total = p, total + sol
+            if total >= 0.5:
+                break
+        gate = "after_end" if t >= ends[mint] else "no_price" if not prices else "thin_volume" if volume < 0.5 - 1e-12 else "no_ask" if ask is None else "no_room" if ends[mint] - 5 < t + 60 else "ok"
+        assert r.gate == gate and r.entry == (pytest.approx(max(st.median(prices), ask)) if gate == "ok" else None)
+    assert len({r.gate for r in found.values()}) >= 4
