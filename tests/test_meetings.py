@@ -108,3 +108,16 @@ def test_entry_gate_joins_mints_only(spark):
         gate = "after_end" if t >= ends[mint] else "no_price" if not prices else "thin_volume" if volume < 0.5 - 1e-12 else "no_ask" if ask is None else "no_room" if ends[mint] - 5 < t + 60 else "ok"
         assert r.gate == gate and r.entry == (pytest.approx(max(st.median(prices), ask)) if gate == "ok" else None)
     assert len({r.gate for r in found.values()}) >= 4
+
+
+def test_nearest_joins_no_pairs(spark):
+    rng = random.Random(5)
+    right = [(m, t, rng.choice([None, rng.random()])) for m in "ab" for t in sorted({rng.randrange(-200, 200) for _ in range(60)})] + [("a", None, 1.0), (None, 5, 2.0)]
+    left = [(rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randrange(-260, 260)]), k) for k in range(500)]
+    got = sequence.nearest(spark.createDataFrame(left, "mint string, ts long, id long"), spark.createDataFrame(right, "mint string, ts long, rate double"), ["mint"], "rate", 7)
+    assert not pairs_joined(got) and got.columns == ["mint", "ts", "id", "rate"]
+    found = {r.id: r for r in got.collect()}
+    for mint, t, k in left:
+        near = sorted((abs(s - t), s, v) for m, s, v in right if None not in (m, s, mint, t) and m == mint and abs(s - t) <= 7)
+        assert tuple(found[k]) == (mint, t, k, near[0][2] if near else None)
+    assert len(found) == 500
