@@ -35,16 +35,6 @@ def robust_price(swaps: DataFrame, floor: float, width: int) -> DataFrame:
     return large.join(first, "mint").groupBy("mint", bucket.alias("bucket")).agg(F.median("price").alias("price"), F.count("*").alias("trades"))
 
 
-def in_window(probes: DataFrame, ticks: DataFrame, width: int, closed: bool) -> DataFrame:
-    """Probes (mint, t) with the ticks of their mint in [t, t + width), or up to t + width if closed.
-
-    Both sides are cut into bins of the width, so that one mint with most rows is spread and each probe meets two bins."""
-    binned = ticks.withColumn("bin", F.floor(F.col("ts") / width))
-    spread = probes.withColumn("bin", F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) + 1)))
-    end = F.col("ts") <= F.col("t") + width if closed else F.col("ts") < F.col("t") + width
-    return spread.join(binned, ["mint", "bin"]).where((F.col("ts") >= F.col("t")) & end)
-
-
 def in_windows(probes: DataFrame, ticks: DataFrame, columns: list[str], width: int, order: list[str], more: str, measure) -> DataFrame:
     """probes (mint, t and others) with what `measure` gives (see meetings.met) from the ticks of their mint; ticks from t to
     t + width are among those it gets, in order of ts and `order`."""
@@ -53,6 +43,16 @@ def in_windows(probes: DataFrame, ticks: DataFrame, columns: list[str], width: i
     return found.withColumnRenamed("ts", "t")
 
 
+def volumes(probes: DataFrame, ticks: DataFrame, width: int) -> DataFrame:
+    """mint, t, trades and volume of the ticks from t to before t + width; probes without any are left out."""
+
+    def measure(x: Met) -> list:
+        low, high = x.since(0), x.since(width)
+        return [high - low, sums(np.nan_to_num(x.numbers("_r_sol")), low, high)]
+
+    return in_windows(probes, ticks, ["sol"], width, [], "trades long, volume double", measure).where("trades > 0")
+
+
 def depth(probes: DataFrame, ticks: DataFrame, side: str, position: float, width: int) -> DataFrame:
     """mint, t, price at which the position is filled and status, walking the window's ticks from the best price: thin
     if they don't suffice (the last price), unfillable if there are none. Sales walk down the bids, purchases up the

@@ -127,8 +127,7 @@ def probes(spark, sf_dir):
 
 @query(f"""with {TICKS}, {PROBES} select p.mint, p.t, count(*) as trades, sum(sol) as volume from probes p join ticks k on k.mint = p.mint and k.ts >= p.t and k.ts < p.t + 7200 group by 1, 2""")
 def interval_volume(spark, sf_dir):
-    near = tape.in_window(probes(spark, sf_dir), event_tape(spark, sf_dir), 7200, closed=False)
-    return near.groupBy("mint", "t").agg(F.count("*").alias("trades"), F.sum("sol").alias("volume"))
+    return tape.volumes(probes(spark, sf_dir), event_tape(spark, sf_dir), 7200)
 
 
 def depth_sql(side: str, direction: str, end: str) -> str:

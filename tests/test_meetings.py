@@ -121,3 +121,13 @@ def test_nearest_joins_no_pairs(spark):
         near = sorted((abs(s - t), s, v) for m, s, v in right if None not in (m, s, mint, t) and m == mint and abs(s - t) <= 7)
         assert tuple(found[k]) == (mint, t, k, near[0][2] if near else None)
     assert len(found) == 500
+
+
+def test_volumes_join_no_pairs(spark):
+    ticks, probes = tape_of(6)
+    frame, asked = frames(spark, ticks, probes)
+    got = tape.volumes(asked, frame, 30)
+    assert not pairs_joined(got)
+    found = {(r.mint, r.t): (r.trades, r.volume) for r in got.collect()}
+    want = {p: [x[5] for x in ticks if x[0] == p[0] and p[1] <= x[1] < p[1] + 30] for p in probes}
+    assert found == {p: (len(x), pytest.approx(math.fsum(x), rel=1e-12)) for p, x in want.items() if x}
