@@ -8,7 +8,9 @@ import math
 import random
 import statistics as st
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +232,35 @@ def test_exports_and_nested_captures(spark, tmp_path):
     assert [tuple(r) for r in broken.collect()] == [("a.jsonl.gz", "{broken")]
     swaps = exports.pruned(kept.where("mint = 'm2'"), 30).first().swaps
     assert [s.sig for s in swaps] == ["s0", "s1", None]
+
+
+def test_tails_end_where_no_digit_is_added(spark):
+    """Exact chances, near and far from the likeliest; pairs' chances sum no sequence of all that items could share."""
+    rng, cases = random.Random(9), []
+    for _ in range(800):
+        total = rng.randrange(1, 300)
+        good, drawn = rng.randint(0, total), rng.randint(0, total)
+        cases.append((rng.randint(-1, min(good, drawn) + 2), good, total, drawn))
+    got = special.hypergeometric_tails(*np.array(cases).T)
+    for p, (hits, good, total, drawn) in zip(got, cases):
+        ways = sum(math.comb(good, k) * math.comb(total - good, drawn - k) for k in range(max(hits, 0), min(good, drawn) + 1) if drawn >= k)
+        assert p == pytest.approx(float(Fraction(ways, math.comb(total, drawn))), rel=1e-9, abs=1e-12)
+    frame = spark.createDataFrame([(1, 1), (1, 2)], "g long, i long")
+    assert "sequence(" not in statistics.pair_significance(frame, "g", "i", 10)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_independent_pairs_of_whole_groups(spark):
+    """Hubs, repeated rows, null items and a null group, against a loop; no group's rows are joined."""
+    rng = random.Random(10)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *"abcdefghij"])) for _ in range(260)] + [(99, x) for x in "abcdefghijklm"]
+    frame = spark.createDataFrame(rows, "g long, i string")
+    got = sequence.independent(frame, "g", "i", 8)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3  # with sizes and the total
+    of = {}
+    for g, i in rows:
+        of.setdefault(g, set()).add(i)
+    of = {g: x for g, x in of.items() if g is None or len(x) <= 8}
+    n = Counter(i for x in of.values() for i in x)
+    shared = Counter(p for g, x in of.items() if g is not None for p in itertools.combinations(sorted(x - {None}), 2))
+    want = {(a, b, k, n[a], n[b], len(of) - (None in of)) for (a, b), k in shared.items()}
+    assert {tuple(r) for r in got.select("a", "b", "shared", "n_a", "n_b", "total").collect()} == want and 99 not in of and len(want) > 30
