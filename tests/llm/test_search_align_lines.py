@@ -215,3 +215,20 @@ def test_line_dedup_edges(spark):
     assert got == {"a": 0, "b": 1, "c": 0}
     bits = line_dedup.packed(np.array([1, 9]))
     assert line_dedup.kept_lines(b"\n".join(b"%d" % k for k in range(20)), bits) == ([b"%d" % k for k in range(20) if k not in (1, 9)], 20)
+
+
+def test_alignment_remembers_a_bounded_number_of_pieces(monkeypatch):
+    """Both encoders begin anew beyond the bound, and give the same ids."""
+    import public_tokenizers
+
+    from tapeweave.llm import token_alignment
+
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = [[f" word{k * j} x{k} tail" .encode() for j in range(40)] for k in range(30)]
+    for kind, path in ((token_alignment.PlainBPE, path_a), (token_alignment.SentencePieceBPE, path_b)):
+        whole = kind(path)
+        assert whole.most <= 500_000 and len(whole.keys) <= 1 << 20
+        monkeypatch.setattr(kind, "most", 100)
+        small = kind(path)
+        assert all(small.encode_raw(t) == whole.encode_raw(t) and small.rows <= 100 for t in texts) and whole.rows > 400
+        monkeypatch.undo()
