@@ -208,3 +208,28 @@ def test_entry_without_llm():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert math.isfinite(len(__spark_entry__.queries()))
+
+
+def test_greedy_splits_of_a_dense_label_pass_over_what_is_taken_or_far_off():
+    """As the plain search finds them; 30,000 equal amounts, of which each event is near three in time, in less than a second each."""
+    import time
+
+    def plain(events, tolerance, window, least):
+        order, free, out = sorted(range(len(events)), key=lambda k: events[k][0]), [True] * len(events), []
+        for at, seed in enumerate(order):
+            near = [k for k in order[at + 1 :] if free[k] and events[k][0] - events[seed][0] <= events[seed][0] * tolerance and abs(events[k][1] - events[seed][1]) <= window and events[k][2] != events[seed][2]]
+            if free[seed] and len({events[k][2] for k in (seed, *near)}) >= least:
+                out.append([seed, *near])
+                for k in out[-1]:
+                    free[k] = False
+        return out
+
+    rng = random.Random(12)
+    for _ in range(300):
+        events = [(rng.choice([1.0, 2.0, rng.uniform(0.5, 3)]), rng.randrange(-60, 60), rng.choice("abcdefg")) for _ in range(rng.randrange(40))]
+        for tolerance, window, least in ((0.0, 10, 2), (0.05, 40, 3), (0.5, 1, 3)):
+            assert splits.greedy(events, tolerance, window, least) == plain(events, tolerance, window, least)
+    began = time.process_time()
+    assert splits.greedy([(5.0, 100 * (k // 2), f"w{k % 2}") for k in range(30_000)], 1e-4, 60, 3) == []
+    assert len(splits.greedy([(5.0, 100 * (k // 3), f"w{k % 3}") for k in range(30_000)], 1e-4, 60, 3)) == 10_000
+    assert time.process_time() - began < 5
