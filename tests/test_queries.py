@@ -6,6 +6,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,23 @@ def test_greedy_splits_of_a_dense_label_pass_over_what_is_taken_or_far_off():
     assert splits.greedy([(5.0, 100 * (k // 2), f"w{k % 2}") for k in range(30_000)], 1e-4, 60, 3) == []
     assert len(splits.greedy([(5.0, 100 * (k // 3), f"w{k % 3}") for k in range(30_000)], 1e-4, 60, 3)) == 10_000
     assert time.process_time() - began < 5
+
+
+def test_near_amounts_across_the_edges_of_cells(spark):
+    """Rounds of payments near the borders of cells in time and amount equal a loop's; each payment is sent to few cells."""
+    rng, rows = random.Random(13), []
+    for k in range(400):
+        rows.append((rng.randrange(60), rng.choice([1.0, 170.0, 1e4, 164.0 * 1.01 ** rng.randrange(12)]) * (1 + rng.randrange(5) * 3e-3), rng.choice([35, 36, 37, 108]) + rng.randrange(-4, 5) + 72 * rng.randrange(6), k))
+    wallets, of = zip(*((w, r) for r in range(200) for w in rng.sample(range(60), rng.choice([3, 8]))))
+    rounds = statistics.Rounds(np.array(wallets), np.array(of), 200)
+    frame = spark.createDataFrame(rows, "w long, amount double, ts long, seq long").repartition(4)
+    found = statistics.rounds_of_near_amounts(frame, 0.01, 3, 3, spark.sparkContext.broadcast(rounds))
+    picked = {r: {w for w, x in zip(wallets, of) if x == r} for r in range(200)}
+    want = set()
+    for r, some in picked.items():
+        inside = sorted((x for x in rows if x[0] in some), key=lambda x: (x[1], x[3]))
+        if any(len({y[0] for y in inside[i + 1 :] if y[1] <= x[1] * 1.01 and abs(y[2] - x[2]) <= 3} | {x[0]}) >= 3 for i, x in enumerate(inside)):
+            want.add(r)
+    assert {x["round"] for x in found.collect()} == want and 20 < len(want) < 190
+    parts = [x for x in rounds.pieces(np.array(wallets), np.array(of), 7)]
+    assert [k for p in parts for k in range(p.start, p.stop)] == list(range(len(of))) and not any(of[p.start] == of[p.start - 1] for p in parts[1:])
