@@ -160,6 +160,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int
                 inside = holds(x, path)
                 margin[inside] += 0.5 * np.clip(gradient[inside].mean() * 4 if inside.any() else 0, -2, 2)
     rules = list(dict.fromkeys(tuple(sorted(p)) for p in found))
+    if not rules:
+        return Rules([], bias)
     design = np.stack([holds(x, r) for r in rules], 1).astype(float)
     used = (design.mean(0) > 0.002) & (design.mean(0) < 0.998)
     rules, design = [r for r, u in zip(rules, used) if u], design[:, used]

@@ -599,3 +599,11 @@ def test_pipeline(spark):
     clean = [r.doc_id for r in labels if r.quality and not r.toxic]
     assert kept and np.mean([i in kept for i in clean]) > 0.6
     assert {name for name, _ in corpus_pipeline.STAGES} == {"toxicity", "quality", "near_dedup", "suffix_dedup", "packing"}
+
+
+def test_quality_without_a_split_scores_the_share_of_ones():
+    """Rows of both labels, too few or too alike for any rule."""
+    for x in (np.random.default_rng(1).random((30, len(quality.STATS))), np.ones((200, len(quality.STATS)))):
+        y = np.arange(len(x)) % 3 == 0
+        rules = quality.fit(x, y.astype(float))
+        assert not rules.rules and rules.score(x) == pytest.approx(np.full(len(x), y.mean()))
